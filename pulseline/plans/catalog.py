@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pulseline.plans import tables_sql  # noqa: F401
 from pulseline.plans import (  # noqa: F401
+    activity_queries,
     bunching_queries,
+    network_queries,
 )
 from pulseline.plans.registry import ENTRIES
 
