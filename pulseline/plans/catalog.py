@@ -7,6 +7,7 @@ from pulseline.plans import (  # noqa: F401
     activity_queries,
     bunching_queries,
     network_queries,
+    question_queries,
     scenario_queries,
     schedule_queries,
 )
