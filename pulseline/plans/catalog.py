@@ -10,6 +10,7 @@ from pulseline.plans import (  # noqa: F401
     question_queries,
     scenario_queries,
     schedule_queries,
+    service_queries,
 )
 from pulseline.plans.registry import ENTRIES
 

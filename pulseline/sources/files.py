@@ -69,8 +69,9 @@ def tolerant_load(spark: SparkSession, path: str, expected: Sequence[str] = PING
 
 
 def skipped_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files that hold no readable Parquet footer, found by their trailing magic bytes."""
-    return file_magic_audit(spark, path).where(~F.col("is_parquet")).select("file_name", "size_bytes")
+    """Files without a readable Parquet footer, and empty ones."""
+    bad = ~F.col("readable") | (F.col("row_count") == 0)
+    return file_audit(spark, path).where(bad).select("file_name", "size_bytes")
 
 
 def with_source_file(df: DataFrame, name: str = "source_file") -> DataFrame:
@@ -139,19 +140,51 @@ def pings_to_feed(pings: DataFrame) -> DataFrame:
     return pings.select("collection_timestamp", F.to_json(F.struct(F.array(entity).alias("entity"))).alias("body"))
 
 
-def file_magic_audit(spark: SparkSession, path: str) -> DataFrame:
-    """Every file with its size and whether it carries the Parquet magic at both ends.
-
-    Only whole-file records of archive files (well below 2 GB each) pass through `binaryFile`.
+def _footers(batches):
+    """Open each listed file far enough to see its magic bytes and footer, never its data."""
+    import pandas as pd
+    from pyarrow import fs
+    from pyarrow import parquet as pq
+
+    for pdf in batches:
+        rows = []
+        for path, size in zip(pdf["path"], pdf["length"]):
+            uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+            magic, readable, n, cols = False, False, 0, []
+            try:
+                store, key = fs.FileSystem.from_uri(uri)
+                with store.open_input_file(key) as f:
+                    head = f.read(4)
+                    if size >= 8:
+                        f.seek(size - 4)
+                        magic = head == b"PAR1" and f.read(4) == b"PAR1"
+                    meta = pq.ParquetFile(f)
+                    readable, n, cols = True, meta.metadata.num_rows, meta.schema_arrow.names
+            except Exception:  # noqa: BLE001 - any failure means: not readable as Parquet
+                pass
+            rows.append((path, path.rsplit("/", 1)[-1], int(size), magic, readable, int(n), list(cols)))
+        yield pd.DataFrame(rows, columns=["path", "file_name", "size_bytes", "is_parquet", "readable",
+                                          "row_count", "columns"])
+
+
+def file_audit(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
+    """Every file under a path: size, Parquet magic, readable footer, rows and columns.
+
+    Spark lists the files (the content column is not asked for, so nothing is read) and spreads
+    them over tasks; each task reads only magic bytes and footers.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    magic = F.lit(b"PAR1")
-    tail = F.substring("content", -4, 4)
-    return raw.select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"),
-        F.col("length").alias("size_bytes"),
-        ((F.substring("content", 1, 4) == magic) & (tail == magic)).alias("is_parquet"),
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
     )
+    spread = listed.repartition(tasks or spark.sparkContext.defaultParallelism)
+    schema = ("path string, file_name string, size_bytes bigint, is_parquet boolean, readable boolean, "
+              "row_count bigint, columns array<string>")
+    return spread.mapInPandas(_footers, schema)
+
+
+def file_magic_audit(spark: SparkSession, path: str) -> DataFrame:
+    """Every file with its size and whether it carries the Parquet magic."""
+    return file_audit(spark, path).select("file_name", "size_bytes", "is_parquet")
 
 
 def sample_per_file(df: DataFrame, key: Sequence[str], target: int = 5000, salts: int = 64) -> DataFrame:
