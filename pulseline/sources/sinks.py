@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # The gold tables that a deployment must contain.
 GOLD_TABLES = (
@@ -31,26 +31,28 @@ def partitioned_sink(df: DataFrame, path: str, by: str = "date", mode: str = "ap
 
 
 def validated_publish(
-    df: DataFrame, staging: str, target: str, required: Sequence[str], mode: str = "append"
+    df: DataFrame, staging: str, target: str, required: Sequence[str], mode: str = "append",
+    expected_rows: int | None = None,
 ) -> dict[str, int]:
-    """Write, read back, compare, then promote.
+    """Write to staging, read back, compare, then promote.
 
-    The batch is computed once, into staging. Columns and rows of the staged copy are checked
-    before anything reaches the target; an empty or incomplete batch is rejected.
+    Columns and rows of the staged copy are checked before anything reaches the target; an empty
+    or incomplete batch is rejected. The row count of the batch is taken from the caller where it
+    is known, otherwise counted.
     """
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise PublishError("missing columns: " + ", ".join(missing))
-    audit = Observation()
-    df.observe(audit, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("compression", "snappy").parquet(staging)
+    expected = df.count() if expected_rows is None else expected_rows
+    if expected == 0:
+        raise PublishError("empty batch")
+    df.write.mode("overwrite").option("compression", "snappy").parquet(staging)
     staged = df.sparkSession.read.parquet(staging)
     if sorted(staged.columns) != sorted(df.columns):
         raise PublishError("staged columns differ from the batch")
     rows = staged.count()
-    if rows == 0:
-        raise PublishError("empty batch")
-    if rows != audit.get["rows"]:
-        raise PublishError(f"staged {rows} rows of {audit.get['rows']}")
+    if rows != expected:
+        raise PublishError(f"staged {rows} rows of {expected}")
     staged.write.mode(mode).option("compression", "snappy").parquet(target)
     return {"rows": rows, "columns": len(staged.columns)}
 
