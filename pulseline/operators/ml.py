@@ -82,8 +82,11 @@ def out_of_fold(table: DataFrame, estimator) -> DataFrame:
     parts = []
     for k in folds:
         rest = table.where(F.col("fold") != k)
-        if rest.select("label").distinct().count() < 2 and not isinstance(estimator, RandomForestRegressor):
-            parts.append(table.where(F.col("fold") == k).withColumn("prediction", F.lit(0.0)))
+        labels = [r[0] for r in rest.select("label").distinct().limit(2).collect()]
+        if len(labels) < 2 and not isinstance(estimator, RandomForestRegressor):
+            # one class left: every model predicts it
+            only = F.lit(labels[0] if labels else 0.0)
+            parts.append(table.where(F.col("fold") == k).withColumn("prediction", only))
             continue
         parts.append(estimator.fit(rest).transform(table.where(F.col("fold") == k)).select(*table.columns, "prediction"))
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -209,7 +209,9 @@ def pair_verdict(routes: DataFrame, a: str, b: str) -> DataFrame:
     """The route of a pair under more stress; a wins ties."""
     first = F.when(F.col("route_short_name") == a, 0).otherwise(1)
     worst = F.min(F.struct((-F.col("fifa_stress_score")).alias("neg"), first.alias("f"), "route_short_name"))
-    return routes.where(F.col("route_short_name").isin(a, b)).agg(worst.alias("w")).select(
+    return routes.where(F.col("route_short_name").isin(a, b)).agg(worst.alias("w")).where(
+        F.col("w").isNotNull()
+    ).select(
         F.col("w.route_short_name").alias("worse_route"), (-F.col("w.neg")).alias("stress")
     )
 
@@ -250,7 +252,7 @@ def executive_callouts(ranked: DataFrame, hotspots: DataFrame, priority: DataFra
     """Four headline cards, each the top route by one measure (ties to the smaller name)."""
     def top(df: DataFrame, title: str, by: str) -> DataFrame:
         best = F.min(F.struct((-F.col(by)).cast("double").alias("neg"), "route_short_name")).alias("b")
-        return df.agg(best).select(F.lit(title).alias("title"), F.col("b.route_short_name").alias("route"),
+        return df.agg(best).where(F.col("b").isNotNull()).select(F.lit(title).alias("title"), F.col("b.route_short_name").alias("route"),
                                    C.rnd(-F.col("b.neg")).alias("value"))
 
     severe = hotspots.groupBy("route_short_name").agg(F.sum("severe_events").alias("severe_events"))

@@ -11,7 +11,9 @@ from pulseline.functions import columns as C
 from pulseline.functions.joins import with_scalars
 from pulseline.functions.ordered import ranked_neighbours
 
+# network form: vehicles of one route; corridor form: every vehicle on the shape
 SNAPSHOT_KEYS = ("route_id", "collection_timestamp", "direction_id", "shape_id")
+CORRIDOR_KEYS = ("collection_timestamp", "direction_id", "shape_id")
 DIST = "approx_shape_dist_traveled"
 
 
@@ -46,9 +48,9 @@ def observed_headways(in_service: DataFrame, keys: Sequence[str] = SNAPSHOT_KEYS
     holds at most the distinct distances of one shape, however many pings a snapshot has.
     A same-vehicle or zero-gap neighbour still hides the vehicle beyond it.
     """
-    names = ["event_id", "vehicle_id", "trip_id", "api_vehicle_timestamp", "latitude", "longitude"]
-    extra = [c for c in ("projection_error_m", "shape_length_km", "service_date") if c in in_service.columns]
-    row = F.struct(*names, *extra)
+    names = ["event_id", "vehicle_id", "trip_id", "api_vehicle_timestamp", "latitude", "longitude", "route_id",
+             "projection_error_m", "shape_length_km", "service_date"]
+    row = F.struct(*[c for c in names if c in in_service.columns and c not in keys])
     head = F.struct("event_id", "vehicle_id")
     stands = in_service.groupBy(*keys, DIST).agg(
         F.count(F.lit(1)).alias("n"), F.max(row).alias("me"), F.min(head).alias("head")

@@ -28,7 +28,12 @@ def _(d: Domain):
     return spc.bus_rank(d.in_service).select("event_id", "route_id", "direction_id", "shape_id", "bus_rank")
 
 
-@query("observed_headways", f"SELECT {_PAIR_SQL} FROM c_headways")
+@query("observed_headways", f"SELECT {_PAIR_SQL} FROM c_headways_net")
+def _(d: Domain):
+    return d.network_headways.select(*_PAIR)
+
+
+@query("observed_headways_corridor", f"SELECT {_PAIR_SQL} FROM c_headways")
 def _(d: Domain):
     return d.headways.select(*_PAIR)
 
@@ -39,11 +44,11 @@ SELECT {_PAIR_SQL}, next_latitude, next_longitude FROM (
     SELECT *, row_number() OVER w AS bus_rank, lead(vehicle_id) OVER w AS next_vehicle_id,
       lead(approx_shape_dist_traveled) OVER w AS next_shape_dist,
       lead(latitude) OVER w AS next_latitude, lead(longitude) OVER w AS next_longitude
-    FROM c_placed WINDOW w AS (PARTITION BY route_id, collection_timestamp, direction_id, shape_id
+    FROM c_placed WINDOW w AS (PARTITION BY collection_timestamp, direction_id, shape_id
                                ORDER BY approx_shape_dist_traveled, event_id)))
 WHERE next_vehicle_id IS NOT NULL AND next_shape_dist >= approx_shape_dist_traveled""")
 def _(d: Domain):
-    return spc.observed_headways_basic(d.placed).select(*_PAIR, "next_latitude", "next_longitude")
+    return spc.observed_headways_basic(d.placed, spc.CORRIDOR_KEYS).select(*_PAIR, "next_latitude", "next_longitude")
 
 
 @query("terminal_buffer", "SELECT event_id, shape_id, approx_shape_dist_traveled FROM c_in_service")

@@ -105,9 +105,14 @@ class Domain:
         return spc.terminal_buffer(self.placed)
 
     @cached_property
-    def headways(self) -> DataFrame:
+    def network_headways(self) -> DataFrame:
         return spc.observed_headways(self.in_service)
 
+    @cached_property
+    def headways(self) -> DataFrame:
+        """Corridor form: the bound data has too few vehicles per route and snapshot to bunch."""
+        return spc.observed_headways(self.in_service, spc.CORRIDOR_KEYS)
+
     @cached_property
     def events(self) -> DataFrame:
         return spc.bunching_events(self.headways)

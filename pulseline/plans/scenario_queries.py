@@ -49,7 +49,7 @@ _NAMES = [n for n, _ in SCENARIO.pressures]
 _WIDE = ", ".join(f"max(score) FILTER (scenario = '{n}') AS {n}" for n in _NAMES)
 cte("c_matrix", f"""
 SELECT route_short_name, route_type, {_WIDE} FROM (
-  SELECT l.*, {r('l.raw / m.ref * 1e2')} AS score FROM c_long l, (SELECT max({_raw('0.8e0')}) AS ref FROM c_base) m)
+  SELECT l.*, {r('l.raw / m.ref * 1e2')} AS score FROM c_long l, (SELECT coalesce(nullif(max({_raw('0.8e0')}), 0e0), 1e0) AS ref FROM c_base) m)
 GROUP BY route_short_name, route_type""")
 cte("c_matrix_minmax", f"""
 SELECT route_short_name, route_type, {_WIDE} FROM (SELECT *, {r("CASE WHEN max(x) OVER w = min(x) OVER w THEN 50e0 ELSE (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) * 1e2 END")} AS score
@@ -268,7 +268,7 @@ def _(d: Domain):
 @query("stress_headline", """
 SELECT count(*) FILTER (fifa_risk_band IN ('High', 'Critical')) AS high_or_critical,
   count(*) FILTER (existing_reliability_weakness = 1) AS already_weak,
-  string_agg(route_short_name, ', ' ORDER BY fifa_priority_rank) FILTER (fifa_priority_rank <= 3) AS top_three,
+  coalesce(string_agg(route_short_name, ', ' ORDER BY fifa_priority_rank) FILTER (fifa_priority_rank <= 3), '') AS top_three,
   coalesce(string_agg(route_short_name, ', ' ORDER BY fifa_priority_rank) FILTER (fan_festival_exposure = 1), '') AS festival_routes
 FROM c_ranked""")
 def _(d: Domain):

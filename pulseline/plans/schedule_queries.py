@@ -10,6 +10,7 @@ from pulseline.operators import geometry as geo
 from pulseline.operators import spacing as spc
 from pulseline.plans.domain import BOUND_ERROR_M, Domain
 from pulseline.plans.registry import cte, gavg, query, r
+from pulseline.plans.tables_sql import CORRIDOR, headways_sql
 from pulseline.sources import files
 
 # Name of the typed dimension, its columns, its SQL and the key test.
@@ -265,18 +266,13 @@ cte("c_spatial_service", """
 SELECT p.*, s.shape_length_km FROM c_projected p LEFT JOIN c_shape_summary s ON p.shape_id = s.shape_id
 WHERE p.projection_error_m <= 500 AND p.approx_shape_dist_traveled IS NOT NULL AND p.approx_shape_dist_traveled > 0.75e0
   AND (s.shape_length_km IS NULL OR p.approx_shape_dist_traveled < s.shape_length_km - 0.75e0)""")
-cte("c_spatial_headways", f"""
-SELECT *, {r('next_shape_dist - approx_shape_dist_traveled', 4)} AS distance_to_next_bus_km
-FROM (SELECT *, row_number() OVER w AS bus_rank, lead(vehicle_id) OVER w AS next_vehicle_id,
-        lead(approx_shape_dist_traveled) OVER w AS next_shape_dist
-      FROM c_spatial_service
-      WINDOW w AS (PARTITION BY route_id, collection_timestamp, direction_id, shape_id ORDER BY approx_shape_dist_traveled, event_id))
-WHERE next_vehicle_id IS NOT NULL AND next_vehicle_id <> vehicle_id AND next_shape_dist - approx_shape_dist_traveled > 0""")
+cte("c_spatial_headways", headways_sql("c_spatial_service", CORRIDOR))
 
 
 def _spatial(d: Domain):
     placed = spc.with_shape_length(d.projected, d.shape_summary)
-    return placed, spc.observed_headways(spc.terminal_buffer(spc.projection_filter(placed, BOUND_ERROR_M)))
+    return placed, spc.observed_headways(
+        spc.terminal_buffer(spc.projection_filter(placed, BOUND_ERROR_M)), spc.CORRIDOR_KEYS)
 
 
 @query("spatial_headways", """

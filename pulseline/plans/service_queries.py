@@ -12,6 +12,7 @@ from pulseline.config import PING_COLUMNS
 from pulseline.operators import health, ml
 from pulseline.operators import scenario as sc
 from pulseline.operators import scoring as sco
+from pulseline.operators.spacing import CORRIDOR_KEYS
 from pulseline.plans.domain import BOUND_SHAPE_KM, Domain
 from pulseline.plans.registry import query, r
 from pulseline.session import scratch_path
@@ -85,11 +86,11 @@ def _(d: Domain):
     return files.flatten_feed(files.pings_to_feed(d.raw_pings))
 
 
-@query("validated_publish", "SELECT route_id, direction_id, shape_id, route_segment_km, bunching_events FROM c_hotspots")
+@query("validated_publish", "SELECT route_id, total_spacing_rows, reliability_score, reliability_band FROM c_scores")
 def _(d: Domain):
-    target = scratch_path(d.spark, "hotspots")
-    batch = d.hotspots.select("route_id", "direction_id", "shape_id", "route_segment_km", "bunching_events")
-    sinks.validated_publish(batch, scratch_path(d.spark, "staging"), target, ["route_id", "bunching_events"])
+    target = scratch_path(d.spark, "scores")
+    batch = d.scores.select("route_id", "total_spacing_rows", "reliability_score", "reliability_band")
+    sinks.validated_publish(batch, scratch_path(d.spark, "staging"), target, ["route_id", "reliability_score"])
     return d.spark.read.parquet(target)
 
 
@@ -227,7 +228,7 @@ def _(d: Domain):
 
 @query("stream_bunching", "SELECT event_id, route_id, next_vehicle_id, distance_to_next_bus_km, bunching_severity FROM c_events")
 def _(d: Domain):
-    job = jobs.bunching_job(BOUND_SHAPE_KM, "bound_dist_km")
+    job = jobs.bunching_job(BOUND_SHAPE_KM, "bound_dist_km", CORRIDOR_KEYS)
     out = d.spark.read.parquet(jobs.drain_batches(_stream(d), job, *_places(d, "bunching")))
     return out.select("event_id", "route_id", "next_vehicle_id", "distance_to_next_bus_km", "bunching_severity")
 

@@ -157,18 +157,24 @@ WHERE approx_shape_dist_traveled > 0.75e0
   AND (shape_length_km IS NULL OR approx_shape_dist_traveled < shape_length_km - 0.75e0)
 """)
 
-cte("c_headways", f"""
+def headways_sql(source: str, keys: str) -> str:
+    return f"""
 SELECT *, {r('next_shape_dist - approx_shape_dist_traveled', 4)} AS distance_to_next_bus_km
 FROM (SELECT *,
         row_number() OVER w AS bus_rank,
         lead(vehicle_id) OVER w AS next_vehicle_id,
         lead(approx_shape_dist_traveled) OVER w AS next_shape_dist
-      FROM c_in_service
-      WINDOW w AS (PARTITION BY route_id, collection_timestamp, direction_id, shape_id
-                   ORDER BY approx_shape_dist_traveled, event_id))
+      FROM {source}
+      WINDOW w AS (PARTITION BY {keys} ORDER BY approx_shape_dist_traveled, event_id))
 WHERE next_vehicle_id IS NOT NULL AND next_vehicle_id <> vehicle_id
   AND next_shape_dist - approx_shape_dist_traveled > 0
-""")
+"""
+
+
+CORRIDOR = "collection_timestamp, direction_id, shape_id"
+NETWORK = "route_id, " + CORRIDOR
+cte("c_headways", headways_sql("c_in_service", CORRIDOR))
+cte("c_headways_net", headways_sql("c_in_service", NETWORK))
 
 cte("c_events", """
 SELECT *,

@@ -72,14 +72,14 @@ def freshness_job(now: Column) -> Callable[[DataFrame], DataFrame]:
     return lambda batch: health.freshness(batch, now)
 
 
-def bunching_job(length_km: float, distance: str) -> Callable[[DataFrame], DataFrame]:
+def bunching_job(length_km: float, distance: str, keys=spc.SNAPSHOT_KEYS) -> Callable[[DataFrame], DataFrame]:
     """Per micro-batch: bunching events. A snapshot is one poll cycle and arrives whole in one file."""
 
     def run(batch: DataFrame) -> DataFrame:
         placed = sil.silver_positions(batch).withColumnRenamed(distance, spc.DIST).withColumn(
             "shape_length_km", F.lit(length_km)
         )
-        return spc.bunching_events(spc.observed_headways(spc.terminal_buffer(placed)))
+        return spc.bunching_events(spc.observed_headways(spc.terminal_buffer(placed), keys))
 
     return run
 
