@@ -8,20 +8,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 BROADCAST_ROW_LIMIT = 200_000
-_ONE = "__one"
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach a global aggregate to every row.
+    """Attach the columns of a global aggregate to every row, as a scalar subquery.
 
-    A global aggregate has exactly one row whatever the input size, so the broadcast is
-    bounded by construction; the constant key makes it a hash join, not a nested loop.
+    A global aggregate has exactly one row whatever the input size. Spark runs it once and puts
+    the values into the expression; there is no join and nothing to broadcast.
     """
-    return (
-        df.withColumn(_ONE, F.lit(1))
-        .join(F.broadcast(one_row.withColumn(_ONE, F.lit(1))), _ONE, "left")
-        .drop(_ONE)
-    )
+    value = one_row.select(F.struct(*[F.col(c) for c in one_row.columns]).alias("s")).scalar()
+    return df.withColumn("__s", value).select(*df.columns, *[F.col(f"__s.{c}").alias(c) for c in one_row.columns])
 
 
 def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:

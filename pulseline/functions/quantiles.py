@@ -20,7 +20,9 @@ _ORIGIN = 1_000_000
 def magnitude_bin(value: Column) -> Column:
     """An order-preserving integer bin, about 1 % wide, computed from the value alone."""
     size = F.floor(F.log2(F.abs(value)) * F.lit(_STEPS_PER_OCTAVE)).cast("long") + F.lit(_ORIGIN)
-    return F.when(value == 0, F.lit(0)).when(value > 0, size).otherwise(-size)
+    signed = F.when(value == 0, F.lit(0)).when(value > 0, size).otherwise(-size)
+    # never NULL, so that joins on the bin add no filter and both uses share one exchange
+    return F.coalesce(signed, F.lit(0))
 
 
 def exact_percentiles(
@@ -29,8 +31,11 @@ def exact_percentiles(
     """One row per key with a column per wanted probability. NULL values and keys are kept out."""
     keys = list(keys)
     v, n, b = "__v", "__n", "__bin"
+    known = df.where(F.col(value).isNotNull())
+    for k in keys:
+        known = known.where(F.col(k).isNotNull())
     freq = (
-        df.where(F.col(value).isNotNull())
+        known
         .groupBy(*keys, F.col(value).cast("double").alias(v))
         .agg(F.count(F.lit(1)).alias(n))
         .withColumn(b, magnitude_bin(F.col(v)))

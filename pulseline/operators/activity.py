@@ -23,7 +23,9 @@ def _seen():
 
 
 def _known(df: DataFrame, *keys: str) -> DataFrame:
-    return df.dropna(subset=list(keys))
+    for k in keys:
+        df = df.where(F.col(k).isNotNull())
+    return df
 
 
 def route_vehicle_counts(pings: DataFrame, count_rows: bool = False) -> DataFrame:

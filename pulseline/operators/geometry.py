@@ -160,53 +160,69 @@ def stop_reference(stop_times: DataFrame, trips: DataFrame, stops: DataFrame) ->
 _SHAPE_KEY = ["route_id", "direction_id", "shape_id"]
 
 
-def _as_of(hotspots: DataFrame, stop_ref: DataFrame, mark, backward: bool) -> DataFrame:
-    """One-sided as-of match by a sorted union: no residual join, no pairs inside a shape."""
+_STOP = "struct<stop_id:string,stop_name:string,stop_dist_km:double>"
+
+
+def segment_stops(hotspots: DataFrame, stop_ref: DataFrame, width: float = 0.5) -> DataFrame:
+    """Nearest stop at or before each segment's start and at or after its end.
+
+    A two-sided as-of match by one sorted union: every hotspot is placed twice on its shape's
+    distance line, between the stops, and looks back from the start mark and ahead from the end
+    mark. No pair of stop and hotspot is formed; hotspots and stops are each read once. At equal
+    distance a start mark sorts after a stop and an end mark before it, so touching counts.
+    """
     # one stop per exact distance: the smallest id
     stops = stop_ref.groupBy(*_SHAPE_KEY, F.col("stop_dist_km").alias("at")).agg(
         F.min(F.struct("stop_id", "stop_name", "stop_dist_km")).alias("stop")
     )
-    probes = hotspots.select(*_SHAPE_KEY, "route_segment_km", mark.alias("at"))
-    both = stops.select(*_SHAPE_KEY, "at", "stop", F.lit(None).cast("double").alias("route_segment_km"),
-                        F.lit(0 if backward else 1).alias("side")).unionByName(
-        probes.select(*_SHAPE_KEY, "at", F.lit(None).cast("struct<stop_id:string,stop_name:string,stop_dist_km:double>").alias("stop"),
-                      "route_segment_km", F.lit(1 if backward else 0).alias("side"))
+    rest = [c for c in hotspots.columns if c not in _SHAPE_KEY]
+    marks = F.explode(F.array(
+        F.struct((F.col("route_segment_km") + F.lit(width)).alias("at"), F.lit(0).alias("side")),
+        F.struct(F.col("route_segment_km").alias("at"), F.lit(2).alias("side")),
+    ))
+    probes = hotspots.select(*_SHAPE_KEY, F.struct(*rest).alias("h"), marks.alias("m")).select(
+        *_SHAPE_KEY, "m.at", "m.side", "h", F.lit(None).cast(_STOP).alias("stop")
     )
+    h_type = probes.schema["h"].dataType
+    line = stops.select(*_SHAPE_KEY, "at", F.lit(1).alias("side"), F.lit(None).cast(h_type).alias("h"), "stop")
     w = Window.partitionBy(*_SHAPE_KEY).orderBy("at", "side")
-    if backward:
-        hit = F.last("stop", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    else:
-        hit = F.first("stop", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    tag = "before" if backward else "after"
-    return (
-        both.withColumn("hit", hit).where(F.col("route_segment_km").isNotNull())
-        .select(*_SHAPE_KEY, "route_segment_km",
-                F.col("hit.stop_id").alias(f"stop_{tag}_id"),
-                F.col("hit.stop_name").alias(f"stop_{tag}_name"),
-                C.rnd("hit.stop_dist_km").alias(f"stop_{tag}_dist_km"))
+    back = F.last("stop", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ahead = F.first("stop", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    seen = line.unionByName(probes).withColumns({"back": back, "ahead": ahead}).where(F.col("h").isNotNull())
+    per = seen.groupBy(*_SHAPE_KEY, F.col("h.route_segment_km").alias("k")).agg(
+        F.max("h").alias("h"),
+        F.max(F.when(F.col("side") == 2, F.col("back"))).alias("b"),
+        F.max(F.when(F.col("side") == 0, F.col("ahead"))).alias("a"),
     )
+    return per.select(
+        *_SHAPE_KEY, *[F.col(f"h.{c}").alias(c) for c in rest],
+        F.col("b.stop_id").alias("stop_before_id"), F.col("b.stop_name").alias("stop_before_name"),
+        C.rnd("b.stop_dist_km").alias("stop_before_dist_km"),
+        F.col("a.stop_id").alias("stop_after_id"), F.col("a.stop_name").alias("stop_after_name"),
+        C.rnd("a.stop_dist_km").alias("stop_after_dist_km"),
+    )
+
+
+_SEGMENT = [*_SHAPE_KEY, "route_segment_km"]
 
 
 def stop_before_segment(hotspots: DataFrame, stop_ref: DataFrame) -> DataFrame:
     """Latest stop at or before the segment start on the same route, direction and shape."""
-    return _as_of(hotspots, stop_ref, F.col("route_segment_km"), True)
+    found = segment_stops(hotspots.select(*_SEGMENT), stop_ref)
+    return found.select(*_SEGMENT, "stop_before_id", "stop_before_name", "stop_before_dist_km")
 
 
 def stop_after_segment(hotspots: DataFrame, stop_ref: DataFrame, width: float = 0.5) -> DataFrame:
     """Earliest stop at or after the segment end on the same route, direction and shape."""
-    return _as_of(hotspots, stop_ref, F.col("route_segment_km") + F.lit(width), False)
+    found = segment_stops(hotspots.select(*_SEGMENT), stop_ref, width)
+    return found.select(*_SEGMENT, "stop_after_id", "stop_after_name", "stop_after_dist_km")
 
 
 def hotspots_with_stops(hotspots: DataFrame, stop_ref: DataFrame, width: float = 0.5) -> DataFrame:
-    key = [*_SHAPE_KEY, "route_segment_km"]
-    return (
-        hotspots.withColumns({
-            "segment_start_km": F.col("route_segment_km"),
-            "segment_end_km": F.col("route_segment_km") + F.lit(width),
-        })
-        .join(stop_before_segment(hotspots, stop_ref), key, "left")
-        .join(stop_after_segment(hotspots, stop_ref, width), key, "left")
-    )
+    return segment_stops(hotspots, stop_ref, width).withColumns({
+        "segment_start_km": F.col("route_segment_km"),
+        "segment_end_km": F.col("route_segment_km") + F.lit(width),
+    })
 
 
 def route_stop_membership(stop_times: DataFrame, trips: DataFrame, routes: DataFrame | None = None) -> DataFrame:

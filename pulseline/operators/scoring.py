@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from pulseline.config import SCORE, ScoreRules
+from pulseline.config import SCORE, SPACING, ScoreRules, SpacingRules
 from pulseline.functions import columns as C
-from pulseline.functions.joins import bounded_broadcast, null_safe_join, with_scalars
+from pulseline.functions.joins import bounded_broadcast, with_scalars
 
 def _n():
     return F.count(F.lit(1))
@@ -123,25 +123,23 @@ def latest_eligible_date(silver: DataFrame, eligibility: DataFrame) -> DataFrame
 
 
 def reliability_scores(
-    headways: DataFrame, events: DataFrame, grain: Sequence[str] = ("service_date", "route_id"),
-    rules: ScoreRules = SCORE,
+    headways: DataFrame, grain: Sequence[str] = ("service_date", "route_id"), tz: str = "UTC",
+    spacing: SpacingRules = SPACING, rules: ScoreRules = SCORE,
 ) -> DataFrame:
     """Bunching rates and the 0-100 score with its band per grain.
 
-    Rates are rounded before they enter the score; the band looks at the score before rounding.
+    Bunching events are headways under the moderate limit, so spacing rows and events are counted
+    in one conditional aggregate instead of joining two. Rates are rounded before they enter the
+    score; the band looks at the score before rounding.
     """
-    grain = list(grain)
-    spacing = headways.groupBy(*grain).agg(_n().alias("total_spacing_rows"))
-    bunched = events.groupBy(*grain).agg(
-        _n().alias("e"), F.count_if(F.col("bunching_severity") == "Severe").alias("s"),
-        F.count_if(F.col("peak_period") != "Off Peak").alias("p"),
-    )
-    zero = F.lit(0)
-    rates = null_safe_join(spacing, bunched, grain).select(
-        *grain, "total_spacing_rows",
-        F.coalesce("e", zero).alias("total_bunching_events"),
-        F.coalesce("s", zero).alias("severe_events"),
-        F.coalesce("p", zero).alias("peak_events"),
+    gap = F.col("distance_to_next_bus_km")
+    close = gap <= spacing.moderate_km
+    peak = C.peak_period(F.hour(C.in_zone("collection_timestamp", tz))) != "Off Peak"
+    rates = headways.groupBy(*grain).agg(
+        _n().alias("total_spacing_rows"),
+        F.count_if(close).alias("total_bunching_events"),
+        F.count_if(gap <= spacing.severe_km).alias("severe_events"),
+        F.count_if(close & peak).alias("peak_events"),
     ).withColumns({
         "bunching_rate_pct": C.rnd(C.ratio("total_bunching_events", "total_spacing_rows", 100)),
         "severe_bunching_rate_pct": C.rnd(C.ratio("severe_events", "total_spacing_rows", 100)),

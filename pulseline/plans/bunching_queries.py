@@ -138,7 +138,7 @@ def _(d: Domain):
 @query("reliability_scores_by_day",
        f"SELECT * REPLACE (CAST(service_date AS VARCHAR) AS service_date) FROM ({scores_sql('service_date, route_id')})")
 def _(d: Domain):
-    return sco.reliability_scores(d.headways, d.events)
+    return sco.reliability_scores(d.headways.withColumn("service_date", F.to_date("collection_timestamp")))
 
 
 @query("route_type_summary", f"""
@@ -197,7 +197,7 @@ def _(d: Domain):
 
 @query("fragile_routes", "SELECT * FROM c_priority WHERE reliability_score < (SELECT median(reliability_score) FROM c_priority)")
 def _(d: Domain):
-    return sco.fragile_routes(d.priority)
+    return sco.fragile_routes(d.gold_priority)
 
 
 @query("network_kpis", f"""

@@ -1,7 +1,8 @@
-"""The chain of domain tables, as lazy DataFrames that are declared once and shared.
+"""The chain of domain tables, declared once and shared.
 
-Nothing here runs a job. A table used twice in one query is the same sub-plan, so Spark can
-reuse its exchange.
+Tables are lazy; a table used twice in one query is the same sub-plan, so Spark can reuse its
+exchange. The `gold_*` tables are the exception: consumers read them several times, so they are
+written once to the shared checkpoint folder and read back, as a scheduled pipeline would.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pulseline.operators import network as net
 from pulseline.operators import scoring as sco
 from pulseline.operators import silver as sil
 from pulseline.operators import spacing as spc
+from pulseline.session import scratch_path
 from pulseline.sources.testdata import TestTables
 
 BOUND_SHAPE_KM = 20.0
@@ -129,13 +131,33 @@ class Domain:
     def scores(self) -> DataFrame:
         """One row per route over the whole window."""
         return bun.with_route_names(
-            sco.reliability_scores(self.headways, self.events, ["route_id"]), self.routes
+            sco.reliability_scores(self.headways, ["route_id"]), self.routes
         )
 
     @cached_property
     def priority(self) -> DataFrame:
         return sco.corridor_priority(self.scores, self.hotspots)
 
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        """A written copy: lineage ends here and survives the loss of executors."""
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    @cached_property
+    def gold_hotspots(self) -> DataFrame:
+        return self.store(self.hotspots, "gold-hotspots")
+
+    @cached_property
+    def gold_priority(self) -> DataFrame:
+        """Scores and priority per route: every route-grained consumer reads this."""
+        return self.store(self.priority, "gold-priority")
+
+    @cached_property
+    def gold_both(self) -> DataFrame:
+        """Priority computed from stored hotspots, for queries that need both tables."""
+        return self.store(sco.corridor_priority(self.scores, self.gold_hotspots), "gold-priority")
+
     @cached_property
     def stop_ref(self) -> DataFrame:
         return geo.stop_reference(self.stop_times, self.trips, self.stops)

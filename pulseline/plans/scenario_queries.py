@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulseline.config import SCENARIO
+from pulseline.operators import geometry as geo
 from pulseline.operators import gold, scoring
 from pulseline.operators import scenario as sc
 from pulseline.plans.domain import Domain
@@ -84,10 +85,11 @@ SELECT route_short_name, route_type, normal_day AS stress_normal, {MATCH} AS str
 class _Stress:
     """Scenario tables of one domain, declared on demand."""
 
-    def __init__(self, d: Domain):
-        self.base = sc.stress_base(d.priority)
+    def __init__(self, d: Domain, with_hotspots: bool = False):
+        self.priority = d.gold_both if with_hotspots else d.gold_priority
+        self.base = sc.stress_base(self.priority)
         self.stress = sc.stress_scores_minmax(self.base)
-        self.adjusted = sc.adjusted_reliability(self.stress, d.scores)
+        self.adjusted = sc.adjusted_reliability(self.stress, self.priority)
         self.ranked = sc.stress_ranking(self.adjusted)
 
     @property
@@ -97,7 +99,7 @@ class _Stress:
 
 @query("exposure_tags", "SELECT * FROM c_tags")
 def _(d: Domain):
-    return sc.exposure_tags(d.priority)
+    return sc.exposure_tags(d.gold_priority)
 
 
 @query("stress_multiplier", "SELECT route_short_name, exposure_uplift, stress_multiplier FROM c_base")
@@ -141,7 +143,8 @@ def _(d: Domain):
 
 @query("adjusted_reliability", f"SELECT * FROM ({_adjust('c_scen')})")
 def _(d: Domain):
-    return sc.adjusted_reliability(sc.scenario_scores(_Stress(d).matrix, MATCH), d.scores)
+    s = _Stress(d)
+    return sc.adjusted_reliability(sc.scenario_scores(s.matrix, MATCH), s.priority)
 
 
 @query("scenario_delta", "SELECT * FROM c_delta")
@@ -215,7 +218,8 @@ LEFT JOIN (SELECT route_short_name, count(*) AS hotspot_count, CAST(sum(severe_e
            FROM c_hotspots GROUP BY route_short_name) h ON p.route_short_name = h.route_short_name
 WHERE p.route_short_name IN ('{_A}', '{_B}')""")
 def _(d: Domain):
-    return sc.route_comparison(d.priority, _Stress(d).adjusted, d.hotspots, _A, _B)
+    s = _Stress(d, True)
+    return sc.route_comparison(s.priority, s.adjusted, d.gold_hotspots, _A, _B)
 
 
 @query("route_record", f"""
@@ -224,7 +228,8 @@ SELECT p.route_short_name, p.route_long_name, p.intervention_priority_score, p.h
 FROM c_priority p LEFT JOIN c_scores s ON p.route_short_name = s.route_short_name
 LEFT JOIN c_stress f ON p.route_short_name = f.route_short_name WHERE p.route_short_name = '{_B}'""")
 def _(d: Domain):
-    return sc.route_record(_B, d.priority, d.scores, _Stress(d).stress)
+    s = _Stress(d)
+    return sc.route_record(_B, s.priority, s.priority, s.stress)
 
 
 @query("hotspot_risk_overlay", f"""
@@ -233,7 +238,8 @@ SELECT h.*, s.fifa_stress_score, s.fifa_risk_band, s.fifa_priority_rank,
 FROM c_hot_stops h LEFT JOIN c_ranked s ON h.route_short_name = s.route_short_name
 ORDER BY hotspot_risk_score DESC NULLS LAST, h.route_short_name, direction_id, shape_id, route_segment_km LIMIT 15""")
 def _(d: Domain):
-    return sc.hotspot_risk_overlay(d.hot_stops, _Stress(d).ranked)
+    s = _Stress(d, True)
+    return sc.hotspot_risk_overlay(geo.hotspots_with_stops(d.gold_hotspots, d.stop_ref), s.ranked)
 
 
 @query("executive_callouts", f"""
@@ -246,14 +252,15 @@ def _(d: Domain):
 (SELECT 'Highest intervention priority', route_short_name, {r('intervention_priority_score')} FROM c_priority
  ORDER BY intervention_priority_score DESC, route_short_name LIMIT 1)""")
 def _(d: Domain):
-    return sc.executive_callouts(_Stress(d).ranked, d.hotspots, d.priority)
+    s = _Stress(d, True)
+    return sc.executive_callouts(s.ranked, d.gold_hotspots, s.priority)
 
 
 @query("extra_service_gap", f"""
 SELECT route_short_name, CASE WHEN route_short_name IN (SELECT route_short_name FROM c_priority) THEN 'monitored' ELSE 'gap' END AS status
 FROM (SELECT unnest([{', '.join(repr(x) for x in SCENARIO.extra_service)}]) AS route_short_name)""")
 def _(d: Domain):
-    return sc.extra_service_gap(d.priority)
+    return sc.extra_service_gap(d.gold_priority)
 
 
 @query("frame_quality_gate", """
@@ -262,7 +269,7 @@ SELECT count(*) AS row_count, count(route_id) - count(DISTINCT route_id) AS dupl
   count(*) FILTER (reliability_score NOT BETWEEN 0 AND 100) AS score_out_of_range,
   count(*) FILTER (bunching_rate_pct < 0) AS negative_rates FROM c_priority""")
 def _(d: Domain):
-    return sc.frame_quality_gate(d.priority)
+    return sc.frame_quality_gate(d.gold_priority)
 
 
 @query("stress_headline", """
@@ -323,7 +330,8 @@ SELECT (SELECT count(*) FROM c_priority WHERE reliability_score < (SELECT median
   || first(route_short_name ORDER BY fifa_priority_rank) || ' (' || first(route_long_name ORDER BY fifa_priority_rank) || ').' AS verdict
 FROM c_ranked""")
 def _(d: Domain):
-    return sc.verdict_sentence(d.priority, _Stress(d).ranked, LABEL)
+    s = _Stress(d)
+    return sc.verdict_sentence(s.priority, s.ranked, LABEL)
 
 
 @query("display_top_n", """
@@ -342,7 +350,7 @@ def _(d: Domain):
 SELECT s.route_short_name, s.route_long_name, s.reliability_score, s.reliability_band, s.total_bunching_events, p.intervention_priority_score
 FROM c_scores s JOIN c_priority p ON s.route_id = p.route_id WHERE s.route_short_name = '099' OR s.route_long_name = 'CANADA Station'""")
 def _(d: Domain):
-    return gold.lookup(d.scores, d.priority, short="099", long="CANADA Station")
+    return gold.lookup(d.gold_priority, d.gold_priority, short="099", long="CANADA Station")
 
 
 @query("gold_ranking", """
@@ -352,7 +360,7 @@ UNION ALL (SELECT 'priority', route_short_name, intervention_priority_score FROM
 UNION ALL (SELECT 'severe_events', route_short_name, CAST(severe_events AS DOUBLE) FROM c_scores ORDER BY severe_events DESC, route_short_name LIMIT 5)
 UNION ALL (SELECT 'least_reliable', route_short_name, reliability_score FROM c_scores ORDER BY reliability_score, route_short_name LIMIT 5)""")
 def _(d: Domain):
-    return gold.rankings(d.scores, d.priority)
+    return gold.rankings(d.gold_priority, d.gold_priority)
 
 
 @query("gold_comparison", """

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, types as T
 
 from pulseline.config import PING_COLUMNS
+from pulseline.operators import geometry as geo
 from pulseline.operators import health, ml
 from pulseline.operators import scenario as sc
 from pulseline.operators import scoring as sco
@@ -101,8 +102,8 @@ def _(d: Domain):
 
 def _gold(d: Domain):
     return {
-        "route_reliability_scores": d.scores, "corridor_priority_ranking": d.priority, "hourly_bunching_pattern": d.hourly,
-        "bunching_hotspots_with_stops": d.hot_stops, "route_type_summary": sco.route_type_summary(d.scores),
+        "route_reliability_scores": d.scores, "corridor_priority_ranking": d.gold_both, "hourly_bunching_pattern": d.hourly,
+        "bunching_hotspots_with_stops": geo.hotspots_with_stops(d.gold_hotspots, d.stop_ref), "route_type_summary": sco.route_type_summary(d.scores),
     }
 
 
@@ -252,7 +253,7 @@ _TREES = 300
 
 
 def _features(d: Domain):
-    return ml.ml_feature_table(sc.stress_scores_minmax(sc.stress_base(d.priority)))
+    return ml.ml_feature_table(sc.stress_scores_minmax(sc.stress_base(d.gold_priority)))
 
 
 _NUM = ", ".join(
