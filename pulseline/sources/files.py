@@ -140,19 +140,44 @@ def pings_to_feed(pings: DataFrame) -> DataFrame:
     return pings.select("collection_timestamp", F.to_json(F.struct(F.array(entity).alias("entity"))).alias("body"))
 
 
+def _open_store(path: str):
+    """File system and key of a path or URI, and the text that turns a key back into a URI."""
+    from pyarrow import fs
+
+    if "://" in path and not path.startswith("file:"):
+        scheme = path.split("://", 1)[0]
+        store, key = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+        return store, key, f"{scheme}://"
+    return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/"), "file:"
+
+
+def _list_files(batches):
+    """All files below each given folder, empty ones included; hidden names are left out."""
+    import pandas as pd
+    from pyarrow import fs
+
+    for pdf in batches:
+        rows = []
+        for path in pdf["path"]:
+            store, key, prefix = _open_store(path)
+            info = store.get_file_info(key)
+            found = [info] if info.is_file else store.get_file_info(fs.FileSelector(key, recursive=True))
+            rows += [(prefix + f.path, int(f.size)) for f in found
+                     if f.is_file and not f.base_name.startswith(("_", "."))]
+        yield pd.DataFrame(rows, columns=["path", "length"])
+
+
 def _footers(batches):
     """Open each listed file far enough to see its magic bytes and footer, never its data."""
     import pandas as pd
-    from pyarrow import fs
     from pyarrow import parquet as pq
 
     for pdf in batches:
         rows = []
         for path, size in zip(pdf["path"], pdf["length"]):
-            uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
             magic, readable, n, cols = False, False, 0, []
             try:
-                store, key = fs.FileSystem.from_uri(uri)
+                store, key, _ = _open_store(path)
                 with store.open_input_file(key) as f:
                     head = f.read(4)
                     if size >= 8:
@@ -170,16 +195,20 @@ def _footers(batches):
 def file_audit(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
     """Every file under a path: size, Parquet magic, readable footer, rows and columns.
 
-    Spark lists the files (the content column is not asked for, so nothing is read) and spreads
-    them over tasks; each task reads only magic bytes and footers.
+    The driver names only the first-level folders (one per date). Tasks list them, the files are
+    spread evenly over tasks, and each task reads magic bytes and footers. Spark's own file
+    sources leave zero-byte files out of a listing, and those are exactly what an audit must see.
     """
-    listed = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-    )
-    spread = listed.repartition(tasks or spark.sparkContext.defaultParallelism)
+    from pyarrow import fs
+
+    store, key, prefix = _open_store(path)
+    tops = [(prefix + f.path,) for f in store.get_file_info(fs.FileSelector(key, recursive=False))]
+    n = tasks or spark.sparkContext.defaultParallelism
+    folders = spark.createDataFrame(tops, "path string").repartition(n)
+    listed = folders.mapInPandas(_list_files, "path string, length bigint").repartition(n)
     schema = ("path string, file_name string, size_bytes bigint, is_parquet boolean, readable boolean, "
               "row_count bigint, columns array<string>")
-    return spread.mapInPandas(_footers, schema)
+    return listed.mapInPandas(_footers, schema)
 
 
 def file_magic_audit(spark: SparkSession, path: str) -> DataFrame:
