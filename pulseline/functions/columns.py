@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from pulseline.config import (
     EARTH_RADIUS_M, ELIGIBILITY, EXPRESS_REGIONAL, LOCAL_OFFSET_HOURS, MODE_NAMES, SCENARIO,
-    SCORE, SPACING, STATION_KEYWORDS,
+    SCORE, SPACING, STATION_KEYWORDS, EligibilityRules,
 )
 
 
@@ -127,11 +127,11 @@ def stability_band(cv: str | Column) -> Column:
     )
 
 
-def eligibility(hours, observations, valid_pct) -> Column:
+def eligibility(hours, observations, valid_pct, rules: EligibilityRules = ELIGIBILITY) -> Column:
     ok = (
-        (col(hours) >= ELIGIBILITY.min_hours)
-        & (col(observations) >= ELIGIBILITY.min_observations)
-        & (col(valid_pct) >= ELIGIBILITY.min_valid_pct)
+        (col(hours) >= rules.min_hours)
+        & (col(observations) >= rules.min_observations)
+        & (col(valid_pct) >= rules.min_valid_pct)
     )
     return F.when(ok, "Eligible").otherwise("Not Eligible")
 

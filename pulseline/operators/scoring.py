@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from pulseline.config import SCORE, SPACING, ScoreRules, SpacingRules
+from pulseline.config import ELIGIBILITY, SCORE, SPACING, EligibilityRules, ScoreRules, SpacingRules
 from pulseline.functions import columns as C
 from pulseline.functions.joins import bounded_broadcast, with_scalars
 
@@ -75,12 +75,15 @@ def route_hourly_stability(silver: DataFrame) -> DataFrame:
     )
 
 
-def route_eligibility(stability: DataFrame, quality: DataFrame) -> DataFrame:
+def route_eligibility(
+    stability: DataFrame, quality: DataFrame, rules: EligibilityRules = ELIGIBILITY
+) -> DataFrame:
     valid = quality.select("service_date", "route_id", "valid_row_percentage")
     return stability.join(valid, ["service_date", "route_id"], "left").select(
         "service_date", "route_id", "observed_service_hours", "total_observations", "observation_cv",
         "coverage_band", "stability_band", "valid_row_percentage",
-        C.eligibility("observed_service_hours", "total_observations", "valid_row_percentage").alias("eligibility_status"),
+        C.eligibility("observed_service_hours", "total_observations", "valid_row_percentage", rules)
+        .alias("eligibility_status"),
     )
 
 

@@ -50,6 +50,13 @@ def route_allow_list(pings: DataFrame, routes: list[str] | None) -> DataFrame:
     return pings if routes is None else pings.where(F.col("route_id").isin(*routes))
 
 
+def with_event_id(pings: DataFrame) -> DataFrame:
+    """A repeatable bigint id per ping, for feeds that bring none; it only breaks ties."""
+    return pings.withColumn(
+        "event_id", F.xxhash64("collection_timestamp", "entity_id", "vehicle_id", "api_vehicle_timestamp")
+    )
+
+
 def silver_enriched(silver: DataFrame, trips: DataFrame, spread_by: str = "event_id") -> DataFrame:
     """Silver pings with direction, shape and service of their trip (NULL where unmatched)."""
     fields = trips.select("trip_id", "direction_id", "shape_id", "service_id")

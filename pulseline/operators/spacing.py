@@ -39,7 +39,13 @@ def bus_rank(projected: DataFrame, keys: Sequence[str] = SNAPSHOT_KEYS) -> DataF
     return ranked.withColumnRenamed("rank", "bus_rank").drop(f"next_{DIST}")
 
 
-def observed_headways(in_service: DataFrame, keys: Sequence[str] = SNAPSHOT_KEYS) -> DataFrame:
+CARRIED = ("trip_id", "api_vehicle_timestamp", "latitude", "longitude", "route_id", "projection_error_m",
+           "shape_length_km", "service_date")
+
+
+def observed_headways(
+    in_service: DataFrame, keys: Sequence[str] = SNAPSHOT_KEYS, carry: Sequence[str] = CARRIED
+) -> DataFrame:
     """Gap from each vehicle to the next different vehicle ahead in the same snapshot.
 
     A row can only have a positive gap if it is the last of its distance in the snapshot, and its
@@ -47,10 +53,11 @@ def observed_headways(in_service: DataFrame, keys: Sequence[str] = SNAPSHOT_KEYS
     distance) before the ordered window: the reduction runs map-side, and a window partition
     holds at most the distinct distances of one shape, however many pings a snapshot has.
     A same-vehicle or zero-gap neighbour still hides the vehicle beyond it.
+
+    `carry` names the further columns of the row to keep. They travel inside the aggregate, where
+    Catalyst cannot prune them, so scoring jobs pass only what they read.
     """
-    names = ["event_id", "vehicle_id", "trip_id", "api_vehicle_timestamp", "latitude", "longitude", "route_id",
-             "projection_error_m", "shape_length_km", "service_date"]
-    row = F.struct(*[c for c in names if c in in_service.columns and c not in keys])
+    row = F.struct("event_id", "vehicle_id", *[c for c in carry if c in in_service.columns and c not in keys])
     head = F.struct("event_id", "vehicle_id")
     stands = in_service.groupBy(*keys, DIST).agg(
         F.count(F.lit(1)).alias("n"), F.max(row).alias("me"), F.min(head).alias("head")

@@ -113,11 +113,11 @@ class Domain:
     @cached_property
     def headways(self) -> DataFrame:
         """Corridor form: the bound data has too few vehicles per route and snapshot to bunch."""
-        return spc.observed_headways(self.in_service, spc.CORRIDOR_KEYS)
+        return spc.observed_headways(self.in_service, spc.CORRIDOR_KEYS, ("route_id", "shape_length_km"))
 
     @cached_property
     def events(self) -> DataFrame:
-        return spc.bunching_events(self.headways)
+        return spc.bunching_events(self.headways).withColumn("service_date", F.to_date("collection_timestamp"))
 
     @cached_property
     def hotspots(self) -> DataFrame:

@@ -295,7 +295,7 @@ _HEAD = "'Route ' || route_short_name || ' (' || route_long_name || ')'"
 _RELIEF = "CASE WHEN has_extra_service = 1 THEN ' Announced extra service partly offsets this.' ELSE '' END"
 
 
-@query("route_narratives", f"""
+_ROUTE_TEXT = f"""
 SELECT route_short_name, CASE
   WHEN fifa_risk_band IN ('High', 'Critical') THEN {_HEAD} || ' is ' || lower(fifa_risk_band) || '-risk under {LABEL}'
     || CASE WHEN len(z) > 0 THEN ' because it combines ' || array_to_string(z[1:3], ', ') || '.' ELSE '.' END
@@ -305,12 +305,8 @@ SELECT route_short_name, CASE
     || ' Reliability eases ~' || {_int('reliability_drop')} || ' points but stays workable.' || {_RELIEF}
   ELSE {_HEAD} || ' stays low-risk under {LABEL}, benefiting from a strong baseline (' || {_int('reliability_score')}
     || ') and limited venue exposure.' || {_RELIEF} END AS narrative
-FROM (SELECT *, {_REASONS} AS z FROM c_adjusted)""")
-def _(d: Domain):
-    return sc.route_narratives(_Stress(d).adjusted, LABEL)
-
-
-@query("hotspot_narratives", f"""
+FROM (SELECT *, {_REASONS} AS z FROM c_adjusted)"""
+_HOTSPOT_TEXT = f"""
 SELECT route_short_name, direction_id, shape_id, route_segment_km,
   'Between ' || coalesce(stop_before_name, 'None') || ' and ' || coalesce(stop_after_name, 'None') || ', route ' || route_short_name
   || ' recorded ' || bunching_events || ' bunching events'
@@ -318,11 +314,30 @@ SELECT route_short_name, direction_id, shape_id, route_segment_km,
   || ' with a median spacing gap of about ' || {_int('median_gap_km * 1000')} || ' m. This represents '
   || CASE WHEN severe_events >= 5 OR bunching_events >= 80 THEN 'one of the most severe reliability issues in the monitored network'
        WHEN bunching_events >= 30 THEN 'a recurring reliability pressure point' ELSE 'a localized issue' END || '.' AS narrative
-FROM c_hot_stops""")
+FROM c_hot_stops"""
+
+
+@query("route_narratives", _ROUTE_TEXT)
+def _(d: Domain):
+    return sc.route_narratives(_Stress(d).adjusted, LABEL)
+
+
+@query("hotspot_narratives", _HOTSPOT_TEXT)
 def _(d: Domain):
     return sc.hotspot_narratives(d.hot_stops)
 
 
+@query("row_narratives", f"""
+SELECT 'route' AS kind, route_short_name, narrative FROM ({_ROUTE_TEXT})
+UNION ALL SELECT 'hotspot', route_short_name, narrative FROM ({_HOTSPOT_TEXT})""")
+def _(d: Domain):
+    s = _Stress(d, True)
+    routes = sc.route_narratives(s.adjusted, LABEL).withColumn("kind", F.lit("route"))
+    spots = sc.hotspot_narratives(geo.hotspots_with_stops(d.gold_hotspots, d.stop_ref)).withColumn("kind", F.lit("hotspot"))
+    fields = ["kind", "route_short_name", "narrative"]
+    return routes.select(*fields).unionByName(spots.select(*fields))
+
+
 @query("verdict_sentence", f"""
 SELECT (SELECT count(*) FROM c_priority WHERE reliability_score < (SELECT median(reliability_score) FROM c_priority)) || ' of '
   || (SELECT count(*) FROM c_priority) || ' corridors are fragile (below-median reliability). '

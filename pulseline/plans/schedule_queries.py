@@ -39,6 +39,19 @@ def _dim(name: str):
 for _name in _DIMS:
     _dim(_name)
 
+_CLEAN = " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, count(*) AS row_count FROM {rel}" for name, (_, rel, _) in _DIMS.items())
+
+
+@query("dims_clean", _CLEAN)
+def _(d: Domain):
+    cleaned = {}
+    for name, (table, _, _) in _DIMS.items():
+        raw = getattr(d, table)
+        cleaned[name] = dims.clean_dimension(raw.select(*[F.col(c).cast("string").alias(c) for c in raw.columns]), table)
+    return dims.table_counts(cleaned)
+
+
 cte("c_buses", """
 SELECT route_id, trim(route_short_name) AS route_short_name, route_long_name, route_type,
   CASE WHEN route_id IN ('6641') THEN 'B-Line' WHEN regexp_matches(route_short_name, '^N[0-9]+$') THEN 'NightBus'
@@ -104,7 +117,7 @@ def _(d: Domain):
     return dims.shape_reference_stats(d.shape_summary, _eligible_shapes(d))
 
 
-@query("table_counts", """
+@query("union_all_counts", """
 SELECT 'dim_routes' AS table_name, count(*) AS row_count FROM c_routes UNION ALL SELECT 'dim_trips', count(*) FROM c_trips
 UNION ALL SELECT 'dim_stops', count(*) FROM c_stops UNION ALL SELECT 'dim_shapes', count(*) FROM c_shapes
 UNION ALL SELECT 'dim_stop_times', count(*) FROM c_stop_times UNION ALL SELECT 'silver_enriched', count(*) FROM c_silver""")

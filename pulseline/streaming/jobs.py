@@ -79,7 +79,7 @@ def bunching_job(length_km: float, distance: str, keys=spc.SNAPSHOT_KEYS) -> Cal
         placed = sil.silver_positions(batch).withColumnRenamed(distance, spc.DIST).withColumn(
             "shape_length_km", F.lit(length_km)
         )
-        return spc.bunching_events(spc.observed_headways(spc.terminal_buffer(placed), keys))
+        return spc.bunching_events(spc.observed_headways(spc.terminal_buffer(placed), keys, ("route_id",)))
 
     return run
 
