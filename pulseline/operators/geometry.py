@@ -276,7 +276,7 @@ def critical_corridors(
         fill |= dict.fromkeys(fields, 0)
         order = "total_records"
     # one row per bus route, so a single ordered partition is small
-    rank = F.row_number().over(Window.orderBy(F.desc(order), "route_id"))
+    rank = F.row_number().over(Window.orderBy(F.desc(order), "route_id")).cast("bigint")
     return (
         base.fillna(fill).withColumn("activity_rank", rank)
         .withColumn("is_critical", F.col("activity_rank") <= top_n)

@@ -14,7 +14,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from pulseline.config import SCENARIO
 from pulseline.functions import columns as C
@@ -43,8 +43,12 @@ def ml_feature_table(stress: DataFrame, threshold: float = SCENARIO.high_risk) -
     )
 
 
-def prepared(features: DataFrame, folds: int = 5) -> DataFrame:
-    """Feature vector, balanced class weights and a fixed hash fold per route."""
+def prepared(features: DataFrame, folds: int | None = 5) -> DataFrame:
+    """Feature vector, balanced class weights and a fold per route.
+
+    Folds are a fixed hash of the route; None makes every route its own fold (leave-one-out),
+    which is meant for networks of a few dozen routes.
+    """
     sizes = features.agg(F.count(F.lit(1)).alias("n"), F.sum("fifa_high_risk").alias("pos"))
     weight = F.when(F.col("fifa_high_risk") == 1, C.ratio("n", F.col("pos") * 2)).otherwise(
         C.ratio("n", (F.col("n") - F.col("pos")) * 2)
@@ -52,7 +56,8 @@ def prepared(features: DataFrame, folds: int = 5) -> DataFrame:
     ready = with_scalars(features, sizes).withColumns({
         "weight": F.coalesce(weight, F.lit(1.0)),
         "label": F.col("fifa_high_risk").cast("double"),
-        "fold": F.pmod(F.xxhash64("route_short_name"), F.lit(folds)).cast("int"),
+        "fold": F.row_number().over(Window.orderBy("route_short_name")) if folds is None
+        else F.pmod(F.xxhash64("route_short_name"), F.lit(folds)).cast("int"),
     }).drop("n", "pos")
     return VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(ready).persist()
 

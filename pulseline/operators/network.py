@@ -89,7 +89,7 @@ def pareto_concentration(enriched: DataFrame) -> DataFrame:
     order = Window.orderBy(F.desc("total_records"), "route_id")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = enriched.withColumns({
-        "route_rank": F.row_number().over(order),
+        "route_rank": F.row_number().over(order).cast("bigint"),
         "cumulative_records": F.sum("total_records").over(upto),
         "whole": F.sum("total_records").over(_whole()),
         "n": _n().over(_whole()),

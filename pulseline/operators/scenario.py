@@ -146,7 +146,7 @@ def scenario_band_counts(stress: DataFrame) -> DataFrame:
 
 
 def stress_ranking(adjusted: DataFrame) -> DataFrame:
-    rank = F.row_number().over(Window.orderBy(F.desc("fifa_stress_score"), "route_short_name"))
+    rank = F.row_number().over(Window.orderBy(F.desc("fifa_stress_score"), "route_short_name")).cast("bigint")
     return adjusted.withColumn("fifa_priority_rank", rank)
 
 

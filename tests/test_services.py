@@ -203,6 +203,7 @@ def test_models_invariants(spark):
     assert {(r.route_type, r.route_type_encoded) for r in feats.collect()} == {("B-Line", 0.0), ("Regular Bus", 1.0)}
     table = ml.prepared(feats, folds=3)
     assert ml.out_of_fold(table, ml.logit()).count() == 20
+    assert ml.prepared(feats, folds=None).select("fold").distinct().count() == 20
     imp = ml.feature_importance(table, 20)
     assert imp.count() == 15 and imp.agg(F.sum("rf_importance")).first()[0] == pytest.approx(1.0)
     agree = ml.model_agreement(table, 20).collect()
