@@ -298,7 +298,7 @@ def stress_headline(ranked: DataFrame) -> DataFrame:
     )
 
 
-# Narrative phrases, in the order they are considered.
+# Narrative phrases in the order they are considered, and the sentence formats.
 REASONS = (
     ("existing_reliability_weakness", "already-elevated bunching"),
     ("downtown_or_venue", "a downtown / BC Place corridor"),
@@ -306,7 +306,22 @@ REASONS = (
     ("pm_peak_vulnerability", "strong peak-period concentration"),
     ("skytrain_connector_exposure", "a SkyTrain transfer point"),
 )
+INTENSITIES = (
+    "one of the most severe reliability issues in the monitored network",
+    "a recurring reliability pressure point",
+    "a localized issue",
+)
 RELIEF_NOTE = " Announced extra service partly offsets this."
+STRONG = "Route %s (%s) is %s-risk under %s%s Projected reliability falls about %s points, from %s.%s"
+STRONG_WHY = " because it combines %s."
+MIDDLE = "Route %s (%s) sees moderate degradation under %s%s Reliability eases ~%s points but stays workable.%s"
+MIDDLE_WHY = " — driven by %s."
+CALM = "Route %s (%s) stays low-risk under %s, benefiting from a strong baseline (%s) and limited venue exposure.%s"
+HOTSPOT = "Between %s and %s, route %s recorded %s bunching events%s%s. This represents %s."
+HOTSPOT_SEVERE = " including %s severe events"
+HOTSPOT_GAP = " with a median spacing gap of about %s m"
+VERDICT = ("%s of %s corridors are fragile (below-median reliability). %s go FIFA-critical under %s. "
+           "Top concern: route %s (%s).")
 
 
 def _whole(c) -> Column:
@@ -314,55 +329,41 @@ def _whole(c) -> Column:
 
 
 def route_narratives(adjusted: DataFrame, label: str) -> DataFrame:
-    """One sentence per route, worded by its risk band."""
+    """One sentence per route, worded by its risk band, naming at most three (or two) reasons."""
     active = {n: F.col(n) == 1 for n in FLAGS} | {
         "downtown_or_venue": (F.col("bc_place_exposure") == 1) | (F.col("downtown_exposure") == 1)
     }
-    reasons = F.array_compact(F.array(*[F.when(active[n], F.lit(t)) for n, t in REASONS]))
-    some = F.size("reasons") > 0
-    head = F.concat(F.lit("Route "), "route_short_name", F.lit(" ("), "route_long_name", F.lit(")"))
+    t = adjusted.withColumn("reasons", F.array_compact(F.array(*[F.when(active[n], F.lit(x)) for n, x in REASONS])))
+
+    def why(text: str, most: int) -> Column:
+        named = F.format_string(text, F.array_join(F.slice("reasons", 1, most), ", "))
+        return F.when(F.size("reasons") > 0, named).otherwise(".")
+
+    short, long, scenario = F.col("route_short_name"), F.col("route_long_name"), F.lit(label)
     relief = F.when(F.col("has_extra_service") == 1, RELIEF_NOTE).otherwise("")
-    drop, score = _whole("reliability_drop"), _whole("reliability_score")
-    strong = F.concat(
-        head, F.lit(" is "), F.lower("fifa_risk_band"), F.lit(f"-risk under {label}"),
-        F.when(some, F.concat(F.lit(" because it combines "), F.array_join(F.slice("reasons", 1, 3), ", "), F.lit(".")))
-        .otherwise("."),
-        F.lit(" Projected reliability falls about "), drop, F.lit(" points, from "), score, F.lit("."), relief,
-    )
-    middle = F.concat(
-        head, F.lit(f" sees moderate degradation under {label}"),
-        F.when(some, F.concat(F.lit(" — driven by "), F.array_join(F.slice("reasons", 1, 2), ", "), F.lit(".")))
-        .otherwise("."),
-        F.lit(" Reliability eases ~"), drop, F.lit(" points but stays workable."), relief,
-    )
-    calm = F.concat(
-        head, F.lit(f" stays low-risk under {label}, benefiting from a strong baseline ("), score,
-        F.lit(") and limited venue exposure."), relief,
-    )
-    band = F.col("fifa_risk_band")
-    return adjusted.withColumn("reasons", reasons).select(
+    drop, score, band = _whole("reliability_drop"), _whole("reliability_score"), F.col("fifa_risk_band")
+    return t.select(
         "route_short_name",
-        F.when(band.isin("High", "Critical"), strong).when(band == "Medium", middle).otherwise(calm).alias("narrative"),
+        F.when(band.isin("High", "Critical"),
+               F.format_string(STRONG, short, long, F.lower(band), scenario, why(STRONG_WHY, 3), drop, score, relief))
+        .when(band == "Medium", F.format_string(MIDDLE, short, long, scenario, why(MIDDLE_WHY, 2), drop, relief))
+        .otherwise(F.format_string(CALM, short, long, scenario, score, relief)).alias("narrative"),
     )
 
 
 def hotspot_narratives(hot_stops: DataFrame) -> DataFrame:
     """One sentence per hotspot with its intensity."""
-    severe, events = F.col("severe_events"), F.col("bunching_events")
+    severe, events, gap = F.col("severe_events"), F.col("bunching_events"), F.col("median_gap_km")
     intensity = (
-        F.when((severe >= 5) | (events >= 80), "one of the most severe reliability issues in the monitored network")
-        .when(events >= 30, "a recurring reliability pressure point").otherwise("a localized issue")
+        F.when((severe >= 5) | (events >= 80), INTENSITIES[0]).when(events >= 30, INTENSITIES[1]).otherwise(INTENSITIES[2])
     )
-    name = lambda c: F.coalesce(F.col(c), F.lit("None"))
     return hot_stops.select(
         "route_short_name", "direction_id", "shape_id", "route_segment_km",
-        F.concat(
-            F.lit("Between "), name("stop_before_name"), F.lit(" and "), name("stop_after_name"), F.lit(", route "),
-            "route_short_name", F.lit(" recorded "), events.cast("string"), F.lit(" bunching events"),
-            F.when(severe > 0, F.concat(F.lit(" including "), severe.cast("string"), F.lit(" severe events"))).otherwise(""),
-            F.coalesce(F.concat(F.lit(" with a median spacing gap of about "), _whole(F.col("median_gap_km") * 1000), F.lit(" m")),
-                       F.lit("")),
-            F.lit(". This represents "), intensity, F.lit("."),
+        F.format_string(
+            HOTSPOT, F.coalesce("stop_before_name", F.lit("None")), F.coalesce("stop_after_name", F.lit("None")),
+            F.col("route_short_name"), events.cast("string"),
+            F.when(severe > 0, F.format_string(HOTSPOT_SEVERE, severe.cast("string"))).otherwise(""),
+            F.when(gap.isNotNull(), F.format_string(HOTSPOT_GAP, _whole(gap * 1000))).otherwise(""), intensity,
         ).alias("narrative"),
     )
 
@@ -374,11 +375,9 @@ def verdict_sentence(priority: DataFrame, ranked: DataFrame, label: str) -> Data
         F.count_if(F.col("reliability_score") < F.col("mid")).alias("weak"), F.count(F.lit(1)).alias("n"))
     top = F.min(F.struct("fifa_priority_rank", "route_short_name", "route_long_name"))
     stress = ranked.agg(F.count_if(F.col("fifa_risk_band").isin("High", "Critical")).alias("crit"), top.alias("t"))
-    return with_scalars(counts, stress).select(F.concat(
-        F.col("weak").cast("string"), F.lit(" of "), F.col("n").cast("string"),
-        F.lit(" corridors are fragile (below-median reliability). "), F.col("crit").cast("string"),
-        F.lit(f" go FIFA-critical under {label}. Top concern: route "), F.col("t.route_short_name"), F.lit(" ("),
-        F.col("t.route_long_name"), F.lit(")."),
+    return with_scalars(counts, stress).select(F.format_string(
+        VERDICT, F.col("weak").cast("string"), F.col("n").cast("string"), F.col("crit").cast("string"), F.lit(label),
+        F.col("t.route_short_name"), F.col("t.route_long_name"),
     ).alias("verdict"))
 
 

@@ -46,7 +46,7 @@ def test_silver_drops_missing_and_outside(spark):
 
 def test_silver_hours_follow_the_zone(spark):
     r = sil.silver_positions(_pings(spark, [("2026-05-19 03:00:00", T, "e", "v", "r", "t", 49.0, -123.0, None, None)]),
-                             tz="America/Vancouver").first()
+                             tz="America/Los_Angeles").first()
     assert (str(r.service_date), r.hour_of_day) == ("2026-05-18", 20)
 
 
