@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
-import tempfile
+import posixpath
 
 from pyspark.sql import SparkSession
 
@@ -32,18 +33,36 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a fresh local one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: the cluster's own checkpoint folder, or the
+    session's warehouse where none is set. Never a folder of one machine's own choice."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared:
         return shared
-    known = spark.sparkContext.getCheckpointDir()
-    if known:
-        return known
-    fresh = tempfile.mkdtemp(prefix="pulseline-ckpt-")
-    spark.sparkContext.setCheckpointDir(fresh)
-    return fresh
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+    if not warehouse:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return posixpath.join(warehouse, "_scratch")
+
+
+_MADE: list[str] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique folder below the shared checkpoint folder."""
-    return os.path.join(checkpoint_dir(spark), f"{name}-{os.urandom(6).hex()}")
+    """A new, unique folder below the shared folder; `release` or the driver's end deletes it."""
+    path = posixpath.join(checkpoint_dir(spark), f"{name}-{os.urandom(6).hex()}")
+    if not _MADE:
+        atexit.register(release, spark)
+    _MADE.append(path)
+    return path
+
+
+def release(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch folders: the given ones, or all that this driver has made."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc
+    if jvm is None or conf is None:  # the session is stopped
+        return
+    for path in paths or tuple(_MADE):
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf.hadoopConfiguration()).delete(place, True)
+        if path in _MADE:
+            _MADE.remove(path)
