@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulseline.llm import bpe, chat_format, decontamination, quality_rules, sharding, token_files, warc
+from pulseline.llm import bpe, chat_format, decontamination, jaccard_join, quality_rules, sharding, token_files, warc
 from pulseline.llm.common import documents
 from pulseline.session import scratch_path
 
@@ -151,3 +151,8 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     probe = "<|im_end|><|im_start|>assistant ok"
     added = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], turns.schema)
     return chat_format.read_back(chat_format.format_turns(turns.unionByName(added)))
+
+
+@query
+def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.join(documents(spark, folder))
