@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulseline.llm import bpe, chat_format, decontamination, jaccard_join, quality_rules, sharding, token_files, warc
-from pulseline.llm.common import documents
+from pulseline.llm import bpe, chat_format, decontamination, jaccard_join, quality_rules, sharding, token_files, toxicity, warc
+from pulseline.llm.common import documents, id_remainder
 from pulseline.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,14 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.join(documents(spark, folder))
+
+
+@query
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model, into="score")
+    return scored.select(
+        "doc_id", (id_remainder(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
