@@ -17,47 +17,59 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from pulseline.llm.common import pieces
+from pulseline.llm.common import pieces, words_of
 
-#: Only these characters are surely white space to every tokenizer, so only they cut a text.
-BLANKS = "[^ \t\n\r\f\v]+"
-#: Distinct words whose ids a task keeps; longer ones than KEPT_CHARS are never kept.
-KEPT, KEPT_CHARS = 150_000, 48
+#: A word that stands between words while they are encoded together.
+MARK = "\x01"
+PIECE = 4 << 20
 
 
 class WordEncoder:
     """Ids of whole texts from a tokenizer whose pre-tokens never span white space.
 
-    Such a tokenizer gives a text the ids of its blank-separated words in order, so each distinct
-    word goes through the tokenizers library once.
+    Such a tokenizer gives a text the ids of its blank-separated words in order. The six ASCII
+    blanks are white space to every tokenizer, so only they cut a text here, and each distinct
+    word of a piece of input goes through the tokenizers library once.
     """
 
     def __init__(self, path: str):
-        import re
-
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.cut = re.compile(BLANKS).findall
-        self.kept: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(t) for t in texts]
-        used = set().union(*cut)
-        new = list(used.difference(self.kept))
-        known = self.kept
-        if new:
-            made = self.model.encode_batch_fast(new, add_special_tokens=False)
-            ids = {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(new, made, strict=True)}
-            if len(known) + len(new) > KEPT:
-                known = {w: known[w] for w in used.intersection(known)}
-            known.update(ids)
-            self.kept = known if len(known) <= KEPT else {}
-        out = [b"".join(map(known.__getitem__, words)) for words in cut]
-        if any(len(w) > KEPT_CHARS for w in new):
-            self.kept = {w: x for w, x in self.kept.items() if len(w) <= KEPT_CHARS}
-        return out
+        self.mark = self._ids(MARK)
+        if len(self.mark) != 1:
+            raise ValueError("the tokenizer has no single id for the mark between words")
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.model.encode(text, add_special_tokens=False).ids, np.int32)
+
+    def distinct(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after another, and how many each has."""
+        together = self._ids(f" {MARK} ".join(w if MARK not in w else "" for w in words))
+        at = np.nonzero(together == self.mark[0])[0]
+        ends = np.append(at, len(together))
+        counts = np.diff(np.concatenate([[-1], ends])) - 1
+        own = np.delete(together, at)
+        odd = [i for i, w in enumerate(words) if MARK in w]
+        if odd:  # words that hold the mark themselves
+            parts = np.split(own, np.cumsum(counts)[:-1])
+            for i in odd:
+                parts[i] = self._ids(words[i])
+            own, counts = np.concatenate(parts), np.array([len(x) for x in parts])
+        return own, counts
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, each closed by `end_id`, and how many each has."""
+        codes, starts, words = words_of(texts)
+        own, counts = self.distinct(words.to_pylist()) if len(words) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        own, counts = np.append(own, np.int32(end_id)), np.append(counts, 1)
+        first = np.cumsum(counts) - counts
+        codes = np.insert(codes, starts[1:], len(words))
+        n = counts[codes]
+        before = np.concatenate([[0], np.cumsum(n)])
+        ids = own[np.arange(before[-1]) + np.repeat(first[codes] - before[:-1], n)]
+        return ids, np.diff(before[starts + np.arange(len(starts))])
 
 
 def write_tokens(
@@ -87,17 +99,14 @@ def write_tokens(
         ["part int", "place long", f"`{key}` {types[key]}", "n_tokens long", "ids array<int>"]
         + [f"`{m}` {types[m]}" for m in meta]
     )
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, place = WordEncoder(tokenizer_path), 0
         for batch in batches:
-            for part in pieces(batch, "_text"):
-                packed = [x + end for x in encoder.encode([t or "" for t in part["_text"].to_pylist()])]
-                count = np.array([len(x) // 4 for x in packed], np.int64)
+            for part in pieces(batch, "_text", PIECE):
+                flat, count = encoder.encode(part["_text"], end_id)
                 ends = np.concatenate([[0], np.cumsum(count)])
-                flat = pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32))
-                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)
+                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
                 columns = [part["part"], pa.array(place + ends[:-1]), part[key], pa.array(count), ids]
                 names = ["part", "place", key, "n_tokens", "ids"]
                 yield pa.RecordBatch.from_arrays([*columns, *(part[m] for m in meta)], names=[*names, *meta])
@@ -114,7 +123,8 @@ def write_tokens(
 
 
 def part_bases(files: DataFrame) -> DataFrame:
-    """Ids before each part: one small row per written part, from the lengths alone."""
+    """Ids before each part, from the lengths alone: 12 bytes for each written part, so their
+    number is bounded by the writing job's tasks."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     return totals.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -127,7 +137,7 @@ def read_tokens(spark: SparkSession, path: str, columns: tuple[str, ...] = ("ids
     bases = part_bases(files)
     kept = files if where is None else files.filter(where)
     key = files.columns[2]
-    return kept.join(bases, "part").select(
+    return kept.join(F.broadcast(bases), "part").select(
         key, (F.col("_base") + F.col("place")).alias("start"), "n_tokens", *columns
     )
 
