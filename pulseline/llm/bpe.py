@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pulseline.llm.common import pieces
+from pulseline.llm.common import making_room, pieces, schema_text
 
 #: Byte b is written as the letter with code point 256 + b: no white space, no combining marks.
 FIRST_LETTER = 256
@@ -116,19 +116,14 @@ class Encoder:
         return out
 
 
-def _added(df: DataFrame, *names: str):
-    if clash := set(names) & set(df.columns):
-        raise ValueError(f"rename the columns {sorted(clash)} of the input first")
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
     """Add `into`: the ids of each whole text, packed as little-endian unsigned 32-bit integers.
 
     A null or empty text gives no ids (an empty value). All other columns pass unchanged; a column
-    that is already called `into` is refused. `ranks_path` must be readable on every executor.
+    that was already called `into` is replaced. `ranks_path` must be readable on every executor.
     """
-    schema = _added(df, into)
+    df = making_room(df, into)
+    schema = schema_text(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks_path, pattern)
@@ -145,9 +140,11 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", int
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Add `into`: the bytes that packed ids stand for, by the inverse of the vocabulary.
 
-    Null ids give null; an id outside the vocabulary raises an error.
+    Null ids give null; an id outside the vocabulary raises an error. A column that was already
+    called `into` is replaced.
     """
-    schema = _added(df, into)
+    df = making_room(df, into)
+    schema = schema_text(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entry = {rank: raw for raw, rank in read_ranks(ranks_path).items()}.__getitem__

@@ -31,6 +31,16 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def making_room(df: DataFrame, *names: str) -> DataFrame:
+    """The input without columns that an operator is about to add, whatever their case."""
+    added = {n.lower() for n in names}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in added))
+
+
+def schema_text(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most `most` bytes of text each; a longer text stands alone."""
     size = np.nan_to_num(pc.binary_length(batch[column]).to_numpy(zero_copy_only=False)).astype(np.int64)

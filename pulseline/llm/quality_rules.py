@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pulseline.llm.common import WORD
+from pulseline.llm.common import WORD, making_room
 
 #: Words in a window whose repetition counts.
 WINDOW = 5
@@ -67,15 +67,15 @@ END"""
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the measurements of each whole text (null or empty: all 0) as long columns.
 
-    Columns of the input with a measurement's name, or with one starting with an underscore that
-    this function uses, raise an error. Rows are independent, so repeated rows give repeated rows.
+    Columns of the input that are already called like a measurement, or like one of the
+    intermediate columns (`_text`, `_words`, `_lines`, `_hashes`), are replaced. Rows are
+    independent, so repeated rows give repeated rows.
     """
-    own = {*MEASURES, "_text", "_words", "_lines", "_hashes"}
-    if clash := own & set(docs.columns):
-        raise ValueError(f"rename the columns {sorted(clash)} of the input first")
+    given = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    docs = making_room(docs, *MEASURES, "_text", "_words", "_lines", "_hashes")
     word = WORD.replace("\\", "\\\\")
     cut = (
-        docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+        making_room(given, *MEASURES, "_words", "_lines", "_hashes")
         .withColumn("_words", F.expr(f"regexp_extract_all(_text, '{word}', 0)"))
         .withColumn("_lines", F.expr(f"filter(split(_text, '\\n'), x -> x RLIKE '{word}')"))
     )
@@ -103,7 +103,7 @@ def mask(policy: str | Policy) -> int:
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """The input with its measurements and `failed_bits`, one bit for each failed rule."""
-    measured = measure(docs, text)
+    measured = making_room(measure(docs, text), "failed_bits")
     bits = " | ".join(f"(CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END)" for r in RULES)
     return measured.withColumn("failed_bits", F.expr(bits).cast("int"))
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulseline.llm import bpe, chat_format, decontamination, jaccard_join, quality_rules, sharding, token_files, toxicity, warc
+from pulseline.llm import bpe, chat_format, decontamination, hidden_markov, jaccard_join, quality_rules, sharding, token_files, toxicity, warc
 from pulseline.llm.common import documents, id_remainder
 from pulseline.session import scratch_path
 
@@ -167,3 +168,13 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", (id_remainder(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD).alias("held_out"), "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query
+def op7_hidden_markov(spark: SparkSession, folder: str) -> DataFrame:
+    return hidden_markov.score(documents(spark, folder))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from pulseline.llm.common import hashes_of, id_remainder, pieces, shingle_hashes, stored, words_of
+from pulseline.llm.common import hashes_of, id_remainder, making_room, pieces, schema_text, shingle_hashes, stored, words_of
 
 FOLDS, HELD = 3, 1
 THRESHOLD = 0.7
@@ -278,11 +278,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "toxicity") -> DataFrame:
     """Add `into`, 0 to 1, from the text alone (null counts as empty). All rows and other columns
-    pass; a column already called `into` is refused."""
-    if into in docs.columns:
-        raise ValueError(f"rename the column {into} of the input first")
+    pass; a column that was already called `into` is replaced."""
+    docs = making_room(docs, into)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{into}` double"
+    schema = f"{schema_text(docs)}, `{into}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.array(shared.value.weights)
