@@ -83,8 +83,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         f"transform(slice(_words, 1, greatest(size(_words) - {WINDOW - 1}, 0)),"
         f" (w, i) -> xxhash64(slice(_words, i + 1, {WINDOW})))"
     ))
-    return hashed.select(
-        *docs.columns,
+    taken = F.struct(
         F.size("_words").cast("long").alias("n_words"),
         F.expr("CAST(char_length(concat_ws('', _words)) AS BIGINT)").alias("word_chars"),
         F.expr("CAST(regexp_count(_text, '[#*$%&|<>]') AS BIGINT)").alias("n_symbols"),
@@ -93,6 +92,11 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size("_lines").cast("long").alias("n_lines"),
         F.expr("CAST((char_length(_text) - char_length(replace(_text, '!!', ''))) DIV 2 AS BIGINT)").alias("n_shouted"),
     )
+    # One row each, but through a generator: a later filter on a measurement is then never pushed
+    # below it, where each mention would split the text again.
+    return hashed.select(*(f"`{c}`" for c in docs.columns), F.explode(F.array(taken)).alias("_taken")).select(
+        *(f"`{c}`" for c in docs.columns), "_taken.*"
+    )
 
 
 def mask(policy: str | Policy) -> int:
