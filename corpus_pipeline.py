@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulseline.llm import bpe, decontamination, jaccard_join, quality_rules, toxicity
-from pulseline.llm.common import stored
+from pulseline.llm.common import shipped, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -54,7 +54,10 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
-STAGES = [("quality", quality), ("toxicity", clean), ("near_duplicates", distinct), ("decontamination", unleaked), ("tokens", tokens)]
+STAGES = [
+    ("quality", shipped(quality)), ("toxicity", shipped(clean)), ("near_duplicates", shipped(distinct)),
+    ("decontamination", shipped(unleaked)), ("tokens", shipped(tokens)),
+]
 
 #: Trained models and tokenizers are beyond SQL; tests compare each stage with brute force.
 ORACLE_SQL = None

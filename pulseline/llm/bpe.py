@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +117,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(ranks_path: str, pattern: str) -> Encoder:
+    """One for each Python worker, which keeps it from task to task."""
+    return Encoder(ranks_path, pattern)
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
     """Add `into`: the ids of each whole text, packed as little-endian unsigned 32-bit integers.
 
@@ -126,7 +133,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", int
     schema = schema_text(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(ranks_path, pattern)
+        encoder = worker_encoder(ranks_path, pattern)
         for batch in batches:
             for part in pieces(batch, text):
                 ids = encoder.encode([t or "" for t in part[text].to_pylist()])

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import os
+import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+import pulseline
 from pulseline.session import scratch_path
 
 #: A word: a run of characters other than the six ASCII white-space characters.
@@ -18,6 +24,32 @@ WORD = r"[^\x20\x09-\x0D]+"
 PIECE_BYTES = 1 << 20
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once for each Spark context: they may start in any
+    folder. The archive goes through Spark's own file distribution."""
+    context = spark.sparkContext
+    if getattr(context, "_pulseline_shipped", False):
+        return
+    root = Path(pulseline.__file__).parent
+    archive = Path(SparkFiles.getRootDirectory(), f"package-{os.urandom(4).hex()}", "pulseline_package.zip")
+    archive.parent.mkdir(parents=True)
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._pulseline_shipped = True
+
+
+def shipped(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A query or stage whose first argument is the session, after `ship_package`."""
+    @wraps(fn)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, *args)
+
+    return run
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
@@ -109,25 +141,3 @@ def id_remainder(column: Column, modulus: int) -> Column:
 def id_remainders(ids: pa.Array, modulus: int) -> np.ndarray:
     """`id_remainder` for an Arrow array."""
     return np.array([0 if i is None else zlib.crc32(str(i).encode()) % modulus for i in ids.to_pylist()], np.int64)
-
-
-def with_ordinal(df: DataFrame, order: list[Column], name: str, tasks: int | None = None) -> DataFrame:
-    """A gapless number from 0 in ascending order, without gathering rows in one task.
-
-    Rows are range-partitioned and sorted, written, counted per partition, and each partition's
-    first number comes from the counts before it (one small row per partition). Rows that are
-    equal in every order expression get their numbers in any order among themselves.
-    """
-    spark = df.sparkSession
-    n = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    mark = F.monotonically_increasing_id()
-    placed = stored(
-        df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_mark", mark), name
-    ).withColumn("_part", F.shiftright("_mark", 33)).withColumn("_row", F.col("_mark").bitwiseAND((1 << 33) - 1))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = placed.groupBy("_part").agg(F.count("*").alias("_n")).select(
-        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")
-    )
-    return placed.join(base, "_part").withColumn("ordinal", F.col("_base") + F.col("_row")).drop(
-        "_mark", "_part", "_row", "_base"
-    )

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulseline.llm import bpe, chat_format, decontamination, hidden_markov, jaccard_join, quality_rules, sharding, token_files, toxicity, warc
-from pulseline.llm.common import documents, id_remainder
+from pulseline.llm.common import documents, id_remainder, shipped
 from pulseline.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,8 +20,8 @@ WORD_TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
-    QUERIES[fn.__name__] = fn
-    return fn
+    QUERIES[fn.__name__] = shipped(fn)
+    return QUERIES[fn.__name__]
 
 
 @query
@@ -175,6 +175,6 @@ def op7_hidden_markov(spark: SparkSession, folder: str) -> DataFrame:
     return hidden_markov.score(documents(spark, folder))
 
 
-QUERIES["pipeline"] = corpus_pipeline.run
+QUERIES["pipeline"] = shipped(corpus_pipeline.run)
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -9,8 +9,10 @@ a small side table holds.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +23,20 @@ from pulseline.llm.common import pieces, words_of
 
 #: A word that stands between words while they are encoded together.
 MARK = "\x01"
+#: A word of Latin letters with closing punctuation: every tokenizer of this kind lower-cases the
+#: letters one by one and cuts before the punctuation, so both parts can be encoded alone.
+SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,:;!?]*)")
+#: Words whose ids a task keeps; longer ones than KEPT_CHARS are never kept.
+KEPT, KEPT_CHARS = 400_000, 32
 PIECE = 4 << 20
 
 
 class WordEncoder:
-    """Ids of whole texts from a tokenizer whose pre-tokens never span white space.
+    """Ids of whole texts from a lower-casing tokenizer whose pre-tokens never span white space.
 
     Such a tokenizer gives a text the ids of its blank-separated words in order. The six ASCII
-    blanks are white space to every tokenizer, so only they cut a text here, and each distinct
-    word of a piece of input goes through the tokenizers library once.
+    blanks are white space to every tokenizer, so only they cut a text here, and a distinct word
+    goes through the tokenizers library once as long as it is kept.
     """
 
     def __init__(self, path: str):
@@ -40,24 +47,40 @@ class WordEncoder:
         self.mark = self._ids(MARK)
         if len(self.mark) != 1:
             raise ValueError("the tokenizer has no single id for the mark between words")
+        self.kept: dict[str, bytes] = {"": b""}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.asarray(self.model.encode(text, add_special_tokens=False).ids, np.int32)
 
+    def _fresh(self, words: list[str]) -> dict[str, bytes]:
+        """Packed ids of each word, all encoded together."""
+        plain = [w for w in words if MARK not in w]
+        out = {w: self._ids(w).tobytes() for w in words if MARK in w}
+        together = self._ids(f" {MARK} ".join(plain))
+        raw = together.tobytes()
+        ends = np.append(np.nonzero(together == self.mark[0])[0], len(together)).tolist()
+        first = 0
+        for word, end in zip(plain, ends, strict=bool(plain)):
+            out[word] = raw[4 * first:4 * end]
+            first = end + 1
+        return out
+
     def distinct(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after another, and how many each has."""
-        together = self._ids(f" {MARK} ".join(w if MARK not in w else "" for w in words))
-        at = np.nonzero(together == self.mark[0])[0]
-        ends = np.append(at, len(together))
-        counts = np.diff(np.concatenate([[-1], ends])) - 1
-        own = np.delete(together, at)
-        odd = [i for i, w in enumerate(words) if MARK in w]
-        if odd:  # words that hold the mark themselves
-            parts = np.split(own, np.cumsum(counts)[:-1])
-            for i in odd:
-                parts[i] = self._ids(words[i])
-            own, counts = np.concatenate(parts), np.array([len(x) for x in parts])
-        return own, counts
+        parts = [(m[1].lower(), m[2]) if (m := SIMPLE.fullmatch(w)) else (w, "") for w in words]
+        known = self.kept
+        new = {x for pair in parts for x in pair if x not in known}
+        if new:
+            fresh = self._fresh(list(new))
+            known = known | fresh if len(known) + len(new) > KEPT else known
+            if known is self.kept:
+                known.update(fresh)
+        packed = [known[a] + known[b] for a, b in parts]
+        if new and known is self.kept:
+            for w in new:
+                if len(w) > KEPT_CHARS:
+                    del known[w]
+        return np.frombuffer(b"".join(packed), np.int32), np.array([len(x) // 4 for x in packed], np.int64)
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each closed by `end_id`, and how many each has."""
@@ -72,6 +95,12 @@ class WordEncoder:
         return ids, np.diff(before[starts + np.arange(len(starts))])
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """One for each Python worker, which keeps it from task to task."""
+    return WordEncoder(path)
+
+
 def write_tokens(
     docs: DataFrame, path: str, tokenizer_path: str, end_id: int, text: str = "text", key: str = "doc_id",
     meta: tuple[str, ...] = (), encoding: str = "delta", row_group_bytes: int = 8 << 20, page_rows: int = 512,
@@ -101,7 +130,7 @@ def write_tokens(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, place = WordEncoder(tokenizer_path), 0
+        encoder, place = word_encoder(tokenizer_path), 0
         for batch in batches:
             for part in pieces(batch, "_text", PIECE):
                 flat, count = encoder.encode(part["_text"], end_id)
