@@ -32,10 +32,10 @@ from pulseline.llm.common import hashes_of, pieces, shingle_hashes, words_of
 SHINGLE = 5
 THRESHOLD = 0.8
 BITS, BLOCKS, RADIUS = 64, 4, 7
-LADDER = 1.35
+LADDER = 1.5
 BLOCK_ITEMS = 5_000
 #: Bytes of text that a task cuts into words at once, and words that it fingerprints at once.
-PIECE_TEXT, SPAN = 600 << 10, 100_000
+PIECE_TEXT, SPAN = 4 << 20, 50_000
 
 
 def normal(words: pa.Array) -> pa.Array:
