@@ -7,8 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-BROADCAST_ROW_LIMIT = 200_000
-
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a global aggregate to every row, as a scalar subquery.
@@ -20,16 +18,6 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.withColumn("__s", value).select(*df.columns, *[F.col(f"__s.{c}").alias(c) for c in one_row.columns])
 
 
-def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint only after the rows were counted; beyond the limit Spark shuffles.
-
-    Meant for aggregates (one row per route, per file, ...) whose size Catalyst can only
-    estimate from their much larger input. The counted rows are kept, so the aggregate runs once.
-    """
-    kept = small.persist()
-    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
-
-
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     """Equality on every key with NULL equal to NULL (still a hash or merge join)."""
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])

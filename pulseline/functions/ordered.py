@@ -13,8 +13,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulseline.functions.joins import null_safe_join
+from pulseline.session import stored
 
-TIE_SHIFT = 20  # 2**20 consecutive ids per piece
+
+def in_ranges(df: DataFrame, columns: Sequence[str], tasks: int | None = None) -> DataFrame:
+    """Rows range-partitioned and sorted by the columns, with `__piece`, the number of their range.
+
+    Spark draws the bounds from a sample of whole (key, order, tie) tuples, so a group with a third
+    of all rows gets a third of the ranges, whatever its order values and ids look like. There are
+    `tasks` ranges. The result is stored: a row's range is drawn once.
+    """
+    n = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, *columns).sortWithinPartitions(*columns)
+    return stored(placed.withColumn("__piece", F.spark_partition_id()), "ranges")
 
 
 def ranked_neighbours(
@@ -23,31 +34,29 @@ def ranked_neighbours(
     order: str,
     tie: str,
     carry: Sequence[str] = (),
-    shift: int = TIE_SHIFT,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Add `rank` and `next_<c>` (also `next_<order>`) within keys, ordered by (order, tie).
 
-    Pieces are (keys, order value, id range of the unique bigint `tie`), so no window partition
-    over raw rows is larger than 2**shift rows. The summary has one row per distinct position.
+    Pieces are (keys, range): a window partition over rows is no larger than one range, and the
+    summary that stitches a group has at most one row per range.
     """
     piece = "__piece"
-    cut = df.withColumn(piece, F.shiftright(F.col(tie), shift))
-    payload = F.struct(F.col(tie).alias("__tie"), F.col(order).alias(order), *[F.col(c) for c in carry])
-    pieces = cut.groupBy(*keys, order, piece).agg(
-        F.count(F.lit(1)).alias("__n"), F.min(payload).alias("__first")
-    )
-    along = Window.partitionBy(*keys).orderBy(order, piece)
+    cut = in_ranges(df, [*keys, order, tie], tasks)
+    payload = F.struct(F.col(order).alias(order), F.col(tie).alias("__tie"), *[F.col(c) for c in carry])
+    pieces = cut.groupBy(*keys, piece).agg(F.count(F.lit(1)).alias("__n"), F.min(payload).alias("__first"))
+    along = Window.partitionBy(*keys).orderBy(piece)
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.select(
-        *keys, order, piece,
+        *keys, piece,
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"),
         F.lead("__first").over(along).alias("__following"),
     )
-    within = Window.partitionBy(*keys, order, piece).orderBy(tie)
+    within = Window.partitionBy(*keys, piece).orderBy(order, tie)
     local = cut.withColumn("__rn", F.row_number().over(within)).withColumn(
         "__lead", F.lead(payload).over(within)
     )
-    out = null_safe_join(local, pieces, [*keys, order, piece], "inner")
+    out = null_safe_join(local, pieces, [*keys, piece], "inner")
     nxt = F.coalesce(F.col("__lead"), F.col("__following"))
     return out.select(
         *df.columns,

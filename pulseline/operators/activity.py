@@ -260,11 +260,9 @@ def brief_routes(coverage: DataFrame, hours: int = 2) -> DataFrame:
     return coverage.where(F.col("active_hours") <= hours)
 
 
-def small_fleet_outliers(counts: DataFrame, vehicles: int = 2, records: int = 100, n: int = 15) -> DataFrame:
-    return (
-        counts.where((F.col("unique_vehicles") <= vehicles) & (F.col("total_records") >= records))
-        .orderBy(F.desc("total_records"), "route_id").limit(n)
-    )
+def small_fleet_outliers(counts: DataFrame, vehicles: int = 2, records: int = 100) -> DataFrame:
+    """Every route with few vehicles and many records."""
+    return counts.where((F.col("unique_vehicles") <= vehicles) & (F.col("total_records") >= records))
 
 
 def high_intensity_routes(counts: DataFrame) -> DataFrame:

@@ -284,13 +284,14 @@ def critical_corridors(
 
 
 def top_routes_with_stops(
-    catalog: DataFrame, membership: DataFrame, stops: DataFrame, n: int = 10,
+    catalog: DataFrame, membership: DataFrame, stops: DataFrame, n: int | None = 10,
     subtypes: tuple[str, ...] | None = None, order: str = "total_records",
 ) -> DataFrame:
-    """The n busiest routes (optionally of some subtypes) and the stops they serve."""
+    """The n busiest routes (None: all; optionally of some subtypes) and the stops they serve."""
     pool = catalog if subtypes is None else catalog.where(F.col("bus_subtype").isin(*subtypes))
-    head = pool.orderBy(F.desc(order), "route_id").limit(n).select("route_id", "route_short_name", "bus_subtype")
-    return membership.join(F.broadcast(head), "route_id").join(stops, "stop_id")
+    head = pool if n is None else pool.orderBy(F.desc(order), "route_id").limit(n)
+    head = head.select("route_id", "route_short_name", "bus_subtype")
+    return membership.join(head, "route_id").join(stops, "stop_id")
 
 
 def stop_count_distribution(catalog: DataFrame, bins: int = 30) -> DataFrame:

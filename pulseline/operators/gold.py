@@ -12,17 +12,16 @@ EXPOSED = {
     "bunching_hotspots_with_stops": ("route_id", "shape_id", "stop_before_id", "stop_after_id"),
     "route_type_summary": (),
 }
-ROW_CAP = 100
 
 
-def exposed_view(name: str, table: DataFrame, cap: int = ROW_CAP) -> DataFrame:
-    """A read view of an open table: hidden identifiers removed, at most `cap` rows per answer."""
+def exposed_view(name: str, table: DataFrame) -> DataFrame:
+    """A read view of an open table: all its rows, without the hidden identifiers.
+
+    Order and page size belong to the caller.
+    """
     if name not in EXPOSED:
         raise PermissionError(f"table {name} is not open to questions")
-    kept = [c for c in table.columns if c not in EXPOSED[name]]
-    view = table.select(*kept)
-    order = [c for c in ("route_short_name", "route_type", "hour_of_day", "route_segment_km") if c in kept]
-    return view.orderBy(*order).limit(cap)
+    return table.select(*[c for c in table.columns if c not in EXPOSED[name]])
 
 
 def lookup(scores: DataFrame, priority: DataFrame, short: str | None = None, long: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pulseline.config import ELIGIBILITY, SCORE, SPACING, EligibilityRules, ScoreRules, SpacingRules
 from pulseline.functions import columns as C
-from pulseline.functions.joins import bounded_broadcast, with_scalars
+from pulseline.functions.joins import with_scalars
 
 def _n():
     return F.count(F.lit(1))
@@ -107,22 +107,20 @@ def eligibility_rollups(eligibility: DataFrame, quality: DataFrame) -> DataFrame
     return bands.unionByName(spread)
 
 
-def eligible_days(eligibility: DataFrame, status: str = "Eligible", n: int = 20) -> DataFrame:
-    return (
-        eligibility.where(F.col("eligibility_status") == status).groupBy("route_id")
-        .agg(_n().alias("route_days")).orderBy(F.desc("route_days"), "route_id").limit(n)
-    )
+def eligible_days(eligibility: DataFrame, status: str = "Eligible") -> DataFrame:
+    """Days with a status for every route that has one."""
+    return eligibility.where(F.col("eligibility_status") == status).groupBy("route_id").agg(_n().alias("route_days"))
 
 
 def latest_eligible_date(silver: DataFrame, eligibility: DataFrame) -> DataFrame:
     """Pings of each route's newest eligible day.
 
-    One join against a counted one-row-per-route table; no loop over routes.
+    One join against one row per route; adaptive execution broadcasts it if its measured bytes allow.
     """
     newest = eligibility.where(F.col("eligibility_status") == "Eligible").groupBy("route_id").agg(
         F.max("service_date").alias("service_date")
     )
-    return silver.join(bounded_broadcast(newest), ["route_id", "service_date"], "inner")
+    return silver.join(newest, ["route_id", "service_date"], "inner")
 
 
 def reliability_scores(

@@ -212,22 +212,17 @@ def _(d: Domain):
 
 
 @query("eligible_days", """
-SELECT route_id, count(*) AS route_days FROM c_eligibility WHERE eligibility_status = 'Not Eligible'
-GROUP BY route_id ORDER BY route_days DESC, route_id LIMIT 20""")
+SELECT route_id, count(*) AS route_days FROM c_bound_eligibility WHERE eligibility_status = 'Eligible' GROUP BY route_id""")
 def _(d: Domain):
-    # the bound window is too sparse for 'Eligible' days, so the same rollup runs on the other status
-    return sco.eligible_days(d.eligibility, "Not Eligible")
+    return sco.eligible_days(d.bound_eligibility)
 
 
 @query("latest_eligible_date", """
 SELECT s.event_id, s.route_id, CAST(s.service_date AS VARCHAR) AS service_date FROM c_silver s JOIN (
-  SELECT route_id, max(service_date) AS service_date FROM c_stability_hours WHERE observed_service_hours >= 5 GROUP BY route_id) e
+  SELECT route_id, max(service_date) AS service_date FROM c_bound_eligibility WHERE eligibility_status = 'Eligible' GROUP BY route_id) e
 ON s.route_id = e.route_id AND s.service_date = e.service_date""")
 def _(d: Domain):
-    # eligibility rule relaxed to five observed hours, which the bound data reaches
-    status = F.when(F.col("observed_service_hours") >= 5, "Eligible").otherwise("Not Eligible")
-    relaxed = d.stability_hours.withColumn("eligibility_status", status)
-    return sco.latest_eligible_date(d.silver, relaxed).select("event_id", "route_id", "service_date")
+    return sco.latest_eligible_date(d.silver, d.bound_eligibility).select("event_id", "route_id", "service_date")
 
 
 @query("volatile_and_stable_days", """
@@ -367,10 +362,10 @@ def _(d: Domain):
 
 
 @query("outlier_routes", """
-SELECT *, 'CV > 0.5: daily record count varies more than expected for a persistent route' AS flag_reason
-FROM c_stability WHERE is_persistent AND cv_daily_records > 0.5e0""")
+SELECT *, 'CV > 0.1: daily record count varies more than expected for a persistent route' AS flag_reason
+FROM c_stability WHERE is_persistent AND cv_daily_records > 0.1e0""")
 def _(d: Domain):
-    return act.outlier_routes(d.stability)
+    return act.outlier_routes(d.stability, cv=0.1)  # the bound routes vary little from day to day
 
 
 @query("daily_summary", "SELECT * FROM c_daily")
@@ -412,9 +407,9 @@ def _(d: Domain):
 
 
 @query("small_fleet_outliers", """
-SELECT * FROM c_counts WHERE unique_vehicles <= 60 AND total_records >= 100 ORDER BY total_records DESC, route_id LIMIT 15""")
+SELECT * FROM c_counts WHERE unique_vehicles <= 600 AND total_records >= 38""")
 def _(d: Domain):
-    return act.small_fleet_outliers(d.counts, vehicles=60)
+    return act.small_fleet_outliers(d.counts, vehicles=600, records=38)  # bound fleets are large
 
 
 @query("high_intensity_routes", f"""

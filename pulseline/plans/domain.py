@@ -11,6 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pulseline.config import EligibilityRules
 from pulseline.operators import activity as act
 from pulseline.operators import bunching as bun
 from pulseline.operators import dimensions as dims
@@ -19,10 +20,11 @@ from pulseline.operators import network as net
 from pulseline.operators import scoring as sco
 from pulseline.operators import silver as sil
 from pulseline.operators import spacing as spc
-from pulseline.session import scratch_path
+from pulseline.session import stored
 from pulseline.sources.testdata import TestTables
 
 BOUND_SHAPE_KM = 20.0
+BOUND_RULES = EligibilityRules(min_hours=5, min_observations=6, min_valid_pct=90.0)
 BOUND_ERROR_M = 500.0
 
 
@@ -87,6 +89,11 @@ class Domain:
     def eligibility(self) -> DataFrame:
         return sco.route_eligibility(self.stability_hours, self.quality)
 
+    @cached_property
+    def bound_eligibility(self) -> DataFrame:
+        """Eligibility under rules that some bound route-days meet and others do not."""
+        return sco.route_eligibility(self.stability_hours, self.quality, BOUND_RULES)
+
     @cached_property
     def shape_summary(self) -> DataFrame:
         return dims.shape_distance_summary(self.shapes)
@@ -139,10 +146,7 @@ class Domain:
         return sco.corridor_priority(self.scores, self.hotspots)
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
-        """A written copy: lineage ends here and survives the loss of executors."""
-        path = scratch_path(self.spark, name)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return stored(df, name)
 
     @cached_property
     def gold_hotspots(self) -> DataFrame:
@@ -168,7 +172,8 @@ class Domain:
 
     @cached_property
     def projected(self) -> DataFrame:
-        return geo.project_to_shape(self.silver.drop("bound_dist_km"), self.shapes)
+        """Stored once: quality, funnel and spacing each read it several times."""
+        return self.store(geo.project_to_shape(self.silver.drop("bound_dist_km"), self.shapes), "projected")
 
     # activity
     @cached_property
@@ -209,14 +214,9 @@ class Domain:
     def heatmap(self) -> DataFrame:
         return act.route_hour_heatmap(self.reported)
 
-    @cached_property
-    def seen_some(self) -> DataFrame:
-        """Pings of the routes below 20, so that five routes stay unseen."""
-        return self.raw_pings.where(F.col("route_id").cast("int") < 20)
-
     @cached_property
     def dim(self) -> DataFrame:
-        return net.route_dimension(self.routes, self.seen_some)
+        return net.route_dimension(self.routes, self.raw_pings)
 
     @cached_property
     def enriched(self) -> DataFrame:

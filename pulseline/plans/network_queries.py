@@ -22,7 +22,7 @@ _FEEDER = "regexp_matches(route_long_name, '(" + "|".join(STATION_KEYWORDS) + ")
 
 cte("c_dim", f"""
 SELECT r.*, {_MODE} AS mode, CASE WHEN route_type = 3 THEN {_SUBTYPE} ELSE {_MODE} END AS bus_subtype,
-  route_id IN (SELECT route_id FROM c_pings WHERE CAST(route_id AS INT) < 20) AS is_in_telemetry
+  route_id IN (SELECT route_id FROM c_pings) AS is_in_telemetry
 FROM c_routes r""")
 cte("c_net", """
 SELECT a.*, d.route_short_name, d.route_long_name, d.route_type, d.mode, d.bus_subtype
@@ -97,7 +97,7 @@ def _(d: Domain):
 
 @query("telemetry_blind_spots", "SELECT route_id, route_short_name, route_long_name, mode FROM c_dim WHERE NOT is_in_telemetry")
 def _(d: Domain):
-    return net.telemetry_blind_spots(d.routes, d.seen_some)
+    return net.telemetry_blind_spots(d.routes, d.raw_pings)
 
 
 @query("modal_activity_share", f"""

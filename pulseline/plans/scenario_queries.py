@@ -422,6 +422,16 @@ def _(d: Domain):
 @query("exposed_columns", """
 SELECT * FROM (SELECT route_short_name, route_long_name, route_type, total_spacing_rows, total_bunching_events, severe_events,
   peak_events, bunching_rate_pct, severe_bunching_rate_pct, peak_bunching_share_pct, reliability_score, reliability_band
-FROM c_scores ORDER BY route_short_name) LIMIT 100""")
+FROM c_scores)""")
 def _(d: Domain):
     return gold.exposed_view("route_reliability_scores", d.scores)
+
+
+@query("exposed_hourly", "SELECT * EXCLUDE (route_id) REPLACE (CAST(service_date AS VARCHAR) AS service_date) FROM c_hourly")
+def _(d: Domain):
+    return gold.exposed_view("hourly_bunching_pattern", d.hourly)
+
+
+@query("exposed_hotspots", "SELECT * EXCLUDE (route_id, shape_id, stop_before_id, stop_after_id) FROM c_hot_stops")
+def _(d: Domain):
+    return gold.exposed_view("bunching_hotspots_with_stops", d.hot_stops)

@@ -91,16 +91,14 @@ def _(d: Domain):
     return dims.route_trip_shapes(d.trips)
 
 
-# In the bound data no route-day reaches 1000 observations, so days with five observed hours stand in.
-cte("c_days_ok", "SELECT route_id, count(*) AS eligible_days FROM c_stability_hours WHERE observed_service_hours >= 5 GROUP BY route_id")
+cte("c_days_ok", "SELECT route_id, count(*) AS eligible_days FROM c_bound_eligibility WHERE eligibility_status = 'Eligible' GROUP BY route_id")
 cte("c_eligible_shapes", """
 SELECT rs.*, e.eligible_days FROM c_route_shapes rs JOIN c_days_ok e ON rs.route_id = e.route_id
 WHERE rs.shape_length_km IS NOT NULL AND rs.shape_points >= 2""")
 
 
 def _eligible_shapes(d: Domain):
-    status = F.when(F.col("observed_service_hours") >= 5, "Eligible").otherwise("Not Eligible")
-    return dims.eligible_route_shapes(d.route_shapes, d.stability_hours.withColumn("eligibility_status", status))
+    return dims.eligible_route_shapes(d.route_shapes, d.bound_eligibility)
 
 
 @query("eligible_route_shapes", "SELECT * FROM c_eligible_shapes")
@@ -206,10 +204,11 @@ def _(d: Domain):
     return geo.stop_count_distribution(d.corridors)
 
 
-def _top_stops_sql(where: str, n: int) -> str:
+def _top_stops_sql(where: str, n: int | None) -> str:
+    limit = "" if n is None else f"ORDER BY total_records DESC, route_id LIMIT {n}"
     return f"""
 SELECT t.route_id, t.route_short_name, t.bus_subtype, s.stop_id, s.stop_name, s.stop_lat, s.stop_lon
-FROM (SELECT * FROM c_corridors {where} ORDER BY total_records DESC, route_id LIMIT {n}) t
+FROM (SELECT * FROM c_corridors {where} {limit}) t
 JOIN c_membership m ON t.route_id = m.route_id JOIN c_stops s ON m.stop_id = s.stop_id"""
 
 
@@ -223,9 +222,9 @@ def _(d: Domain):
     return geo.top_routes_with_stops(d.corridors, d.membership, d.stops, 25, ("Regular Bus", "Express"))
 
 
-@query("rapid_night_bline_with_stops", _top_stops_sql("WHERE bus_subtype IN ('RapidBus', 'NightBus', 'B-Line')", 100))
+@query("rapid_night_bline_with_stops", _top_stops_sql("WHERE bus_subtype IN ('RapidBus', 'NightBus', 'B-Line')", None))
 def _(d: Domain):
-    return geo.top_routes_with_stops(d.corridors, d.membership, d.stops, 100, ("RapidBus", "NightBus", "B-Line"))
+    return geo.top_routes_with_stops(d.corridors, d.membership, d.stops, None, ("RapidBus", "NightBus", "B-Line"))
 
 
 # --- projection ---------------------------------------------------------------------------------------

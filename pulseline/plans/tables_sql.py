@@ -30,7 +30,8 @@ SELECT CAST(n_nationkey AS STRING) AS route_id,
             WHEN n_nationkey % 7 = 0 THEN concat('N', CAST(n_nationkey AS STRING)) ELSE concat('5', lpad(CAST(n_nationkey AS STRING), 2, '0')) END AS route_short_name,
        CASE WHEN n_nationkey % 3 = 0 THEN concat(n_name, ' Station') WHEN n_nationkey % 4 = 0 THEN concat(n_name, ' Express') ELSE n_name END AS route_long_name,
        CASE n_regionkey WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 2 THEN 3 WHEN 3 THEN 1 ELSE 4 END AS route_type
-FROM nation
+FROM (SELECT n_nationkey, n_name, n_regionkey FROM nation
+      UNION ALL SELECT 25 + r_regionkey, r_name, r_regionkey FROM region)
 """)
 
 cte("c_trips", """
@@ -120,6 +121,13 @@ SELECT service_date, route_id, count(*) AS total_observations,
 FROM c_silver GROUP BY service_date, route_id
 """)
 
+cte("c_bound_eligibility", """
+SELECT s.*, q.valid_row_percentage,
+       CASE WHEN s.observed_service_hours >= 5 AND s.total_observations >= 6
+             AND q.valid_row_percentage >= 90 THEN 'Eligible' ELSE 'Not Eligible' END AS eligibility_status
+FROM c_stability_hours s LEFT JOIN c_quality q ON s.service_date = q.service_date AND s.route_id = q.route_id
+""")
+
 cte("c_eligibility", """
 SELECT s.service_date, s.route_id, s.observed_service_hours, s.total_observations, s.observation_cv,
        s.coverage_band, s.stability_band, q.valid_row_percentage,

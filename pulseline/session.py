@@ -6,7 +6,7 @@ import atexit
 import os
 import posixpath
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "pulseline", master: str | None = None, **conf: str) -> SparkSession:
@@ -56,6 +56,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A written copy in the shared folder: lineage ends here and survives the loss of executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def release(spark: SparkSession, *paths: str) -> None:
     """Delete scratch folders: the given ones, or all that this driver has made."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc

@@ -1,6 +1,6 @@
 """Deterministic view of the generic test tables as pings, schedule tables and questions.
 
-`events` become pings, `nation` routes, `orders` trips and questions, `supplier` stops,
+`events` become pings, `nation` routes (and `region` routes that no vehicle reports), `orders` trips and questions, `supplier` stops,
 `lineitem` stop times, `part` shape vertices. Every binding is a narrow projection of its
 table, so column pruning and pushdown reach the Parquet scan.
 """
@@ -61,7 +61,11 @@ class TestTables:
     def routes(self) -> DataFrame:
         k, name = F.col("n_nationkey"), F.col("n_name")
         text = k.cast("string")
-        return self.base("nation").select(
+        nations = self.base("nation").select("n_nationkey", "n_name", "n_regionkey")
+        unseen = self.base("region").select(
+            (F.col("r_regionkey") + 25).alias("n_nationkey"), F.col("r_name").alias("n_name"), F.col("r_regionkey").alias("n_regionkey")
+        )
+        return nations.unionByName(unseen).select(
             text.alias("route_id"),
             F.when(k == 4, F.lit("099"))
             .when(k % 5 == 0, F.concat(F.lit("R"), text))

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulseline.functions.joins import bounded_broadcast, lookup_join, with_scalars
-from pulseline.functions.ordered import previous_in_series, ranked_neighbours
+from pulseline.functions.joins import lookup_join, with_scalars
+from pulseline.functions.ordered import in_ranges, previous_in_series, ranked_neighbours
 from pulseline.functions.quantiles import exact_percentiles
 from pulseline.operators import geometry as geo
 from pulseline.operators import spacing as spc
@@ -29,12 +29,12 @@ SNAP = "event_id bigint, route_id string, collection_timestamp string, direction
        "approx_shape_dist_traveled double"
 
 
-@pytest.mark.parametrize("shift", [1, 3, 20])
-def test_ranked_neighbours_equals_a_plain_window(spark, shift):
+@pytest.mark.parametrize("tasks", [1, 3, 20])
+def test_ranked_neighbours_equals_a_plain_window(spark, tasks):
     rows = _snapshot_rows(300, 1)
     df = spark.createDataFrame(rows, SNAP)
     got = {r.event_id: (r.rank, r.next_vehicle_id, r.next_approx_shape_dist_traveled) for r in ranked_neighbours(
-        df, spc.SNAPSHOT_KEYS, spc.DIST, "event_id", ["vehicle_id"], shift=shift).collect()}
+        df, spc.SNAPSHOT_KEYS, spc.DIST, "event_id", ["vehicle_id"], tasks=tasks).collect()}
     groups = {}
     for r in rows:
         groups.setdefault(r[1:5], []).append(r)
@@ -162,7 +162,13 @@ def test_with_scalars_is_no_join(spark):
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
 
 
-def test_broadcast_hint_only_under_the_limit(spark):
-    small = spark.range(100)
-    assert "broadcast" in bounded_broadcast(small, 100)._jdf.queryExecution().analyzed().toString().lower()
-    assert "broadcast" not in bounded_broadcast(spark.range(101), 100)._jdf.queryExecution().analyzed().toString().lower()
+def test_ranges_of_a_hot_group_are_bounded_in_size_and_number(spark):
+    """Free-running distances and hashed ids: neither makes a piece of its own."""
+    df = spark.range(20_000).select(
+        F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("r"), (F.col("id") % 50).cast("string"))).alias("route_id"),
+        (F.rand(4) * 30).alias("km"), F.xxhash64("id").alias("event_id"),
+    )
+    tied = df.withColumn("km", F.lit(1.0))
+    for frame in (df, tied):
+        sizes = [r["count"] for r in in_ranges(frame, ["route_id", "km", "event_id"], 16).groupBy("route_id", "__piece").count().collect()]
+        assert len(sizes) <= 51 + 16 and max(sizes) <= 3 * 20_000 / 16
