@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from pulseline.config import OUTLIER_CV, PERSISTENT_DAYS, PING_COLUMNS, STATIONARY_MPS
 from pulseline.functions import columns as C
+from pulseline.functions import rollups as roll
 from pulseline.functions.joins import with_scalars
 from pulseline.functions.ordered import previous_in_series
 from pulseline.functions.quantiles import exact_percentiles
@@ -30,8 +31,8 @@ def _known(df: DataFrame, *keys: str) -> DataFrame:
 
 def route_vehicle_counts(pings: DataFrame, count_rows: bool = False) -> DataFrame:
     """Records and vehicles per route; `count_rows` counts rows without a vehicle too."""
-    records = _n() if count_rows else F.count("vehicle_id")
-    return _known(pings, "route_id").groupBy("route_id").agg(
+    records = roll.rows() if count_rows else roll.rows_with("vehicle_id")
+    return roll.cells(_known(pings, "route_id"), ["route_id", "vehicle_id"]).groupBy("route_id").agg(
         records.alias("total_records"), F.count_distinct("vehicle_id").alias("unique_vehicles")
     ).withColumn("records_per_vehicle", C.rnd(C.ratio("total_records", "unique_vehicles")))
 
@@ -121,8 +122,8 @@ def zero_speed_share(pings: DataFrame) -> DataFrame:
 
 
 def hourly_distribution(pings: DataFrame) -> DataFrame:
-    return _known(pings, "hour").groupBy("hour").agg(
-        F.count("vehicle_id").alias("total_records"),
+    return roll.cells(_known(pings, "hour"), ["hour", "vehicle_id", "route_id"]).groupBy("hour").agg(
+        roll.rows_with("vehicle_id").alias("total_records"),
         F.count_distinct("vehicle_id").alias("unique_vehicles"),
         F.count_distinct("route_id").alias("unique_routes"),
     )
@@ -130,8 +131,9 @@ def hourly_distribution(pings: DataFrame) -> DataFrame:
 
 def hourly_network_activity(pings: DataFrame) -> DataFrame:
     """A typical hour: totals per (date, hour) first, then averaged over days."""
-    per_day = _known(pings, "date", "hour").groupBy("date", "hour").agg(
-        F.count("vehicle_id").alias("r"), F.count_distinct("vehicle_id").alias("v"),
+    keys = ["date", "hour"]
+    per_day = roll.cells(_known(pings, *keys), [*keys, "vehicle_id", "route_id"]).groupBy(*keys).agg(
+        roll.rows_with("vehicle_id").alias("r"), F.count_distinct("vehicle_id").alias("v"),
         F.count_distinct("route_id").alias("t"),
     )
     return per_day.groupBy("hour").agg(
@@ -142,17 +144,21 @@ def hourly_network_activity(pings: DataFrame) -> DataFrame:
 
 
 def route_hour_heatmap(pings: DataFrame) -> DataFrame:
-    return _known(pings, "route_id", "hour").groupBy("route_id", "hour").agg(
-        F.count("vehicle_id").alias("records"), F.count_distinct("vehicle_id").alias("unique_vehicles")
+    keys = ["route_id", "hour"]
+    return roll.cells(_known(pings, *keys), [*keys, "vehicle_id"]).groupBy(*keys).agg(
+        roll.rows_with("vehicle_id").alias("records"), F.count_distinct("vehicle_id").alias("unique_vehicles")
     )
 
 
 def vehicle_activity(pings: DataFrame) -> DataFrame:
-    return _known(pings, "vehicle_id").groupBy("vehicle_id").agg(
-        _n().alias("total_records"), F.count_distinct("date").alias("days_active"),
-        F.count_distinct("route_id").alias("routes_served"), *_seen(),
-        F.mode("route_id", True).alias("primary_route"),
-    ).withColumn("records_per_active_day", C.rnd(C.ratio("total_records", "days_active")))
+    """Per vehicle; the primary route is the one with most records, of equals the least."""
+    own = roll.cells(_known(pings, "vehicle_id"), ["vehicle_id", "route_id", "date"])
+    served = own.where(F.col("route_id").isNotNull()).groupBy("vehicle_id", "route_id").agg((-roll.rows()).alias("__less"))
+    primary = served.groupBy("vehicle_id").agg(F.min(F.struct("__less", "route_id"))["route_id"].alias("primary_route"))
+    return own.groupBy("vehicle_id").agg(
+        roll.rows().alias("total_records"), F.count_distinct("date").alias("days_active"),
+        F.count_distinct("route_id").alias("routes_served"), *roll.seen(),
+    ).join(primary, "vehicle_id", "left").withColumn("records_per_active_day", C.rnd(C.ratio("total_records", "days_active")))
 
 
 def daily_quality_fingerprint(pings: DataFrame, columns=PING_COLUMNS) -> DataFrame:
@@ -198,12 +204,12 @@ def outlier_routes(stability: DataFrame, cv: float = OUTLIER_CV) -> DataFrame:
 
 
 def daily_summary(pings: DataFrame) -> DataFrame:
-    return _known(pings, "date").groupBy("date").agg(
-        F.count("vehicle_id").alias("total_records"),
+    return roll.cells(_known(pings, "date"), roll.ACTIVITY_GRAIN).groupBy("date").agg(
+        roll.rows_with("vehicle_id").alias("total_records"),
         F.count_distinct("vehicle_id").alias("unique_vehicles"),
         F.count_distinct("route_id").alias("unique_routes"),
         F.count_distinct("trip_id").alias("unique_trips"),
-        F.count_distinct("hour").alias("active_hours"), *_seen(),
+        F.count_distinct("hour").alias("active_hours"), *roll.seen(),
     ).withColumns({
         "records_per_vehicle": C.rnd(C.ratio("total_records", "unique_vehicles")),
         "day_of_week": F.date_format(F.to_date("date"), "EEEE"),
@@ -211,12 +217,12 @@ def daily_summary(pings: DataFrame) -> DataFrame:
 
 
 def route_activity(pings: DataFrame) -> DataFrame:
-    return _known(pings, "route_id").groupBy("route_id").agg(
-        F.count("vehicle_id").alias("total_records"),
+    return roll.cells(_known(pings, "route_id"), roll.ACTIVITY_GRAIN).groupBy("route_id").agg(
+        roll.rows_with("vehicle_id").alias("total_records"),
         F.count_distinct("vehicle_id").alias("unique_vehicles"),
         F.count_distinct("trip_id").alias("unique_trips"),
         F.count_distinct("date").alias("days_active"),
-        F.count_distinct("hour").alias("active_hours"), *_seen(),
+        F.count_distinct("hour").alias("active_hours"), *roll.seen(),
     ).withColumn("records_per_vehicle", C.rnd(C.ratio("total_records", "unique_vehicles")))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pulseline.config import ELIGIBILITY, SCORE, SPACING, EligibilityRules, ScoreRules, SpacingRules
 from pulseline.functions import columns as C
+from pulseline.functions import rollups as roll
 from pulseline.functions.joins import with_scalars
 
 def _n():
@@ -15,23 +16,22 @@ def _n():
 
 
 def route_hourly_summary(silver: DataFrame) -> DataFrame:
-    return silver.groupBy("service_date", "route_id", "hour_of_day").agg(
-        _n().alias("total_observations"),
+    keys = ["service_date", "route_id", "hour_of_day"]
+    return roll.cells(silver, [*keys, "vehicle_id", "trip_id"]).groupBy(*keys).agg(
+        roll.rows().alias("total_observations"),
         F.count_distinct("vehicle_id").alias("unique_vehicles"),
-        F.count_distinct("trip_id").alias("unique_trips"),
-        F.min("collection_timestamp").alias("first_seen"),
-        F.max("collection_timestamp").alias("last_seen"),
+        F.count_distinct("trip_id").alias("unique_trips"), *roll.seen(),
     )
 
 
 def route_daily_summary(silver: DataFrame) -> DataFrame:
-    return silver.where(F.col("route_id").isNotNull()).groupBy("service_date", "route_id").agg(
-        _n().alias("total_observations"),
+    keys = ["service_date", "route_id"]
+    known = silver.where(F.col("route_id").isNotNull())
+    return roll.cells(known, [*keys, "hour_of_day", "vehicle_id", "trip_id"]).groupBy(*keys).agg(
+        roll.rows().alias("total_observations"),
         F.count_distinct("vehicle_id").alias("unique_vehicles"),
         F.count_distinct("trip_id").alias("unique_trips"),
-        F.count_distinct("hour_of_day").alias("observed_service_hours"),
-        F.min("collection_timestamp").alias("first_seen"),
-        F.max("collection_timestamp").alias("last_seen"),
+        F.count_distinct("hour_of_day").alias("observed_service_hours"), *roll.seen(),
     )
 
 
@@ -39,21 +39,26 @@ def route_quality_summary(positions: DataFrame) -> DataFrame:
     """Completeness per date and route; NULL routes form a group of their own."""
     no_place = F.col("latitude").isNull() | F.col("longitude").isNull()
     whole = ~no_place & F.col("vehicle_id").isNotNull() & F.col("route_id").isNotNull()
-    return positions.groupBy("service_date", "route_id").agg(
-        _n().alias("total_observations"),
+    flags = {
+        "missing_location_rows": no_place, "missing_vehicle_rows": F.col("vehicle_id").isNull(),
+        "missing_route_rows": F.col("route_id").isNull(), "__whole": whole,
+    }
+    keys = ["service_date", "route_id"]
+    return roll.cells(positions, [*keys, "vehicle_id", "trip_id"], flags).groupBy(*keys).agg(
+        roll.rows().alias("total_observations"),
         F.count_distinct("vehicle_id").alias("unique_vehicles"),
         F.count_distinct("trip_id").alias("unique_trips"),
-        F.count_if(no_place).alias("missing_location_rows"),
-        F.count_if(F.col("vehicle_id").isNull()).alias("missing_vehicle_rows"),
-        F.count_if(F.col("route_id").isNull()).alias("missing_route_rows"),
-        C.rnd(C.ratio(F.count_if(whole), _n(), 100)).alias("valid_row_percentage"),
+        *[F.sum(name).alias(name) for name in flags if name != "__whole"],
+        C.rnd(C.ratio(F.sum("__whole"), roll.rows(), 100)).alias("valid_row_percentage"),
     )
 
 
 def route_hourly_stability(silver: DataFrame) -> DataFrame:
     """Variation of hourly volume inside a route-day; hours without service are not zeros."""
-    hourly = silver.where(F.col("route_id").isNotNull()).groupBy("service_date", "route_id", "hour_of_day").agg(
-        _n().alias("n"), F.count_distinct("vehicle_id").alias("v"), F.count_distinct("trip_id").alias("t")
+    keys = ["service_date", "route_id", "hour_of_day"]
+    known = silver.where(F.col("route_id").isNotNull())
+    hourly = roll.cells(known, [*keys, "vehicle_id", "trip_id"]).groupBy(*keys).agg(
+        roll.rows().alias("n"), F.count_distinct("vehicle_id").alias("v"), F.count_distinct("trip_id").alias("t")
     )
     per_day = hourly.groupBy("service_date", "route_id").agg(
         _n().alias("observed_service_hours"),

@@ -63,4 +63,4 @@ def test_activity_and_intelligence_jobs(spark):
     assert metrics["daily_summary"].count() == 30
     assert layers["pareto_concentration"].count() == 25
     assert layers["network_centralization"].count() == 7
-    assert layers["telemetry_blind_spots"].count() == 0
+    assert layers["telemetry_blind_spots"].count() == 5
