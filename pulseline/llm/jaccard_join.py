@@ -312,7 +312,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     )
     found = components(candidate_edges(nodes))
     sizes = found.groupBy("root").agg(F.count("*").alias("n"))
-    texts = rows.join(found, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    # The side grows with the corpus, so it is never broadcast, on small inputs either.
+    texts = rows.join(found.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     members = found.join(sizes, "root").join(nodes.select("node", "docs", "sig"), "node").join(texts, "node")
     links = stored(verified(members), "jaccard-links")
     split = links.filter("blocks > 1 AND node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()

@@ -6,7 +6,7 @@ from hypothesis import given, settings, strategies as st
 
 from pulseline.llm import chat_format as c
 
-TRICKY = st.text(alphabet=st.sampled_from(list("<|!>im_start end\\\n\r") + ["<|im_end|>\n", "<|im_start|>", "é🙂"]), max_size=40)
+TRICKY = st.lists(st.sampled_from([*"<|!>im_start end\\\n\ré🙂", "<|im_end|>\n", "<|im_start|>"]), max_size=30).map("".join)
 
 
 @settings(max_examples=300, deadline=None)
