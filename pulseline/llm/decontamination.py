@@ -173,8 +173,9 @@ def best_run(hashed: np.ndarray, at: int, n: int, item: Counter) -> tuple[float,
     if len(hashed) < n:
         low, high = 0, 0
     span = hashed[low:high + n]
-    grams = shingle_hashes(span, np.array([0, len(span)]), SHINGLE)[0].tolist()
-    width = max(1, min(n, len(span)) - SHINGLE + 1)
+    size = min(SHINGLE, n)
+    grams = shingle_hashes(span, np.array([0, len(span)]), size)[0].tolist()
+    width = max(1, min(n, len(span)) - size + 1)
     for k in range(high - low + 1):
         own = Counter(grams[k:k + width])
         found = weighted_jaccard(own, item)
