@@ -55,9 +55,20 @@ def ascii_lower(words: pa.Array) -> pa.Array:
     )
 
 
+def packed(codes: np.ndarray) -> bytes:
+    """32-bit codes as four planes of bytes: small codes leave planes of zeros, which compress."""
+    return codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4")[:, 0].astype(np.int64)
+
+
 def cut_pieces(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Stored: one row per piece of text, see PIECE_SCHEMA. Words are distinct after lower-casing
-    A-Z; `counts` counts them in the piece's training texts; codes are 32-bit places in `words`."""
+    A-Z and ordered by frequency; `counts` counts them in the piece's training texts; codes are
+    packed places in `words`."""
     schema = PIECE_SCHEMA.format(id=dict(docs.dtypes)[key])
     slim = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("mark"))
 
@@ -68,7 +79,10 @@ def cut_pieces(docs: DataFrame, key: str, text: str) -> DataFrame:
                 merged = ascii_lower(words).dictionary_encode() if len(words) else None
                 if merged is not None:
                     codes = merged.indices.to_numpy().astype(np.int64)[codes]
-                    words = merged.dictionary
+                    order = np.argsort(-np.bincount(codes, minlength=len(merged.dictionary)), kind="stable")
+                    rank = np.empty(len(order), np.int64)
+                    rank[order] = np.arange(len(order))
+                    codes, words = rank[codes], merged.dictionary.take(pa.array(order))
                 held = id_remainders(part["id"], FOLDS) == HELD
                 learn = np.repeat(~held, np.diff(starts))
                 counts = np.bincount(codes[learn], minlength=len(words)) if len(words) else np.zeros(0, np.int64)
@@ -77,12 +91,12 @@ def cut_pieces(docs: DataFrame, key: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     part["mark"].slice(0, 1),
                     pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part["id"]),
-                    one(held, pa.bool_()), one(starts, pa.int64()), pa.array([codes.astype("<i4").tobytes()], pa.binary()),
+                    one(held, pa.bool_()), one(starts, pa.int64()), pa.array([packed(codes)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string())),
                     one(buckets, pa.int32()), one(counts, pa.int64()),
                 ], names=["piece", "ids", "held", "starts", "codes", "words", "buckets", "counts"])
 
-    return stored(slim.mapInArrow(run, schema), "hmm-pieces")
+    return stored(slim.mapInArrow(run, schema), "hmm-pieces", compression="zstd")
 
 
 @dataclass(frozen=True)
@@ -164,7 +178,7 @@ def passes(model: Model, table: np.ndarray, length: np.ndarray, begins: np.ndarr
 def training_tokens(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """Bucket tokens of a piece's training texts, each closed by END, and their starts."""
     buckets = np.asarray(row["buckets"], np.int64)
-    codes = np.frombuffer(row["codes"], "<i4")
+    codes = unpacked(row["codes"])
     starts, held = np.asarray(row["starts"]), np.asarray(row["held"], bool)
     tokens, first = with_ends(buckets[codes] if len(codes) else np.zeros(0, np.int64), starts, END)
     n = np.diff(first)
@@ -196,7 +210,7 @@ def count_round(table: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray,
     """Expected counts over all training texts, added up across partitions. What reaches the driver
     has BUCKETS + STATES + 2 rows at most."""
     shared = table.sparkSession.sparkContext.broadcast(model)
-    columns = ", ".join(f"s{k} double" for k in range(STATES))
+    columns = ", ".join(f"s{k} float" for k in range(STATES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((BUCKETS + 1 + STATES + 1, STATES))
@@ -209,7 +223,7 @@ def count_round(table: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray,
                 total[-1] += start
         rows = np.nonzero(total.any(axis=1))[0]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rows), *(pa.array(total[rows, k]) for k in range(STATES))], names=["row", *(f"s{k}" for k in range(STATES))]
+            [pa.array(rows), *(pa.array(total[rows, k].astype(np.float32)) for k in range(STATES))], names=["row", *(f"s{k}" for k in range(STATES))]
         )
 
     sums = (
@@ -225,7 +239,8 @@ def count_round(table: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray,
 def starting_point(table: DataFrame, corpus: np.ndarray) -> Model:
     """EM on the START_PIECES pieces with the least hashes, from a fixed random start with states
     that tend to stay."""
-    rows = table.orderBy(F.xxhash64("piece"), "piece").limit(START_PIECES).select("held", "starts", "codes", "buckets").collect()
+    chosen = [r["piece"] for r in table.select("piece").orderBy(F.xxhash64("piece"), "piece").limit(START_PIECES).collect()]
+    rows = table.filter(F.col("piece").isin(chosen)).select("held", "starts", "codes", "buckets").collect()
     own = [training_tokens(row.asDict()) for row in rows]
     draw = np.random.default_rng(7)
     model = normalised(
@@ -352,7 +367,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 if row["at"] is not None:
                     c[np.asarray(row["at"], np.int64)] = row["c"]
                 c[-1] = ends
-                codes = np.frombuffer(batch["codes"][k].as_py(), "<i4").astype(np.int64)
+                codes = unpacked(batch["codes"][k].as_py())
                 codes, first = with_ends(codes, np.asarray(row["starts"]), len(buckets))
                 n = np.diff(first)
                 base = np.log10((c + 1) / (total + distinct + 1))[codes]
