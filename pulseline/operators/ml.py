@@ -6,6 +6,7 @@ forecast. Tables here have one row per route.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 from pyspark.ml import Pipeline
@@ -20,6 +21,7 @@ from pulseline.config import SCENARIO
 from pulseline.functions import columns as C
 from pulseline.functions.joins import with_scalars
 from pulseline.operators.scenario import FLAGS
+from pulseline.session import stored
 
 # Model features in their published order.
 FEATURES = (
@@ -47,7 +49,7 @@ def prepared(features: DataFrame, folds: int | None = 5) -> DataFrame:
     """Feature vector, balanced class weights and a fold per route.
 
     Folds are a fixed hash of the route; None makes every route its own fold (leave-one-out),
-    which is meant for networks of a few dozen routes.
+    which is meant for networks of a few dozen routes. The table has one row per route of a network.
     """
     sizes = features.agg(F.count(F.lit(1)).alias("n"), F.sum("fifa_high_risk").alias("pos"))
     weight = F.when(F.col("fifa_high_risk") == 1, C.ratio("n", F.col("pos") * 2)).otherwise(
@@ -58,14 +60,16 @@ def prepared(features: DataFrame, folds: int | None = 5) -> DataFrame:
         "label": F.col("fifa_high_risk").cast("double"),
         "fold": F.row_number().over(Window.orderBy("route_short_name")) if folds is None
         else F.pmod(F.xxhash64("route_short_name"), F.lit(folds)).cast("int"),
+        "fold_kind": F.lit("leave one out" if folds is None else "hash folds"),
     }).drop("n", "pos")
-    return VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(ready).persist()
+    return stored(VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(ready), "risk-features")
 
 
-def logit() -> Pipeline:
+def logit(rows: int = 20) -> Pipeline:
+    """Penalty 1 / rows, for the rows that are fitted."""
     return Pipeline(stages=[
         StandardScaler(inputCol="x", outputCol="xs", withMean=True, withStd=True),
-        LogisticRegression(featuresCol="xs", labelCol="label", weightCol="weight", maxIter=100, regParam=0.05),
+        LogisticRegression(featuresCol="xs", labelCol="label", weightCol="weight", maxIter=1000, regParam=1.0 / max(rows, 1)),
     ])
 
 
@@ -81,37 +85,63 @@ def out_of_fold(table: DataFrame, estimator) -> DataFrame:
     """Predictions for every route by a model that did not see its fold.
 
     The loop is over the few fold numbers, not over rows; with as many folds as routes it is
-    leave-one-out.
+    leave-one-out. `estimator` is one, or makes one from the number of fitted rows. Classifiers
+    need two rows of each class; without them there is no cross-validation and no prediction.
     """
-    folds = sorted(r[0] for r in table.select("fold").distinct().collect())
+    sizes = table.groupBy("fold", "label").count().collect()
+    rows, classes = Counter(), Counter()
+    for r in sizes:
+        rows[r["fold"]] += r["count"]
+        classes[r["label"]] += r["count"]
+    classifies = not isinstance(estimator, RandomForestRegressor)
+    if classifies and (len(classes) < 2 or min(classes.values()) < 2):
+        return table.withColumn("prediction", F.lit(None).cast("double"))
     parts = []
-    for k in folds:
+    for k in sorted(rows):
         rest = table.where(F.col("fold") != k)
-        labels = [r[0] for r in rest.select("label").distinct().limit(2).collect()]
-        if len(labels) < 2 and not isinstance(estimator, RandomForestRegressor):
+        labels = {r["label"] for r in sizes if r["fold"] != k}
+        if len(labels) < 2 and classifies:
             # one class left: every model predicts it
-            only = F.lit(labels[0] if labels else 0.0)
+            only = F.lit(next(iter(labels), 0.0))
             parts.append(table.where(F.col("fold") == k).withColumn("prediction", only))
             continue
-        parts.append(estimator.fit(rest).transform(table.where(F.col("fold") == k)).select(*table.columns, "prediction"))
+        own = estimator(sum(rows.values()) - rows[k]) if callable(estimator) else estimator
+        parts.append(own.fit(rest).transform(table.where(F.col("fold") == k)).select(*table.columns, "prediction"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def classification_scores(predicted: DataFrame, model: str) -> DataFrame:
     hit = (F.col("prediction") == F.col("label")).cast("int")
     return predicted.agg(
-        F.lit(model).alias("model"), F.lit("classify high-risk").alias("task"), F.lit("hash folds").alias("cv"),
+        F.lit(model).alias("model"), F.lit("classify high-risk").alias("task"), F.first("fold_kind").alias("cv"),
         C.rnd(F.avg(hit), 3).alias("score"), F.count(F.lit(1)).alias("routes"),
     )
 
 
+def class_report(predicted: DataFrame) -> DataFrame:
+    """Precision, recall, F1 and support of each class, from out-of-fold predictions."""
+    pairs = predicted.where(F.col("prediction").isNotNull()).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    none, hit = F.lit(0).cast("long"), F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
+    sides = F.explode(F.array(
+        F.struct(F.col("label").alias("class"), F.col("n").alias("support"), none.alias("predicted"), hit.alias("hits")),
+        F.struct(F.col("prediction").alias("class"), none.alias("support"), F.col("n").alias("predicted"), none.alias("hits")),
+    ))
+    counts = pairs.select(sides.alias("s")).select("s.*").groupBy("class").agg(
+        *[F.sum(c).alias(c) for c in ("support", "predicted", "hits")]
+    )
+    return counts.select(
+        "class", "support", C.rnd(C.ratio("hits", "predicted"), 3).alias("precision"), C.rnd(C.ratio("hits", "support"), 3).alias("recall"),
+        C.rnd(C.ratio(F.col("hits") * 2, F.col("support") + F.col("predicted")), 3).alias("f1"),
+    )
+
+
 def regression_scores(predicted: DataFrame) -> DataFrame:
     """R squared and mean absolute error of out-of-fold predictions."""
     ev = RegressionEvaluator(labelCol="fifa_stress_score", predictionCol="prediction")
     r2, mae = ev.evaluate(predicted, {ev.metricName: "r2"}), ev.evaluate(predicted, {ev.metricName: "mae"})
     return predicted.agg(
         F.lit("RandomForestRegressor").alias("model"), F.lit("estimate stress score").alias("task"),
-        F.lit("hash folds").alias("cv"), F.lit(round(r2, 3)).alias("score"), F.count(F.lit(1)).alias("routes"),
+        F.first("fold_kind").alias("cv"), F.lit(round(r2, 3)).alias("score"), F.count(F.lit(1)).alias("routes"),
         F.lit(round(mae, 3)).alias("mae"),
     )
 
@@ -119,7 +149,7 @@ def regression_scores(predicted: DataFrame) -> DataFrame:
 def feature_importance(table: DataFrame, trees: int = 300) -> DataFrame:
     """Forest importance (size) beside the standardised logistic coefficient (direction)."""
     imp = forest(trees).fit(table).featureImportances.toArray()
-    coef = logit().fit(table).stages[-1].coefficients.toArray()
+    coef = logit(table.count()).fit(table).stages[-1].coefficients.toArray()
     rows = [(f, float(i), float(c)) for f, i, c in zip(FEATURES, imp, coef)]
     return table.sparkSession.createDataFrame(rows, "feature string, rf_importance double, logit_coef double").orderBy(
         F.desc("rf_importance"), "feature"
@@ -139,7 +169,7 @@ def model_agreement(table: DataFrame, trees: int = 300) -> DataFrame:
 
 def model_summary(table: DataFrame, trees: int = 300) -> DataFrame:
     """One row per model with its out-of-fold score."""
-    a = classification_scores(out_of_fold(table, logit()), "LogisticRegression")
+    a = classification_scores(out_of_fold(table, logit), "LogisticRegression")
     b = classification_scores(out_of_fold(table, forest(trees)), "RandomForestClassifier")
     c = regression_scores(out_of_fold(table, forest_regressor(trees))).drop("mae")
     return a.unionByName(b).unionByName(c)

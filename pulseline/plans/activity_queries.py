@@ -78,21 +78,6 @@ FROM c_pings WHERE route_id IS NOT NULL AND speed IS NOT NULL GROUP BY route_id"
 
 # --- scans as queries ---------------------------------------------------------------------------
 
-@query("bronze_scan", f"SELECT {_PING} FROM c_pings")
-def _(d: Domain):
-    return d.raw_pings
-
-
-@query("scan_one_date", f"SELECT {_PING}, date FROM c_timed WHERE date = '2024-01-10'")
-def _(d: Domain):
-    return d.timed.drop("hour", "day_of_week").where(F.col("date") == "2024-01-10")
-
-
-@query("scan_date_range", f"SELECT {_PING}, date FROM c_timed WHERE date BETWEEN '2024-01-08' AND '2024-01-12'")
-def _(d: Domain):
-    return d.timed.drop("hour", "day_of_week").where(F.col("date").between("2024-01-08", "2024-01-12"))
-
-
 @query("ingest_route_filter", f"SELECT {_PING} FROM c_pings WHERE route_id IN ('4', '10', '15')")
 def _(d: Domain):
     return sil.route_allow_list(d.raw_pings, ["4", "10", "15"])

@@ -30,6 +30,48 @@ def _archive(d: Domain) -> str:
     return sinks.partitioned_sink(dated, path)
 
 
+_DRIFT = "2024-01-15"  # days before this one were written without a bearing
+_BOUND = {"bearing": f"CASE WHEN date < '{_DRIFT}' THEN NULL ELSE bearing END"} | {
+    c: f"CAST({c} AS VARCHAR)" for c in ("collection_timestamp", "api_vehicle_timestamp")
+}
+_TEN = ", ".join(f"{_BOUND.get(c, c)} AS {c}" for c in PING_COLUMNS)
+
+
+def _drifting_archive(d: Domain) -> str:
+    """A date-partitioned archive whose older files lack a column."""
+    path = scratch_path(d.spark, "archive")
+    dated = d.raw_pings.select(*PING_COLUMNS, F.date_format("collection_timestamp", "yyyy-MM-dd").alias("date"))
+    sinks.partitioned_sink(dated.where(F.col("date") < _DRIFT).drop("bearing"), path)
+    return sinks.partitioned_sink(dated.where(F.col("date") >= _DRIFT), path)
+
+
+@query("bronze_scan", f"SELECT {_TEN} FROM c_timed")
+def _(d: Domain):
+    return files.scan_archive(d.spark, _drifting_archive(d))
+
+
+@query("scan_one_date", f"SELECT {_TEN}, date FROM c_timed WHERE date = '2024-01-10'")
+def _(d: Domain):
+    return files.scan_one_date(d.spark, _drifting_archive(d), "2024-01-10")
+
+
+@query("scan_date_range", f"SELECT {_TEN}, date FROM c_timed WHERE date BETWEEN '2024-01-13' AND '2024-01-17'")
+def _(d: Domain):
+    return files.scan_partitions(d.spark, _drifting_archive(d), "2024-01-13", "2024-01-17")
+
+
+@query("load_report", f"""
+SELECT count(DISTINCT date) > 0 AS has_files, true AS all_loaded, count(DISTINCT date) FILTER (date < '{_DRIFT}') > 0 AS some_without_bearing
+FROM c_timed""")
+def _(d: Domain):
+    # the number of files depends on the writing tasks, so only what does not is compared
+    report = files.load_report(d.spark, _drifting_archive(d))
+    return report.select(
+        (F.col("files") > 0).alias("has_files"), (F.col("skipped_files") == 0).alias("all_loaded"),
+        (F.col("without_bearing") > 0).alias("some_without_bearing"),
+    )
+
+
 # --- sources and sinks -----------------------------------------------------------------------------
 
 @query("partitioned_sink", """
@@ -42,8 +84,7 @@ def _(d: Domain):
 
 @query("tolerant_load", "SELECT entity_id, vehicle_id, latitude, longitude FROM c_pings")
 def _(d: Domain):
-    df, _ = files.tolerant_load(d.spark, _archive(d))
-    return df.select("entity_id", "vehicle_id", "latitude", "longitude")
+    return files.tolerant_load(d.spark, _archive(d)).select("entity_id", "vehicle_id", "latitude", "longitude")
 
 
 @query("with_source_file")
@@ -271,7 +312,18 @@ def _(d: Domain):
 @query("logit_cv")
 def _(d: Domain):
     table = ml.prepared(_features(d))
-    return ml.classification_scores(ml.out_of_fold(table, ml.logit()), "LogisticRegression")
+    return ml.classification_scores(ml.out_of_fold(table, ml.logit), "LogisticRegression")
+
+
+@query("logit_leave_one_out")
+def _(d: Domain):
+    table = ml.prepared(_features(d), folds=None)
+    return ml.classification_scores(ml.out_of_fold(table, ml.logit), "LogisticRegression")
+
+
+@query("logit_class_report")
+def _(d: Domain):
+    return ml.class_report(ml.out_of_fold(ml.prepared(_features(d)), ml.logit))
 
 
 @query("rf_cv")

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from pulseline.config import PING_COLUMNS
+from pulseline.functions.joins import with_scalars
 
 PING_SCHEMA = T.StructType(
     [T.StructField("collection_timestamp", T.TimestampType()), T.StructField("api_vehicle_timestamp", T.TimestampType())]
@@ -23,9 +24,13 @@ FEED_SCHEMA = (
 
 
 def scan_archive(spark: SparkSession, path: str) -> DataFrame:
-    """The whole ping archive, columns matched by name over drifting files."""
+    """The whole ping archive, contract columns matched by name over drifting files.
+
+    The schema is the contract, so no footer is read before the scan; a column that a file lacks
+    is NULL there.
+    """
     return (
-        spark.read.option("mergeSchema", True).option("recursiveFileLookup", True)
+        spark.read.schema(PING_SCHEMA).option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.parquet").parquet(path)
     )
 
@@ -37,8 +42,8 @@ def scan_partitions(
 
     `first` later than `last` gives no rows. Folders that are not dates are ignored.
     """
-    df = spark.read.option("mergeSchema", True).parquet(path)
-    day = F.col("date").cast("string")
+    df = spark.read.schema(T.StructType([*PING_SCHEMA.fields, T.StructField("date", T.StringType())])).parquet(path)
+    day = F.col("date")
     df = df.where(F.try_to_timestamp(day, F.lit("yyyy-MM-dd")).isNotNull())
     if first is not None:
         df = df.where(day >= first)
@@ -55,17 +60,34 @@ def scan_one_date(spark: SparkSession, path: str, day: str) -> DataFrame:
     return df
 
 
-def tolerant_load(spark: SparkSession, path: str, expected: Sequence[str] = PING_COLUMNS) -> tuple[DataFrame, list[str]]:
-    """Load what can be read, skipping damaged files; also the expected columns that are missing."""
-    df = (
+def tolerant_load(spark: SparkSession, path: str) -> DataFrame:
+    """Load what can be read, skipping damaged files; columns that a file lacks are NULL."""
+    return (
         spark.read.option("ignoreCorruptFiles", True).option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.parquet").schema(PING_SCHEMA).parquet(path)
     )
-    readable = (
-        spark.read.option("ignoreCorruptFiles", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.parquet").option("mergeSchema", True).parquet(path)
+
+
+def load_report(spark: SparkSession, path: str, expected: Sequence[str] = PING_COLUMNS) -> DataFrame:
+    """One row: files, loaded_files, skipped_files (damaged or without rows), and for each expected
+    column the loaded files in which it never has a value.
+
+    Files are listed by Spark's own file metadata, without reading them; Spark never lists a file
+    of zero bytes.
+    """
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+        .agg(F.count("path").alias("files"))
+    )
+    per_file = tolerant_load(spark, path).groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        *[F.count(c).alias(c) for c in expected]
+    )
+    loaded = per_file.agg(
+        F.count("file").alias("loaded_files"), *[F.count_if(F.col(c) == 0).alias(f"without_{c}") for c in expected]
+    )
+    return with_scalars(loaded, listed).select(
+        "files", "loaded_files", (F.col("files") - F.col("loaded_files")).alias("skipped_files"), *[f"without_{c}" for c in expected]
     )
-    return df, [c for c in expected if c not in readable.columns]
 
 
 def skipped_files(spark: SparkSession, path: str) -> DataFrame:

@@ -212,3 +212,26 @@ def test_models_invariants(spark):
 
 def test_contract_columns(spark):
     assert sil.require_columns(_pings(spark, ROWS)) == [] and sil.require_columns(spark.range(1)) == list(PING_COLUMNS)
+
+
+def test_load_report_counts_damaged_files_and_missing_columns(spark, folder):
+    path = folder + "/report"
+    whole = spark.createDataFrame([("e1", "v1", 49.0)], "entity_id string, vehicle_id string, latitude double").coalesce(1)
+    whole.write.parquet(path)
+    good = next(p for p in os.listdir(path) if p.endswith(".parquet"))
+    raw = open(f"{path}/{good}", "rb").read()
+    open(f"{path}/zero.parquet", "wb").write(b"x")
+    open(f"{path}/cut.parquet", "wb").write(raw[: len(raw) // 2])
+    row = files.load_report(spark, path).first()
+    assert (row.files, row.loaded_files, row.skipped_files) == (3, 1, 2)
+    assert row.without_bearing == 1 and row.without_latitude == 0
+    assert files.tolerant_load(spark, path).count() == 1
+
+
+def test_class_report_and_two_rows_per_class(spark):
+    rows = [(1.0, 1.0), (1.0, 0.0), (0.0, 0.0), (0.0, 0.0), (0.0, 1.0)]
+    report = {r["class"]: r for r in ml.class_report(spark.createDataFrame(rows, "label double, prediction double")).collect()}
+    assert (report[1.0].precision, report[1.0].recall, report[1.0].f1, report[1.0].support) == (0.5, 0.5, 0.5, 2)
+    assert (report[0.0].precision, report[0.0].recall, report[0.0].support) == (0.667, 0.667, 3)
+    single = spark.createDataFrame([(0, 1.0), (1, 0.0), (2, 0.0)], "fold int, label double")
+    assert ml.out_of_fold(single, ml.logit).filter("prediction is not null").count() == 0
