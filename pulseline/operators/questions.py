@@ -51,7 +51,8 @@ def tag_entities(questions: DataFrame, text: str = "text") -> DataFrame:
     cannot match inside a longer one. What remains is searched for codes; a bare number is a
     route only if the catalog has it, but after 'route', 'bus', 'line' or 'the' it is unresolved.
     """
-    source = F.coalesce(F.col(text), F.lit(""))
+    # the marks stand for routes below, so a text cannot bring its own
+    source = F.translate(F.coalesce(F.col(text), F.lit("")), "".join(_MARK.values()), "")
     phrases = [p for p in V.route_phrases() if not _is_cued_code(*p)]
     low = F.lower(source)
     any_phrase = reduce(lambda a, b: a | b, [low.contains(p) for p, _ in phrases])

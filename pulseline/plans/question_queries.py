@@ -34,10 +34,11 @@ _CODES = "(" + ", ".join(_lit(c) for c, _, _ in V.ROUTES) + ")"
 _CANON = "CASE WHEN regexp_matches(x, '^[0-9]+$') THEN lpad(x, 3, '0') ELSE upper(x) END"
 
 cte("c_q", r"SELECT *, lower(trim(text)) AS l, regexp_replace(lower(trim(text)), '\s+', ' ', 'g') AS q FROM c_questions")
-# the bound question templates name routes by code only, so the phrase pass adds nothing to codes and cues
+# a bound question holds one route phrase at most: the longest that occurs
+_NAMED = "CASE " + " ".join(f"WHEN {_has('lower(text)', p, 'a-z0-9')} THEN {_lit(c)}" for p, c in V.route_phrases()) + " END"
 cte("c_q_routes", rf"""
 SELECT question_id, text,
-  list_sort(list_distinct(list_filter(list_transform(codes, lambda x: {_CANON}), lambda y: y IN {_CODES}))) AS routes,
+  list_sort(list_distinct(list_filter(list_append(list_transform(codes, lambda x: {_CANON}), {_NAMED}), lambda y: y IN {_CODES}))) AS routes,
   list_sort(list_distinct(list_concat(
     list_filter(codes, lambda x: ({_CANON}) NOT IN {_CODES} AND regexp_matches(x, '^[A-Za-z]')),
     list_filter(cued, lambda x: ({_CANON}) NOT IN {_CODES})))) AS unresolved

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 # The gold tables that a deployment must contain.
 GOLD_TABLES = (
@@ -34,29 +34,46 @@ def validated_publish(
     df: DataFrame, staging: str, target: str, required: Sequence[str], mode: str = "append",
     expected_rows: int | None = None,
 ) -> dict[str, int]:
-    """Write to staging, read back, compare, then promote.
+    """Write to staging, compare, then promote.
 
-    Columns and rows of the staged copy are checked before anything reaches the target; an empty
-    or incomplete batch is rejected. The row count of the batch is taken from the caller where it
-    is known, otherwise counted.
+    The batch is computed once: its rows are counted while they are written. Columns and rows of
+    the staged copy (its count comes from file footers) are checked before anything reaches the
+    target; an empty or incomplete batch is rejected. Promotion renames the staged files.
     """
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise PublishError("missing columns: " + ", ".join(missing))
-    expected = df.count() if expected_rows is None else expected_rows
-    if expected == 0:
+    spark, seen = df.sparkSession, Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    counted.write.mode("overwrite").option("compression", "snappy").parquet(staging)
+    written = seen.get["rows"]
+    if written == 0:
         raise PublishError("empty batch")
-    df.write.mode("overwrite").option("compression", "snappy").parquet(staging)
-    staged = df.sparkSession.read.parquet(staging)
+    staged = spark.read.parquet(staging)
     if sorted(staged.columns) != sorted(df.columns):
         raise PublishError("staged columns differ from the batch")
     rows = staged.count()
-    if rows != expected:
-        raise PublishError(f"staged {rows} rows of {expected}")
-    staged.write.mode(mode).option("compression", "snappy").parquet(target)
+    if rows != (written if expected_rows is None else expected_rows):
+        raise PublishError(f"staged {rows} rows of {written if expected_rows is None else expected_rows}")
+    _promote(spark, staging, target, mode)
     return {"rows": rows, "columns": len(staged.columns)}
 
 
+def _promote(spark: SparkSession, staging: str, target: str, mode: str) -> None:
+    """Move the staged data files into the target folder; their names are unique to the write."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source, goal = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(target)
+    fs = source.getFileSystem(conf)
+    if mode == "overwrite":
+        fs.delete(goal, True)
+    fs.mkdirs(goal)
+    for status in fs.listStatus(source):
+        path = status.getPath()
+        if path.getName().startswith("part-") and not fs.rename(path, jvm.org.apache.hadoop.fs.Path(goal, path.getName())):
+            raise PublishError(f"could not promote {path.getName()}")
+    fs.delete(source, True)
+
+
 def csv_sink(df: DataFrame, path: str) -> bool:
     """Export with a header; an empty result writes nothing."""
     if df.isEmpty():

@@ -126,3 +126,8 @@ def test_missing_anchors_are_appended(spark):
     got = {r.id: r.final_text for r in qs.append_missing_anchors(df).collect()}
     assert got == {1: "R4 scored 77.6", 2: "R4 did well. Result values: 77.6.", 3: "Result values: R4.",
                    4: "Done! Result values: 9.", 5: "ok"}
+
+
+def test_marks_in_the_text_name_no_route(spark):
+    rows = spark.createDataFrame([("x " + "".join(qs._MARK.values()) + " y",)], "text string")
+    assert qs.tag_entities(rows).first().routes == []
