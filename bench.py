@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pulseline.plans.catalog import ENTRIES  # noqa: E402
 from pulseline.plans.registry import runner  # noqa: E402
-from pulseline.session import build_session  # noqa: E402
+from pulseline.session import build_session, release  # noqa: E402
 
 HEADLINE = (
     "silver_positions", "silver_enriched", "observed_headways", "bunching_hotspots", "reliability_scores",
@@ -39,6 +39,7 @@ def main() -> None:
         started = time.perf_counter()
         runner(ENTRIES[name])(spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - started, 3)
+    release(spark)
     spark.stop()
     print(json.dumps({
         "metric": "headline_total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec",

@@ -9,10 +9,11 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
 @pytest.fixture(scope="session")
 def spark():
-    from pulseline.session import build_session
+    from pulseline.session import build_session, release
 
     session = build_session("pulseline-tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
