@@ -268,10 +268,11 @@ def _(d: Domain):
     return out.orderBy(F.desc_nulls_last("latest_timestamp")).limit(1).drop("batch")
 
 
-@query("stream_bunching", "SELECT event_id, route_id, next_vehicle_id, distance_to_next_bus_km, bunching_severity FROM c_events")
+@query("stream_bunching", "SELECT event_id, route_id, next_vehicle_id, distance_to_next_bus_km, bunching_severity FROM c_events "
+       "WHERE collection_timestamp < (SELECT max(collection_timestamp) - INTERVAL 10 MINUTE FROM c_pings)")
 def _(d: Domain):
     job = jobs.bunching_job(BOUND_SHAPE_KM, "bound_dist_km", CORRIDOR_KEYS)
-    out = d.spark.read.parquet(jobs.drain_batches(_stream(d), job, *_places(d, "bunching")))
+    out = d.spark.read.parquet(jobs.drain_batches(jobs.closed_snapshots(_stream(d)), job, *_places(d, "bunching")))
     return out.select("event_id", "route_id", "next_vehicle_id", "distance_to_next_bus_km", "bunching_severity")
 
 

@@ -72,8 +72,19 @@ def freshness_job(now: Column) -> Callable[[DataFrame], DataFrame]:
     return lambda batch: health.freshness(batch, now)
 
 
+def closed_snapshots(pings: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Pings whose snapshot is complete: all rows of a collection time come out in the one micro-batch
+    in which the watermark passes it, however many files and micro-batches brought them.
+
+    State holds the rows of open snapshots, spread by the whole row; repeated rows become one, and
+    rows later than `delay` are dropped, as a watermark does.
+    """
+    waiting = pings.withWatermark("collection_timestamp", delay)
+    return waiting.groupBy(*pings.columns).agg(F.count(F.lit(1)).alias("copies")).drop("copies")
+
+
 def bunching_job(length_km: float, distance: str, keys=spc.SNAPSHOT_KEYS) -> Callable[[DataFrame], DataFrame]:
-    """Per micro-batch: bunching events. A snapshot is one poll cycle and arrives whole in one file."""
+    """Per micro-batch of whole snapshots (see `closed_snapshots`): bunching events."""
 
     def run(batch: DataFrame) -> DataFrame:
         placed = sil.silver_positions(batch).withColumnRenamed(distance, spc.DIST).withColumn(

@@ -1,5 +1,6 @@
 """Sources, sinks, health, streaming and models on small files."""
 
+import datetime as dt
 import os
 import tempfile
 
@@ -235,3 +236,20 @@ def test_class_report_and_two_rows_per_class(spark):
     assert (report[0.0].precision, report[0.0].recall, report[0.0].support) == (0.667, 0.667, 3)
     single = spark.createDataFrame([(0, 1.0), (1, 0.0), (2, 0.0)], "fold int, label double")
     assert ml.out_of_fold(single, ml.logit).filter("prediction is not null").count() == 0
+
+
+def test_a_snapshot_over_two_files_bunches_whole(spark, folder):
+    schema = "event_id long, collection_timestamp timestamp, vehicle_id string, km double"
+    def ping(i, at, v, km):
+        return (i, dt.datetime(2026, 5, 19, at), v, km)
+    parts = [[ping(1, 8, "a", 1.0), ping(2, 9, "c", 3.0)], [ping(3, 8, "b", 1.2), ping(4, 9, "d", 3.1)], [ping(5, 12, "e", 1.0)]]
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder + "/snap")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder + "/snap")
+
+    def pairs(batch):
+        return batch.groupBy("collection_timestamp").agg(F.count(F.lit(1)).alias("n"))
+
+    out = jobs.drain_batches(jobs.closed_snapshots(stream, "2 hours"), pairs, folder + "/whole", folder + "/ck-snap")
+    got = {r.collection_timestamp.hour: r.n for r in spark.read.parquet(out).collect()}
+    assert got == {8: 2, 9: 2}
