@@ -86,9 +86,10 @@ def read_leaves(spark: SparkSession, path: str, book: DataFrame) -> DataFrame:
     ranges = book.groupBy("task", "file", "volume").agg(
         F.sort_array(F.collect_list(F.struct("position", "start", "length"))).alias("ranges")
     )
+    # the inner array hands the content over by reference; read as a column it would be copied per record
     cut = ranges.join(files, ["task", "file"], "left").select("volume", F.expr(f"""
-        transform(ranges, r -> struct(r.position AS position, sha2(coalesce(
-            substring(content, CAST(r.start + 1 AS INT), CAST(r.length - {len(END)} AS INT)), X''), 256) AS digest))
+        transform(array(coalesce(content, X'')), c -> transform(ranges, r -> struct(r.position AS position,
+            sha2(substring(c, CAST(r.start + 1 AS INT), CAST(r.length - {len(END)} AS INT)), 256) AS digest)))[0]
     """).alias("leaves"))
     each = cut.select("volume", F.explode("leaves").alias("leaf"))
     return stored(each.select("volume", "leaf.position", "leaf.digest"), "warc-leaves")
