@@ -7,8 +7,8 @@
 2. Label model: EM over the counts of vote patterns of all documents, without labels. Voters have
    class-conditional vote probabilities (their accuracies), and correlated voters are modelled in a
    tree: each voter also depends on the voter with which it shares most information given the class.
-3. The posterior of each pattern is the label for a linear (logistic) classifier on hit features,
-   whose output is the score.
+3. The posterior of each pattern is the label for a linear (logistic) classifier on hit features
+   of all training documents, whose output is the score.
 """
 
 from __future__ import annotations
@@ -25,9 +25,8 @@ from pulseline.llm.common import hashes_of, id_remainder, making_room, pieces, s
 
 FOLDS, HELD = 3, 1
 THRESHOLD = 0.7
-#: Bounds of what is fitted: lexicon candidates (by number of toxic training texts), entries, and
-#: rows for the linear classifier (those with the least text hashes).
-CANDIDATES, ENTRIES, ROWS = 20_000, 4_000, 20_000
+#: Bounds of the lexicon: candidates (by number of toxic training texts) and entries.
+CANDIDATES, ENTRIES = 20_000, 4_000
 BEGINNINGS = (4, 5)
 WILSON_Z, LEAST_SHARE, LEAST_SPREAD, ROUNDS = 2.0, 0.5, 0.02, 3
 #: Voters on lexicon parts: (kind, part, parts); kind 0 is whole words, then word beginnings.
@@ -221,14 +220,38 @@ def spanning_tree(patterns: np.ndarray, counts: np.ndarray, posterior: np.ndarra
     return parent
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
-    """Logistic regression on probabilities, by Newton's method; bias first."""
+def newton_sums(x: np.ndarray, y: np.ndarray, share: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient and Hessian of the weighted logistic loss, in steps of 2**-48. Whole numbers add up
+    to the same sums in any order, so the fit does not depend on how rows are dealt to tasks."""
     x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(x.shape[1])
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    slope = x * (share * (y - p))[:, None]
+    bend = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1) * (share * (p * (1 - p) + 1e-6))[:, None]
+    return np.rint(np.hstack([slope, bend]) * 2.0**48).astype(np.int64).sum(axis=0)
+
+
+def fit_linear(rows: DataFrame, total: int, codes: np.ndarray, posterior: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
+    """Logistic regression on probabilities over all rows (code, features, n), by Newton's method;
+    bias first. Each step is one pass over the rows; a task sends its sums only. The ridge shrinks
+    with the root of the number of texts, up to 20,000 of them."""
+    size = FEATURES + 1
+    ridge /= min(total, 20_000) ** 0.5
+    w = np.zeros(size)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x / len(x) + ridge / len(x) ** 0.5 * np.eye(len(w)),
-                               x.T @ (y - p) / len(x) - ridge / len(x) ** 0.5 * w)
+        shared = rows.sparkSession.sparkContext.broadcast((codes, posterior, w))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            codes, posterior, w = shared.value
+            sums = np.zeros(size + size * size, np.int64)
+            for batch in batches:
+                x = batch["features"].flatten().to_numpy().reshape(-1, FEATURES)
+                y = posterior[np.searchsorted(codes, batch["code"].to_numpy())]
+                sums += newton_sums(x, y, batch["n"].to_numpy() / total, w)
+            yield pa.RecordBatch.from_arrays([pa.array([sums], pa.list_(pa.int64()))], names=["sums"])
+
+        sums = sum((np.array(r["sums"], object) for r in rows.mapInArrow(run, "sums array<long>").collect()), np.zeros(size + size * size, object))
+        sums = np.array(sums / 2**48, float)
+        step = np.linalg.solve(sums[size:].reshape(size, size) + ridge * np.eye(size), sums[:size] - ridge * w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -237,9 +260,10 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int =
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Learn from documents and the labels of training folds (crc32 of the key, modulo FOLDS, is
-    not HELD). Labels choose lexicon entries only; vote patterns come from all documents.
+    not HELD). Labels choose lexicon entries only; vote patterns come from all documents with words,
+    and the classifier from all of those in the training folds.
 
-    Rows without text or with a null key or label teach nothing. Without toxic training texts the
+    Rows without words teach nothing, null labels and labels of a null key neither. Without toxic training texts the
     lexicon is empty, and every score is 0.
     """
     open_ = id_remainder(F.col(key), FOLDS) != HELD
@@ -256,28 +280,25 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", PIECE):
+                part = part.filter(pa.array(np.diff(words_of(part["text"])[1]) > 0))
                 votes, features = votes_and_features(part["text"], shared.value)
                 code = votes @ (3 ** np.arange(VOTERS))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(code), pa.array(features.tolist(), pa.list_(pa.float64())), part["hash"], part["open"]],
-                    names=["code", "features", "hash", "open"],
+                    [pa.array(code), pa.array(features.tolist(), pa.list_(pa.float64())), part["open"]], names=["code", "features", "open"],
                 )
 
+    # texts without hits and copies share a row, so what is stored and fitted is small
     seen = stored(
-        docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("hash"), open_.alias("open"))
-        .mapInArrow(run, "code long, features array<double>, hash long, open boolean"), "toxicity-votes",
+        docs.select(F.col(text).alias("text"), open_.alias("open")).mapInArrow(run, "code long, features array<double>, open boolean")
+        .groupBy("code", "features", "open").agg(F.count("*").alias("n")), "toxicity-votes",
     )
-    counted = seen.groupBy("code").count().collect()  # at most 3 ** VOTERS patterns
+    counted = seen.groupBy("code").agg(F.sum("n").alias("n")).collect()  # at most 3 ** VOTERS patterns
     codes = np.array(sorted(r["code"] for r in counted), np.int64)
-    counts = np.array([n for _, n in sorted((r["code"], r["count"]) for r in counted)], float)
+    counts = np.array([n for _, n in sorted((r["code"], r["n"]) for r in counted)], float)
     posterior, right = fit_labels(codes[:, None] // 3 ** np.arange(VOTERS) % 3, counts)
-    # a hash threshold lets about as many rows through as are wanted, so tasks send few to the driver
-    share = min(1.0, 1.2 * ROWS / max(1, seen.filter("open").count()))
-    near = F.pmod("hash", F.lit(1 << 32)) < int(share * (1 << 32))
-    rows = seen.filter("open").filter(near).orderBy(F.pmod("hash", F.lit(1 << 32)), "code").limit(ROWS).select("code", "features").collect()
-    x = np.array([r["features"] for r in rows])
-    y = posterior[np.searchsorted(codes, [r["code"] for r in rows])]
-    return Model(lexicon, tuple(fit_linear(x, y).tolist()), tuple(right.tolist()))
+    rows = seen.filter("open").select("code", "features", "n")
+    total = rows.agg(F.sum("n")).first()[0]
+    return Model(lexicon, tuple(fit_linear(rows, total, codes, posterior).tolist()), tuple(right.tolist()))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "toxicity") -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 import zlib
 
+from pyspark.sql import functions as F
+
 from pulseline.llm import toxicity as t
 
 draw = random.Random(11)
@@ -47,3 +49,18 @@ def test_without_toxic_labels_or_rows(spark, make_docs, odd_rows):
         model = t.fit(make_docs(rows), none)
         assert model.lexicon == {}
         assert all(r.toxicity < 1e-9 for r in t.score(make_docs(rows), model).collect())
+
+
+def test_null_blank_and_copied_texts_do_not_crowd_out_the_rest(spark, make_docs):
+    rows, labels = corpus(900)
+    told = spark.createDataFrame(labels, "doc_id long, toxic int")
+    docs = make_docs(rows)
+    alone = t.fit(docs, told)
+    crowd = make_docs([(None, " \n")]).crossJoin(spark.range(30_000)).drop("id")
+    crowd = crowd.withColumn("text", F.when(F.rand(3) < 0.5, F.col("text")))
+    assert t.fit(docs.unionByName(crowd), told) == alone
+    copies = make_docs([(None, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12")]).crossJoin(spark.range(30_000)).drop("id")
+    for extra in (crowd, copies):
+        model = t.fit(docs.unionByName(extra), told)
+        scored = {r.doc_id: r.toxicity for r in t.score(docs, model).collect()}
+        assert sum((scored[i] >= t.THRESHOLD) != bool(y) for i, y in labels) <= 0.02 * len(labels)
