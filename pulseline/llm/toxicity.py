@@ -19,16 +19,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pulseline.llm.common import hashes_of, id_remainder, making_room, pieces, schema_text, shingle_hashes, stored, words_of
 
 FOLDS, HELD = 3, 1
 THRESHOLD = 0.7
-#: Bounds of the lexicon: candidates (by number of toxic training texts) and entries.
-CANDIDATES, ENTRIES = 20_000, 4_000
+#: Bound of the lexicon, which goes to every task.
+ENTRIES = 4_000
 BEGINNINGS = (4, 5)
-WILSON_Z, LEAST_SHARE, LEAST_SPREAD, ROUNDS = 2.0, 0.5, 0.02, 3
+#: An entry needs LEAST_TEXTS toxic texts at least; common ones are taken first, from a SPREAD-th
+#: share of the texts on, and the floor falls by FALL until it is LEAST_TEXTS.
+WILSON_Z, LEAST_SHARE, LEAST_TEXTS, SPREAD, FALL = 2.0, 0.5, 4, 0.02, 4
 #: Voters on lexicon parts: (kind, part, parts); kind 0 is whole words, then word beginnings.
 PARTS = ((0, 0, 3), (0, 1, 3), (0, 2, 3), (4, 0, 2), (4, 1, 2), (5, 0, 2), (5, 1, 2))
 VOTERS = len(PARTS) + 3
@@ -59,9 +61,9 @@ def document_features(texts: pa.Array) -> Iterator[set[str]]:
         yield set().union(*(own[c] for c in np.unique(codes[a:b])))
 
 
-def feature_counts(texts: DataFrame, wanted: frozenset[str] | None, told: frozenset[str]) -> DataFrame:
-    """feature, docs: in how many texts each feature (of the wanted ones) occurs; texts with a
-    feature that is already `told` do not count. The feature "" counts the texts themselves."""
+def feature_counts(texts: DataFrame, told: frozenset[str] = frozenset()) -> DataFrame:
+    """feature, docs: in how many texts each feature occurs; texts with a feature that is already
+    `told` do not count. The feature "" counts the texts themselves."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", PIECE):
@@ -69,7 +71,7 @@ def feature_counts(texts: DataFrame, wanted: frozenset[str] | None, told: frozen
                 for own in document_features(part["text"]):
                     if own.isdisjoint(told):
                         found[""] += 1
-                        for f in own if wanted is None else own & wanted:
+                        for f in own:
                             found[f] = found.get(f, 0) + 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["feature", "docs"]
@@ -94,41 +96,49 @@ def one_of_copies(texts: DataFrame) -> DataFrame:
     return marked.groupBy("least").agg(F.min("text").alias("text"))
 
 
-def wilson(share: np.ndarray, n: np.ndarray) -> np.ndarray:
+def wilson(share: Column, n: Column) -> Column:
     z2 = WILSON_Z**2
     centre = share + z2 / (2 * n)
-    return (centre - WILSON_Z * np.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+    return (centre - WILSON_Z * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
 
 
 def learn_lexicon(labelled: DataFrame) -> dict[str, tuple[int, ...]]:
     """Features whose presence makes a training text toxic; at most ENTRIES of them.
 
-    Each round looks at the toxic texts that no entry explains yet, and takes features that occur
-    in LEAST_SPREAD of them at least, so words beside an insult gain nothing from it.
+    Each round looks at the toxic texts that no entry explains yet, so words beside an insult gain
+    nothing from it. Features that occur in many of them come first; the floor falls whenever a
+    round adds no entry, and the search ends when none is added at LEAST_TEXTS texts.
     """
     toxic = stored(one_of_copies(labelled.filter("toxic = 1")), "toxicity-texts")
-    clean_texts = labelled.filter("toxic = 0")
+    # counts of later rounds never exceed those of the first, so its features are all candidates
+    first = stored(feature_counts(toxic).filter(F.col("docs") >= LEAST_TEXTS), "toxicity-features")
+    texts = (first.filter("feature = ''").first() or {"docs": 0})["docs"]
+    # both sides grow with the vocabulary, so neither is broadcast
+    against = stored(
+        first.filter("feature != ''").select("feature")
+        .join(feature_counts(labelled.filter("toxic = 0")).withColumnRenamed("docs", "clean").hint("merge"), "feature", "left")
+        .select("feature", F.coalesce("clean", F.lit(0)).alias("clean")), "toxicity-against",
+    )
     out: dict[str, tuple[int, ...]] = {}
     rank = dict.fromkeys((0, *BEGINNINGS), 0)
-    for _ in range(ROUNDS):
-        told = frozenset(out)
-        top = feature_counts(toxic, None, told).filter("docs > 3").orderBy(F.desc("docs"), "feature").limit(CANDIDATES).collect()
-        texts = next((row["docs"] for row in top if not row["feature"]), 0)
-        top = [row for row in top if row["feature"] and row["docs"] >= max(4, LEAST_SPREAD * texts)]
-        if not top:
-            break
-        clean = feature_counts(clean_texts, frozenset(row["feature"] for row in top), frozenset())
-        against = {row["feature"]: row["docs"] for row in clean.collect()}
-        pos = np.array([row["docs"] for row in top], float)
-        both = pos + np.array([against.get(row["feature"], 0) for row in top], float)
-        bound = wilson(pos / both, both)
-        chosen = sorted(np.nonzero(bound >= LEAST_SHARE)[0].tolist(), key=lambda i: (-bound[i], top[i]["feature"]))
-        for i in chosen[: ENTRIES - len(out)]:
-            feature = top[i]["feature"]
-            kind = int(feature[0])
-            out[feature] = tuple(k for k, (own, part, parts) in enumerate(PARTS) if own == kind and rank[kind] % parts == part)
+    floor, counts = max(LEAST_TEXTS, int(SPREAD * texts)), first
+    while len(out) < ENTRIES:
+        both = F.col("docs") + F.col("clean")
+        # features that fewer toxic than clean texts hold are below LEAST_SHARE at any size
+        chosen = (
+            counts.filter(F.col("docs") >= floor).join(against.hint("merge"), "feature")
+            .filter("docs > clean").select("feature", wilson(F.col("docs") / both, both).alias("bound"))
+            .filter(F.col("bound") >= LEAST_SHARE - 1e-9).orderBy(F.desc("bound"), "feature").limit(ENTRIES - len(out)).collect()
+        )
+        for row in chosen:
+            kind = int(row["feature"][0])
+            out[row["feature"]] = tuple(k for k, (own, part, parts) in enumerate(PARTS) if own == kind and rank[kind] % parts == part)
             rank[kind] += 1
-        if not chosen:
+        if chosen:
+            counts = stored(feature_counts(toxic, frozenset(out)).filter(F.col("docs") >= LEAST_TEXTS), "toxicity-features")
+        elif floor > LEAST_TEXTS:
+            floor = max(LEAST_TEXTS, floor // FALL)
+        else:
             break
     return out
 

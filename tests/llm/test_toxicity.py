@@ -64,3 +64,22 @@ def test_null_blank_and_copied_texts_do_not_crowd_out_the_rest(spark, make_docs)
         model = t.fit(docs.unionByName(extra), told)
         scored = {r.doc_id: r.toxicity for r in t.score(docs, model).collect()}
         assert sum((scored[i] >= t.THRESHOLD) != bool(y) for i, y in labels) <= 0.02 * len(labels)
+
+
+def test_hundreds_of_rare_insults_are_learnt(spark, make_docs):
+    """200 insults, each in about 1.5% of the toxic texts, without shared beginnings."""
+    own = random.Random(4)
+    insults = ["".join(own.choice("bdfgklmnprstvz") for _ in range(9)) for _ in range(200)]
+    rows, labels = [], []
+    for i in range(9000):
+        words = [f"w{own.randrange(400)}" for _ in range(own.randrange(15, 60))]
+        if i % 6 == 0:
+            words[5:5] = own.sample(insults, 3)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 6 == 0)))
+    docs = make_docs(rows)
+    model = t.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert sum(f"0{word}" in model.lexicon or any(f"{n}{word[:n]}" in model.lexicon for n in t.BEGINNINGS) for word in insults) >= 198
+    scored = {r.doc_id: r.toxicity for r in t.score(docs, model).collect()}
+    held = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum((scored[i] >= t.THRESHOLD) != bool(y) for i, y in held) <= 0.02 * len(held)
