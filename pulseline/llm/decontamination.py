@@ -1,9 +1,11 @@
 """Benchmark decontamination by SimHash windows and a multi-index of Hamming blocks.
 
 Fingerprints: 64 bits, the signs of the sums of +-weight per bit over the words of a window, where
-longer words weigh more. Window sizes are a ladder between the shortest and the longest item; an
-item is represented by its own windows of the largest ladder size that fits into it, at its start,
-middle and end. Every position of every text gets a window of every ladder size.
+longer words weigh more. Window sizes are a ladder. An item is represented by its own windows of
+the largest ladder size within four fifths of it, at its start, middle and end, so an edit near an
+edge leaves one of them whole; items that an edit anywhere else can leave above the threshold also
+have windows of less than half their size at both ends, one of which misses any single edit. Every
+position of every text gets a window of every ladder size.
 
 Search: a fingerprint is cut into BLOCKS blocks. If two fingerprints differ in at most RADIUS bits,
 some block differs in at most RADIUS // BLOCKS bits, so a table per block that holds each item
@@ -33,6 +35,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BITS, BLOCKS, RADIUS = 64, 4, 7
 LADDER = 1.5
+#: Least words of an item that stays above THRESHOLD with an edit at its edges, and anywhere.
+EDGES, ANYWHERE = 13, 49
 BLOCK_ITEMS = 5_000
 #: Bytes of text that a task cuts into words at once, and words that it fingerprints at once.
 PIECE_TEXT, SPAN = 4 << 20, 50_000
@@ -64,8 +68,21 @@ def window_prints(sums: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(signs, axis=1).view(np.uint16)
 
 
+def window_sizes(n: int) -> list[tuple[int, bool]]:
+    """The most words that the windows of an item of n words may have, and whether one in the
+    middle is wanted.
+
+    One edited word changes as many shingles as its place from the nearer edge, five at most. It
+    leaves (m - d) / (m + d) of m = n - 4 shingles, so THRESHOLD allows d <= m / 9: no edit below
+    13 words, edits at the edges only below 49.
+    """
+    if n < EDGES:
+        return [(n, False)]
+    return [(n * 4 // 5, True), *([((n - 1) // 2, False)] if n >= ANYWHERE else [])]
+
+
 def ladder(sizes: list[int]) -> list[int]:
-    """Window sizes from the smallest item on, each LADDER times the one before at most."""
+    """Window sizes from the smallest on, each LADDER times the one before at most."""
     out, size = [], min(sizes)
     while size <= max(sizes):
         out.append(size)
@@ -103,16 +120,16 @@ class Index:
         for k in range(len(items)):
             own = hashed[codes[starts[k]:starts[k + 1]]]
             self.shingles.append(Counter(shingle_hashes(own, np.array([0, len(own)]), SHINGLE)[0].tolist()))
-        sizes = [int(x) for x in self.n if x > 0]
+        wanted = [(k, most, middle) for k, n in enumerate(self.n.tolist()) if n for most, middle in window_sizes(n)]
         self.rungs: list[Rung] = []
-        steps = ladder(sizes) if sizes else []
+        steps = ladder([most for _, most, _ in wanted]) if wanted else []
         masks = neighbours(RADIUS // BLOCKS)
         for size, above in zip(steps, [*steps[1:], 1 << 40], strict=True):
             prints, item, offset = [], [], []
-            for k in np.nonzero((self.n >= size) & (self.n < above))[0]:
+            for k, _, middle in (x for x in wanted if size <= x[1] < above):
                 sums = running(signed, codes[starts[k]:starts[k + 1]])
                 spare = int(self.n[k]) - size
-                for at in sorted({0, spare // 2, spare}):
+                for at in sorted({0, *([spare // 2] if middle else []), spare}):
                     prints.append(window_prints(sums[at:at + size + 1], size)[0])
                     item.append(k)
                     offset.append(at)
@@ -266,5 +283,6 @@ def scan(part: pa.RecordBatch, index: Index, key: str, item_key: str, item_type:
 
 
 def without(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents that no item contaminates; rows with a null key stay unless matched by none."""
+    """The documents that no item contaminates. The key should tell rows apart: rows with a null key
+    all stay, and rows that share a key go together."""
     return docs.join(found.select(key).distinct(), key, "left_anti")

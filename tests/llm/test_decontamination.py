@@ -58,3 +58,22 @@ def test_empty_tables(spark, make_docs, odd_rows):
     none = spark.createDataFrame([], "item_id long, text string")
     assert d.matches(make_docs(odd_rows), none).count() == 0
     assert d.matches(make_docs([]), spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
+
+
+def test_one_edit_at_every_place(spark, make_docs):
+    """Each item of 13 to 70 words with one word changed at each place that leaves 0.8."""
+    from collections import Counter
+
+    grams = lambda words: Counter(tuple(words[k:k + 5]) for k in range(len(words) - 4))
+    own, items, rows, want = random.Random(8), [], [], set()
+    for n in range(13, 71):
+        words = [f"{'abc'[own.randrange(3)] * own.randrange(1, 6)}{own.randrange(10**5)}" for _ in range(n)]
+        items.append((n, " ".join(words)))
+        for place in range(n):
+            changed = [*words[:place], words[place] + ",", *words[place + 1:]]
+            if d.weighted_jaccard(grams(changed), grams(words)) >= d.THRESHOLD:
+                rows.append((100 * n + place, " ".join(filler(30, n) + changed + filler(30, place))))
+                want.add((100 * n + place, n))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = d.matches(make_docs(rows), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want and len(want) > 1000
