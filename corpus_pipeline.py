@@ -13,6 +13,7 @@ from pulseline.llm import bpe, decontamination, jaccard_join, quality_rules, tox
 from pulseline.llm.common import shipped, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+MARK = "_mark"
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -28,19 +29,30 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter(F.col("toxicity") < toxicity.THRESHOLD).select(*COLUMNS)
 
 
+def marked(docs: DataFrame, name: str) -> DataFrame:
+    """Stored: the documents and a mark of each row, which is unique whatever the ids are. A second
+    computation could mark rows otherwise."""
+    return stored(docs.select(*COLUMNS).withColumn(MARK, F.monotonically_increasing_id()), name)
+
+
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near duplicates.
+    """One document of each class of near duplicates: that with the least id.
 
-    Ids are taken as unique here; rows with a null id are kept as they are.
+    Null ids come after all others, and the least mark decides between rows with one id. Rows
+    without words are classes of their own and stay.
     """
-    extra = stored(jaccard_join.join(docs).filter("class_id < doc_id").select("doc_id").distinct(), "pipeline-extra")
-    return docs.select(*COLUMNS).join(extra, "doc_id", "left_anti").select(*COLUMNS)
+    rows = marked(docs, "pipeline-distinct")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", MARK).alias("place")
+    classes = jaccard_join.join(rows.select(order, "text"), key="place")
+    extra = stored(classes.filter(f"class_id.{MARK} != place.{MARK}").select(f"place.{MARK}"), "pipeline-extra")
+    return rows.join(extra, MARK, "left_anti").select(*COLUMNS)
 
 
 def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontamination.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return decontamination.without(docs.select(*COLUMNS), found).select(*COLUMNS)
+    """Documents that hold no benchmark item, whatever their ids."""
+    rows = marked(docs, "pipeline-unleaked")
+    found = decontamination.matches(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=MARK)
+    return decontamination.without(rows, found, key=MARK).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,3 +81,25 @@ def test_stages_with_odd_rows(spark, make_docs, odd_rows):
         for _, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.stored(stage(spark, docs, FOLDER), "test-odd")
         assert {r.doc_id for r in docs.collect()} <= {i for i, _ in rows}
+
+
+def test_null_and_equal_ids(spark, make_docs, tmp_path):
+    """Each row is judged by its own text: copies go whatever their ids, others stay."""
+    from test_decontamination import ITEMS, filler
+
+    prose = lambda seed: " ".join(filler(80, seed))
+    rows = [
+        (None, prose(1)), (None, prose(1)), (7, prose(1)), (7, prose(1)), (9, prose(1)),  # one class
+        (9, prose(2)),  # shares the id of a row that goes
+        (None, prose(3)), (None, prose(3)),
+        (None, None), (None, ""), (4, prose(4)),
+    ]
+    kept = corpus_pipeline.distinct(spark, make_docs(rows), FOLDER).collect()
+    want = [(7, prose(1)), (9, prose(2)), (None, prose(3)), (None, None), (None, ""), (4, prose(4))]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(want, key=str)
+
+    spark.createDataFrame(ITEMS[3:], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leak = prose(5) + " " + ITEMS[5][1]
+    rows = [(None, leak), (None, prose(6)), (3, leak), (3, prose(7)), (None, None)]
+    kept = corpus_pipeline.unleaked(spark, make_docs(rows), str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
