@@ -11,8 +11,10 @@ their training counts. Words meet over the whole corpus by shuffles only; the co
 its number. The vocabulary is never gathered or broadcast.
 
 Training. EM starts from a bounded sample (START_PIECES pieces), which only chooses the starting
-point. Then every round runs over all training texts: forward and backward passes in runs of RUN
-tokens give expected transition and emission counts, which are added up across partitions.
+point. Then every round runs over all training texts: forward and backward passes give expected
+transition and emission counts, which are added up across partitions. Texts longer than RUN tokens
+are cut into runs; transfer matrices carry the forward and backward vectors from run to run, so the
+counts are those of the whole texts.
 
 Scoring. The scaled forward recursion over each whole text is exact. Texts longer than RUN tokens
 are cut into runs whose transfer matrices are multiplied in order, which is the same product.
@@ -104,7 +106,6 @@ class Model:
     start: np.ndarray  # STATES
     move: np.ndarray  # STATES x STATES
     emit: np.ndarray  # BUCKETS + 1 x STATES
-    usual: np.ndarray  # share of each state over the corpus, where a run begins inside a text
 
 
 def normalised(start: np.ndarray, move: np.ndarray, emit: np.ndarray, corpus: np.ndarray) -> Model:
@@ -113,66 +114,115 @@ def normalised(start: np.ndarray, move: np.ndarray, emit: np.ndarray, corpus: np
     usual = emit.sum(axis=0) + 1e-9
     lean = (emit > 0.5).sum(axis=0) + 1
     shares = (emit + lean * corpus[:, None]) / (usual + lean)
-    return Model(
-        (start + 0.1) / (start + 0.1).sum(), (move + 0.1) / (move + 0.1).sum(axis=1, keepdims=True), shares, usual / usual.sum()
-    )
+    return Model((start + 0.1) / (start + 0.1).sum(), (move + 0.1) / (move + 0.1).sum(axis=1, keepdims=True), shares)
 
 
-def runs_of(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts cut into runs of RUN tokens: tokens (runs x RUN, filled up with END), lengths, and
-    whether a run begins its text. Longest first."""
-    n = np.diff(starts)
-    per = -(-n // RUN)
-    first = np.repeat(starts[:-1], per) + RUN * (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per))
+def runs_of(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts cut into runs of RUN tokens, in order: tokens (runs x RUN, filled up with END), lengths,
+    whether a run begins its text, and runs per text."""
+    per = -(-np.diff(starts) // RUN)
+    place = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    first = np.repeat(starts[:-1], per) + RUN * place
     length = np.minimum(RUN, np.repeat(starts[1:], per) - first)
-    begins = first == np.repeat(starts[:-1], per)
-    order = np.argsort(-length, kind="stable")
-    first, length, begins = first[order], length[order], begins[order]
     at = np.minimum(first[:, None] + np.arange(RUN), len(tokens) - 1)
     table = np.where(np.arange(RUN) < length[:, None], tokens[at], END)
-    return table, length, begins
+    return table, length, place == 0, per
 
 
 def expected(model: Model, tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts of starts, moves and emissions over some texts."""
-    table, length, begins = runs_of(tokens, starts)
-    start, moves, counts = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((BUCKETS + 1, STATES))
+    return counted(model, tokens, starts)[:3]
+
+
+def counted(model: Model, tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of starts, moves and emissions over some texts, and their log likelihood."""
+    table, length, begins, per = runs_of(tokens, starts)
+    before, after = boundaries(model, table, length, begins, per)
+    start, moves, counts, log = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((BUCKETS + 1, STATES)), 0.0
+    order = np.argsort(-length, kind="stable")
     for low in range(0, len(table), RUNS_AT_ONCE):
-        some = slice(low, low + RUNS_AT_ONCE)
-        share, inner = passes(model, table[some], length[some], begins[some])
+        some = order[low:low + RUNS_AT_ONCE]
+        share, inner, own_log = passes(model, table[some], length[some], begins[some], before[some], after[some])
         moves += inner
+        log += own_log
         start += share[0][begins[some]].sum(axis=0)
         inside = np.arange(RUN)[:, None] < length[None, some]
         flat, own = table[some].T[inside], share[inside]
         for k in range(STATES):
             counts[:, k] += np.bincount(flat, weights=own[:, k], minlength=BUCKETS + 1)
-    return start, moves, counts
+    return start, moves, counts, log
 
 
-def passes(model: Model, table: np.ndarray, length: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward and backward passes over runs, longest first: state shares at each place of
-    each run, and expected moves."""
+def transfers(model: Model, table: np.ndarray, length: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The transfer matrix of each run, up to a factor; longest runs first."""
+    emit, move = model.emit.astype(np.float32), model.move.astype(np.float32)
+    matrix = np.where(begins[:, None, None], np.eye(STATES, dtype=np.float32), move)
+    for t in range(RUN):
+        m = int((length > t).sum())
+        if not m:
+            break
+        moved = (matrix[:m].reshape(-1, STATES) @ move).reshape(m, STATES, STATES) if t else matrix
+        moved = moved * emit[table[:m, t]][:, None, :]
+        matrix[:m] = moved / moved.max(axis=(1, 2))[:, None, None]
+    return matrix
+
+
+def boundaries(model: Model, table: np.ndarray, length: np.ndarray, begins: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each run, the forward state shares at the last token before it (of no use where it begins
+    its text) and the backward vector at its own last token, up to a factor."""
+    before, after = np.ones((len(table), STATES), np.float32), np.ones((len(table), STATES), np.float32)
+    wanted = np.nonzero(np.repeat(per > 1, per))[0]
+    wanted = wanted[np.argsort(-length[wanted], kind="stable")]
+    matrix = np.zeros((len(table), STATES, STATES), np.float32)
+    for low in range(0, len(wanted), RUNS_AT_ONCE):
+        some = wanted[low:low + RUNS_AT_ONCE]
+        matrix[some] = transfers(model, table[some], length[some], begins[some])
+    # the k-th run of every text in turn; texts with most runs first
+    texts = np.argsort(-per, kind="stable")
+    first, many = (np.cumsum(per) - per)[texts], -per[texts]
+    now = np.tile(model.start, (len(per), 1)).astype(np.float32)
+    most = int(per.max(initial=0))
+    for k in range(1, most):
+        at = first[:np.searchsorted(many, -k)] + k
+        moved = np.einsum("ni,nij->nj", now[:len(at)], matrix[at - 1])
+        now[:len(at)] = before[at] = moved / moved.sum(axis=1, keepdims=True)
+    for k in range(most - 1, 0, -1):
+        at = first[:np.searchsorted(many, -k)] + k
+        moved = np.einsum("nij,nj->ni", matrix[at], after[at])
+        after[at - 1] = moved / moved.max(axis=1, keepdims=True)
+    return before, after
+
+
+def passes(model: Model, table: np.ndarray, length: np.ndarray, begins: np.ndarray, before: np.ndarray,
+           after: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Scaled forward and backward passes over runs, longest first, between their `boundaries`:
+    state shares at each place of each run, expected moves (those into a run included), and the
+    log likelihood."""
     emit, move = model.emit.astype(np.float32), model.move.astype(np.float32)
     runs = len(table)
     active = [int((length > t).sum()) for t in range(RUN)]
     share = np.zeros((RUN, runs, STATES), np.float32)
     scale = np.ones((RUN, runs), np.float32)
-    now = np.where(begins[:, None], model.start, model.usual).astype(np.float32)
+    now = np.where(begins[:, None], model.start.astype(np.float32), before @ move)
     for t, m in enumerate(active):
         now = (now[:m] @ move if t else now[:m]) * emit[table[:m, t]]
         scale[t, :m] = now.sum(axis=1)
         now = now / scale[t, :m, None]
         share[t, :m] = now
     moves = np.zeros((STATES, STATES))
-    back = np.ones((runs, STATES), np.float32)
+    # scaled so that forward times backward is 1 at a run's last token, and so at all of its tokens
+    back = after / (share[length - 1, np.arange(runs)] * after).sum(axis=1, keepdims=True)
     for t in range(RUN - 1, -1, -1):
         m = active[t]
         share[t, :m] *= back[:m]
-        if t and m:
+        if m:
             weighted = back[:m] * emit[table[:m, t]] / scale[t, :m, None]
-            moves += (share[t - 1, :m].T @ weighted) * model.move
-            back[:m] = weighted @ move.T
-    return share / np.maximum(share.sum(axis=2, keepdims=True), 1e-30), moves
+            if t:
+                moves += (share[t - 1, :m].T @ weighted) * model.move
+                back[:m] = weighted @ move.T
+            else:
+                moves += (before[~begins].T @ weighted[~begins]) * model.move
+    return share / np.maximum(share.sum(axis=2, keepdims=True), 1e-30), moves, float(np.log(scale, dtype=np.float64).sum())
 
 
 def training_tokens(row: dict) -> tuple[np.ndarray, np.ndarray]:

@@ -85,3 +85,30 @@ def test_emissions_are_probabilities():
 
 def test_empty_table(make_docs):
     assert h.score(make_docs([])).count() == 0
+
+
+def test_expected_counts_of_long_texts():
+    """Counts of texts of several runs against forward and backward passes over whole texts."""
+    model, draw = small_model(5), np.random.default_rng(6)
+    starts = np.array([0, 300, 301, 365, 430, 630])
+    tokens = draw.integers(0, 50, 630)
+    start, moves, counts = h.expected(model, tokens, starts)
+    want_start, want_moves, want_counts = np.zeros_like(start), np.zeros_like(moves), np.zeros_like(counts)
+    for a, b in zip(starts, starts[1:]):
+        own = tokens[a:b]
+        alpha, beta = [model.start * model.emit[own[0]]], [np.ones(h.STATES)]
+        for x in own[1:]:
+            alpha.append(alpha[-1] / alpha[-1].sum() @ model.move * model.emit[x])
+        for x in own[:0:-1]:
+            new = model.move @ (model.emit[x] * beta[0])
+            beta.insert(0, new / new.sum())
+        for k, x in enumerate(own):
+            both = alpha[k] * beta[k] / (alpha[k] @ beta[k])
+            want_counts[x] += both
+            want_start += both if k == 0 else 0
+            if k:
+                pair = alpha[k - 1][:, None] * model.move * (model.emit[x] * beta[k])
+                want_moves += pair / pair.sum()
+    assert math.isclose(moves.sum(), 630 - 5, rel_tol=1e-4)
+    assert np.allclose(moves, want_moves, rtol=1e-3) and np.allclose(start, want_start, rtol=1e-3)
+    assert np.allclose(counts[:50], want_counts[:50], rtol=1e-3, atol=1e-4)
