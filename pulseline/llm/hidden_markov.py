@@ -10,9 +10,9 @@ Counts. Each piece of PIECE bytes of text becomes one stored row: word codes, di
 their training counts. Words meet over the whole corpus by shuffles only; the counts of a piece's words come back to it by
 its number. The vocabulary is never gathered or broadcast.
 
-Training. EM starts from a bounded sample (START_PIECES pieces), which only chooses the starting
-point. Then every round runs over all training texts: forward and backward passes give expected
-transition and emission counts, which are added up across partitions. Texts longer than RUN tokens
+Training. EM starts from a fixed random model, which no text chooses. Every round runs over all
+training texts: forward and backward passes give expected transition and emission counts, which are
+added up across partitions. Rounds follow until the gain in likelihood is below GAIN. Texts longer than RUN tokens
 are cut into runs; transfer matrices carry the forward and backward vectors from run to run, so the
 counts are those of the whole texts.
 
@@ -36,7 +36,8 @@ STATES, BUCKETS = 8, 65_536
 END = BUCKETS
 RUN = 64
 RUNS_AT_ONCE = 4096
-ROUNDS, START_PIECES, START_ROUNDS = 2, 2, 20
+#: Training ends when a round gains less than so much log likelihood a token.
+GAIN = 1e-3
 PIECE = 6 << 20
 
 PIECE_SCHEMA = (
@@ -163,7 +164,7 @@ def transfers(model: Model, table: np.ndarray, length: np.ndarray, begins: np.nd
             break
         moved = (matrix[:m].reshape(-1, STATES) @ move).reshape(m, STATES, STATES) if t else matrix
         moved = moved * emit[table[:m, t]][:, None, :]
-        matrix[:m] = moved / moved.max(axis=(1, 2))[:, None, None]
+        matrix[:m] = moved / moved.max(axis=(1, 2))[:, None, None] if t % 2 else moved
     return matrix
 
 
@@ -256,61 +257,56 @@ def _values(column: pa.Array, k: int):
     return value.as_py()
 
 
-def count_round(table: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts over all training texts, added up across partitions. What reaches the driver
-    has BUCKETS + STATES + 2 rows at most."""
+def count_round(table: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, int]:
+    """Expected counts over all training texts, their log likelihood and number of tokens, added up
+    across partitions. What reaches the driver has BUCKETS + STATES + 3 rows at most."""
     shared = table.sparkSession.sparkContext.broadcast(model)
-    columns = ", ".join(f"s{k} float" for k in range(STATES))
+    columns = ", ".join(f"s{k} double" for k in range(STATES))
+    height = BUCKETS + 1 + STATES + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BUCKETS + 1 + STATES + 1, STATES))
+        total = np.zeros((height, STATES))
         for row in batched(batches):
             tokens, starts = training_tokens(row)
             if len(tokens):
-                start, moves, counts = expected(shared.value, tokens, starts)
+                start, moves, counts, log = counted(shared.value, tokens, starts)
                 total[:BUCKETS + 1] += counts
-                total[BUCKETS + 1:-1] += moves
-                total[-1] += start
+                total[BUCKETS + 1:-2] += moves
+                total[-2] += start
+                total[-1, :2] += log, len(tokens)
         rows = np.nonzero(total.any(axis=1))[0]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rows), *(pa.array(total[rows, k].astype(np.float32)) for k in range(STATES))], names=["row", *(f"s{k}" for k in range(STATES))]
+            [pa.array(rows), *(pa.array(total[rows, k]) for k in range(STATES))], names=["row", *(f"s{k}" for k in range(STATES))]
         )
 
     sums = (
         table.select("held", "starts", "codes", "buckets").mapInArrow(run, f"row long, {columns}")
         .groupBy("row").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES))).collect()
     )
-    total = np.zeros((BUCKETS + 1 + STATES + 1, STATES))
+    total = np.zeros((height, STATES))
     for row in sums:
         total[row["row"]] = row[1:]
-    return total[-1], total[BUCKETS + 1:-1], total[:BUCKETS + 1]
+    return total[-2], total[BUCKETS + 1:-2], total[:BUCKETS + 1], float(total[-1, 0]), int(total[-1, 1])
 
 
-def starting_point(table: DataFrame, corpus: np.ndarray) -> Model:
-    """EM on the START_PIECES pieces with the least hashes, from a fixed random start with states
-    that tend to stay."""
-    chosen = [r["piece"] for r in table.select("piece").orderBy(F.xxhash64("piece"), "piece").limit(START_PIECES).collect()]
-    rows = table.filter(F.col("piece").isin(chosen)).select("held", "starts", "codes", "buckets").collect()
-    own = [training_tokens(row.asDict()) for row in rows]
+def starting_point(corpus: np.ndarray) -> Model:
+    """A fixed random model around the corpus' bucket shares, with states that tend to stay."""
     draw = np.random.default_rng(7)
-    model = normalised(
+    return normalised(
         np.ones(STATES), np.ones((STATES, STATES)) + 30 * np.eye(STATES),
         corpus[:, None] * 1e5 * draw.gamma(1.0, size=(BUCKETS + 1, STATES)), corpus,
     )
-    for _ in range(START_ROUNDS):
-        parts = [expected(model, tokens, starts) for tokens, starts in own if len(tokens)]
-        if not parts:
-            break
-        model = normalised(*(sum(x) for x in zip(*parts, strict=True)), corpus)
-    return model
 
 
 def fit(table: DataFrame, corpus: np.ndarray) -> Model:
     """corpus: share of each bucket (and END) in all training tokens."""
-    model = starting_point(table, corpus)
-    for _ in range(ROUNDS):
-        model = normalised(*count_round(table, model), corpus)
-    return model
+    model, before = starting_point(corpus), -np.inf
+    while True:
+        *counts, log, tokens = count_round(table, model)
+        model = normalised(*counts, corpus)
+        if log - before < GAIN * tokens or not tokens:
+            return model
+        before = log
 
 
 def log_likelihoods(model: Model, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:

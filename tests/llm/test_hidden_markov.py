@@ -112,3 +112,22 @@ def test_expected_counts_of_long_texts():
     assert math.isclose(moves.sum(), 630 - 5, rel_tol=1e-4)
     assert np.allclose(moves, want_moves, rtol=1e-3) and np.allclose(start, want_start, rtol=1e-3)
     assert np.allclose(counts[:50], want_counts[:50], rtol=1e-3, atol=1e-4)
+
+
+def test_training_does_not_depend_on_the_file_layout(make_docs):
+    """All training texts choose the model, however rows are dealt to pieces."""
+    docs = make_docs(corpus())
+    one, many = ({r.doc_id: r for r in h.score(x).collect()} for x in (docs.coalesce(1), docs.repartition(7, "doc_id")))
+    assert one.keys() == many.keys()
+    assert all(abs(one[i].score - many[i].score) < 1e-3 * one[i].n_tokens for i in one)
+
+
+def test_training_ends_when_little_is_gained(spark, make_docs):
+    table = h.cut_pieces(make_docs(corpus()), "doc_id", "text").cache()
+    shares = np.full(h.BUCKETS + 1, 1e-6)
+    for row in (r.asDict() for r in table.select("held", "starts", "codes", "buckets").collect()):
+        np.add.at(shares, h.training_tokens(row)[0], 1)
+    shares /= shares.sum()
+    first = h.fit(table, shares)
+    *counts, log, tokens = h.count_round(table, first)
+    assert h.count_round(table, h.normalised(*counts, shares))[3] - log < 2 * h.GAIN * tokens
