@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulseline.llm import bpe, chat_format, decontamination, hidden_markov, jaccard_join, quality_rules, sharding, token_files, toxicity, warc
+from pulseline.llm import bpe, chat_format, decontamination, filter_audit, hidden_markov, jaccard_join, quality_rules, sharding, token_files, toxicity, warc
 from pulseline.llm.common import documents, id_remainder, shipped
 from pulseline.session import scratch_path
 
@@ -175,6 +175,60 @@ def op7_hidden_markov(spark: SparkSession, folder: str) -> DataFrame:
     return hidden_markov.score(documents(spark, folder))
 
 
+@query
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return filter_audit.audit(filter_audit.patterns(documents(spark, folder), labels))
+
+
+ORACLES["op13_filter_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+         max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END)
+      || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+      || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END)
+      || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+      || (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS failed
+  FROM d LEFT JOIN l USING (doc_id)
+), g AS (
+  SELECT part, failed, count(*) AS docs, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, failed
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (
+  SELECT o, k, o[k] AS own, substring(o, 1, k - 1) AS before FROM orders, (SELECT unnest(range(1, 6)) AS k)
+), r AS (
+  SELECT part, o, CAST(k AS INTEGER) AS k, own, docs, good, toxic, failed,
+         contains(failed, own) AS fails,
+         k = 1 OR NOT regexp_matches(failed, '[' || (CASE WHEN k = 1 THEN 'Z' ELSE before END) || ']') AS reached
+  FROM g, s
+), a AS (
+  SELECT part, o, k, any_value(own) AS own,
+         coalesce(sum(docs) FILTER (WHERE reached AND NOT fails), 0) AS kept,
+         coalesce(sum(docs) FILTER (WHERE reached AND fails), 0) AS removed,
+         coalesce(sum(docs) FILTER (WHERE fails AND NOT reached), 0) AS redundant,
+         coalesce(sum(docs) FILTER (WHERE failed = own), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE reached AND fails), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (WHERE reached AND fails), 0) AS toxic_lost
+  FROM r GROUP BY part, o, k
+)
+SELECT part, o AS filter_order, k AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM a
+"""
+
+
 QUERIES["pipeline"] = shipped(corpus_pipeline.run)
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
