@@ -25,10 +25,10 @@ TEXT_RULES = {
 COPY_RULE = "E"
 FILTERS = (*TEXT_RULES, COPY_RULE)
 
-_BLANKS = r"\t\n\u000B\u000C\r"
+_BLANKS = r"[ \t\n\u000B\u000C\r]+"
 #: The word list is bound once by the outer lambda, so that a text is split once.
 _BITS = f"""
-transform(array(array_remove(split(translate(_text, '{_BLANKS}', '     '), ' '), '')), w ->
+transform(array(array_remove(split(_text, '{_BLANKS}'), '')), w ->
   transform(array(struct(size(w) AS n, size(array_distinct(w)) AS d, _text AS t)), x -> %s)[0])[0]"""
 
 
