@@ -8,8 +8,8 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulseline.llm import bpe, chat_format, decontamination, filter_audit, hidden_markov, jaccard_join, quality_rules, sharding, token_files, toxicity, warc
-from pulseline.llm.common import documents, id_remainder, shipped
+from pulseline.llm import bpe, chat_format, decontamination, filter_audit, hidden_markov, jaccard_join, packing, quality_rules, sharding, token_files, toxicity, warc
+from pulseline.llm.common import documents, id_remainder, shipped, stored
 from pulseline.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,6 +175,18 @@ def op7_hidden_markov(spark: SparkSession, folder: str) -> DataFrame:
     return hidden_markov.score(documents(spark, folder))
 
 
+BYTE_TOKENIZER, PACK_END_ID = "byte_bpe_50k.json", 0
+
+
+@query
+def op12_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.cut(documents(spark, folder), public_tokenizers.path(BYTE_TOKENIZER), PACK_END_ID)
+    digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(stored(digests, "packing-digests")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset",
+    )
+
+
 @query
 def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     labels = spark.read.parquet(f"{folder}/labels.parquet")
