@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulseline.llm import bpe, chat_format, decontamination, filter_audit, hidden_markov, jaccard_join, packing, quality_rules, sharding, token_files, toxicity, warc
+from pulseline.llm import bpe, chat_format, decontamination, filter_audit, hidden_markov, jaccard_join, packing, periodic_runs, quality_rules, sharding, token_files, toxicity, warc
 from pulseline.llm.common import documents, id_remainder, shipped, stored
 from pulseline.session import scratch_path
 
@@ -175,6 +175,82 @@ def op7_hidden_markov(spark: SparkSession, folder: str) -> DataFrame:
     return hidden_markov.score(documents(spark, folder))
 
 
+#: Every tenth document, by crc32 h of its id, repeats one stretch of its words to its end: with
+#: g = h DIV 10 and n words, from word a = g % n on with period 1 + (n - a) DIV (3 + g % 8).
+_REPEATED = r"""
+CASE WHEN coalesce(crc32(CAST(doc_id AS STRING)), 1) % 10 = 0 THEN
+  transform(array(array_remove(split(text, '[ \t\n\u000B\u000C\r]+'), '')), w ->
+    CASE WHEN size(w) = 0 THEN text ELSE
+      transform(array(struct(crc32(CAST(doc_id AS STRING)) DIV 10 AS g, size(w) AS n)), x ->
+        transform(array(CAST(x.g % x.n AS INT)), a ->
+          transform(array(CAST(1 + (x.n - a) DIV (3 + x.g % 8) AS INT)), p ->
+            array_join(concat(slice(w, 1, a), transform(sequence(a, x.n - 1), i -> w[a + (i - a) % p])), ' ')
+          )[0])[0])[0]
+    END)[0]
+ELSE text END"""
+
+
+def plant_repeats(docs: DataFrame) -> DataFrame:
+    """Documents of which a tenth repeats words; rows without an id stay as they are."""
+    return docs.withColumn("text", F.expr(_REPEATED))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.find(plant_repeats(documents(spark, folder).select("doc_id", "text")).select("doc_id", "text"))
+    longest = F.expr("array_min(transform(runs, r -> struct(-r.length AS n, r.start AS start, r.period AS period)))")
+    lines = F.expr("concat_ws('', transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')))")
+    best = found.withColumn("_best", longest)
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        F.col("_best.start").alias("start"), (-F.col("_best.n")).alias("length"), F.col("_best.period").alias("period"),
+        F.expr("1000 * -_best.n DIV _best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+ORACLES["op11_periodic_runs"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'), lambda x: x <> '') AS w,
+         xor(list_reduce(
+           list_concat([4294967295::BIGINT], flatten(list_transform(
+             string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+           lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295) AS h
+  FROM documents
+), g AS (
+  SELECT *, len(w) AS n, h // 10 AS g FROM d
+), s AS (
+  SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM g
+), v AS (
+  SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE
+    list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) END AS w
+  FROM s
+), t AS (
+  SELECT r, i, w[i + 1] AS word FROM (SELECT r, w, unnest(range(0, n)) AS i FROM v)
+), e AS (
+  SELECT x.r, x.i, y.i - x.i AS p FROM t x JOIN t y ON x.r = y.r AND x.word = y.word AND y.i > x.i
+), k AS (
+  SELECT r, p, i, i - row_number() OVER (PARTITION BY r, p ORDER BY i) AS island FROM e
+), u AS (
+  SELECT r, p, min(i) AS start, count(*) + p AS length FROM k GROUP BY r, p, island
+), m AS (
+  SELECT r, start, length, min(p) AS period FROM u WHERE length >= 12 AND length >= 2 * p GROUP BY r, start, length
+), f AS (
+  SELECT r, count(*) AS n_runs, arg_min({'s': start, 'l': length, 'p': period}, [-length, start, period]) AS best,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM m GROUP BY r
+), gone AS (
+  SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM m
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS body FROM t ANTI JOIN gone USING (r, i) GROUP BY r
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.p AS period,
+       1000 * best.l // best.p AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+FROM v LEFT JOIN f USING (r) LEFT JOIN kept USING (r)
+"""
+
 BYTE_TOKENIZER, PACK_END_ID = "byte_bpe_50k.json", 0
 
 
