@@ -21,6 +21,7 @@ class Entry:
 
 ENTRIES: dict[str, Entry] = {}
 CTES: dict[str, str] = {}
+RECURSIVE = "WITH RECURSIVE"
 
 
 def query(name: str, sql: str | None = None):
@@ -52,7 +53,11 @@ def full_sql(body: str) -> str:
     visit(body)
     if not needed:
         return body
-    return "WITH " + ",\n".join(f"{n} AS (\n{CTES[n].strip()}\n)" for n in needed) + "\n" + body.strip()
+    tables = ",\n".join(f"{n} AS (\n{CTES[n].strip()}\n)" for n in needed)
+    own = body.strip()
+    if own.startswith(RECURSIVE):  # a body with tables of its own
+        return f"{RECURSIVE} {tables},\n{own.removeprefix(RECURSIVE)}"
+    return f"WITH {tables}\n{own}"
 
 
 def plain_types(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, types as T
 
 from pulseline.config import PING_COLUMNS
+from pulseline.functions import columns as C
 from pulseline.operators import geometry as geo
 from pulseline.operators import health, ml
 from pulseline.operators import scenario as sc
@@ -310,33 +311,100 @@ def _(d: Domain):
     return _features(d)
 
 
-@query("logit_cv")
+#: The same models in SQL by another road: rows as lists per fold, and accelerated gradient steps to
+#: the optimum of the penalised loss, which has one optimum only.
+def _ml_sql(fold: str) -> str:
+    z = ", ".join(
+        f"coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0e0), 0e0)" for c in ml.FEATURES)
+    return f"""
+WITH RECURSIVE points AS (
+  SELECT route_short_name AS route, route_type, fifa_stress_score, fifa_risk_band, fifa_high_risk AS label, {fold} AS fold, [1e0, {z}] AS x
+  FROM (SELECT route_short_name, route_type, fifa_stress_score, fifa_risk_band, {_NUM},
+          CAST(dense_rank() OVER (ORDER BY route_type) - 1 AS DOUBLE) AS route_type_encoded,
+          CAST(fifa_stress_score >= 45 AS INT) AS fifa_high_risk FROM c_stress)
+), folds AS (
+  SELECT DISTINCT fold FROM points UNION ALL SELECT 'all rows'
+), fitted AS (
+  SELECT f.fold, x, label, count(*) OVER (PARTITION BY f.fold) / (2e0 * count(*) OVER (PARTITION BY f.fold, label)) AS w, route
+  FROM folds f JOIN points r ON r.fold <> f.fold
+), inputs AS (
+  SELECT fold, list(x ORDER BY route) AS xs, list(CAST(label AS DOUBLE) ORDER BY route) AS ys, list(w ORDER BY route) AS ws,
+         list_transform(range(1, {len(ml.FEATURES) + 2}), lambda j: list_transform(list(x ORDER BY route), lambda v: v[j])) AS cols,
+         1e0 + sum(w * list_inner_product(x, x)) / 4e0 AS bound
+  FROM fitted GROUP BY fold
+), steps AS (
+  SELECT 0 AS it, fold, list_transform(range({len(ml.FEATURES) + 1}), lambda j: 0e0) AS b, list_transform(range({len(ml.FEATURES) + 1}), lambda j: 0e0) AS y FROM inputs
+  UNION ALL
+  SELECT it + 1, fold, next, list_transform(next, lambda v, j: v + 0.9e0 * (v - b[j])) FROM (
+    SELECT it, fold, b, list_transform(y, lambda v, j: v - (list_inner_product(cols[j], miss) + CASE WHEN j = 1 THEN 0e0 ELSE v END) / bound) AS next
+    FROM (
+      SELECT s.it, s.fold, s.b, s.y, d.cols, d.bound,
+             list_transform(d.xs, lambda x, i: d.ws[i] * (1e0 / (1e0 + exp(-list_inner_product(x, s.y))) - d.ys[i])) AS miss
+      FROM steps s JOIN inputs d USING (fold) WHERE s.it < 1500
+    )
+  )
+), models AS (
+  SELECT fold, b FROM steps WHERE it = 1500
+), found AS (
+  SELECT r.*, 1e0 / (1e0 + exp(-list_inner_product(r.x, m.b))) AS p, CAST(list_inner_product(r.x, m.b) > 0 AS INT) AS prediction
+  FROM points r JOIN models m USING (fold)
+), agreed AS (
+  SELECT r.*, 1e0 / (1e0 + exp(-list_inner_product(r.x, m.b))) AS p, CAST(list_inner_product(r.x, m.b) > 0 AS INT) AS prediction
+  FROM points r JOIN models m ON m.fold = 'all rows'
+)
+"""
+
+
+_HASHED = _ml_sql("CAST(CAST(('0x' || substr(md5(route_short_name), 1, 8)) AS BIGINT) % 5 AS VARCHAR)")
+_EACH = _ml_sql("route_short_name")
+_ACCURACY = f"""SELECT 'LogisticRegression' AS model, 'classify high-risk' AS task, '%s' AS cv,
+  {r("avg(CAST(prediction = label AS INT))", 3)} AS score, count(*) AS routes FROM found"""
+
+
+@query("logit_cv", _HASHED + _ACCURACY % "hash folds")
+def _(d: Domain):
+    return ml.classification_scores(ml.logit_out_of_fold(ml.prepared(_features(d))), "LogisticRegression")
+
+
+@query("logit_leave_one_out", _EACH + _ACCURACY % "leave one out")
+def _(d: Domain):
+    return ml.classification_scores(ml.logit_out_of_fold(ml.prepared(_features(d), folds=None)), "LogisticRegression")
+
+
+@query("logit_class_report", _EACH + f"""
+SELECT CAST(c AS DOUBLE) AS class, s AS support, {r("h / nullif(CAST(n AS DOUBLE), 0e0)", 3)} AS precision,
+  {r("h / nullif(CAST(s AS DOUBLE), 0e0)", 3)} AS recall, {r("2e0 * h / nullif(CAST(s + n AS DOUBLE), 0e0)", 3)} AS f1
+FROM (SELECT c, count(*) FILTER (WHERE label = c) AS s, count(*) FILTER (WHERE prediction = c) AS n,
+        count(*) FILTER (WHERE label = c AND prediction = c) AS h
+      FROM found, (SELECT unnest([0, 1]) AS c) GROUP BY c) WHERE s + n > 0""")
 def _(d: Domain):
-    table = ml.prepared(_features(d))
-    return ml.classification_scores(ml.out_of_fold(table, ml.logit), "LogisticRegression")
+    return ml.class_report(ml.logit_out_of_fold(ml.prepared(_features(d), folds=None)))
 
 
-@query("logit_leave_one_out")
+@query("logit_coefficients", _HASHED + f"""
+SELECT unnest({["intercept", *ml.FEATURES]}) AS feature, unnest(list_transform(b, lambda v: {r("v", 3)})) AS coefficient
+FROM models WHERE fold = 'all rows'""")
 def _(d: Domain):
-    table = ml.prepared(_features(d), folds=None)
-    return ml.classification_scores(ml.out_of_fold(table, ml.logit), "LogisticRegression")
+    table = ml.logit_coefficients(ml.prepared(_features(d)))
+    return table.select("feature", C.rnd(F.col("coefficient"), 3).alias("coefficient"))
 
 
-@query("logit_class_report")
+@query("logit_agreement", _HASHED + f"""
+SELECT route AS route_short_name, route_type, fifa_stress_score, fifa_risk_band, label AS fifa_high_risk,
+  {r("p", 3)} AS logit_prob_high, prediction AS logit_pred_high,
+  CASE WHEN prediction = label THEN 'agree' ELSE 'DISAGREE' END AS agreement FROM agreed""")
 def _(d: Domain):
-    return ml.class_report(ml.out_of_fold(ml.prepared(_features(d)), ml.logit))
+    return ml.logit_agreement(ml.prepared(_features(d)))
 
 
 @query("rf_cv")
 def _(d: Domain):
-    table = ml.prepared(_features(d))
-    return ml.classification_scores(ml.out_of_fold(table, ml.forest(_TREES)), "RandomForestClassifier")
+    return ml.classification_scores(ml.forest_out_of_fold(ml.prepared(_features(d)), ml.forest(_TREES)), "RandomForestClassifier")
 
 
 @query("rf_regressor_cv")
 def _(d: Domain):
-    table = ml.prepared(_features(d))
-    return ml.regression_scores(ml.out_of_fold(table, ml.forest_regressor(_TREES)))
+    return ml.regression_scores(ml.forest_out_of_fold(ml.prepared(_features(d)), ml.forest_regressor(_TREES)))
 
 
 @query("feature_importance")

@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,7 +204,7 @@ def test_models_invariants(spark):
     feats = ml.ml_feature_table(wide)
     assert {(r.route_type, r.route_type_encoded) for r in feats.collect()} == {("B-Line", 0.0), ("Regular Bus", 1.0)}
     table = ml.prepared(feats, folds=3)
-    assert ml.out_of_fold(table, ml.logit()).count() == 20
+    assert ml.logit_out_of_fold(table).filter("prediction is not null").count() == 20
     assert ml.prepared(feats, folds=None).select("fold").distinct().count() == 20
     imp = ml.feature_importance(table, 20)
     assert imp.count() == 15 and imp.agg(F.sum("rf_importance")).first()[0] == pytest.approx(1.0)
@@ -211,6 +212,72 @@ def test_models_invariants(spark):
     assert len(agree) == 20 and sum(r.agreement == "agree" for r in agree) >= 17
 
 
+def _risk_table(spark, n=40, folds=4):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(n, len(ml.FEATURES))).round(2)
+    x[:, 3] = 5.0  # a feature without spread
+    label = (x[:, 0] + rng.normal(size=n) > 0.4).astype(int)
+    names = ", ".join(f"{c} double" for c in ml.FEATURES)
+    rows = [(f"r{k}", "bus", 50.0 * int(y) + k, "b", *v, int(y)) for k, (v, y) in enumerate(zip(x.tolist(), label, strict=True))]
+    feats = spark.createDataFrame(
+        rows, f"route_short_name string, route_type string, fifa_stress_score double, fifa_risk_band string, {names}, fifa_high_risk int")
+    return ml.prepared(feats, folds)
+
+
+def test_all_folds_reach_the_optimum_of_their_own_rows(spark):
+    """Each model is where the penalised, balanced loss of the rows outside its fold is flat."""
+    table = _risk_table(spark, folds=None)
+    rows = table.select("fold", "label", "z").collect()
+    z, y = np.array([r.z for r in rows]), np.array([r.label for r in rows])
+    assert np.allclose(z[:, 1:].mean(axis=0), 0) and set(np.round(z[:, 1:].std(axis=0), 9)) == {0.0, 1.0}
+    models = ml.fit_folds(table)
+    assert set(models) == {r.fold for r in rows} | {ml.ALL}
+    for fold, beta in models.items():
+        own = np.array([r.fold != fold for r in rows])
+        w = np.where(y == 1, own.sum() / 2 / y[own].sum(), own.sum() / 2 / (1 - y[own]).sum())
+        p = 1 / (1 + np.exp(-z @ np.array(beta)))
+        slope = (w * (p - y) * own) @ z + np.array([0.0, *beta[1:]])
+        assert np.abs(slope).max() < 1e-6
+
+
+def test_passes_do_not_grow_with_the_folds(spark, monkeypatch):
+    jobs = []
+    real = ml._derivatives
+    monkeypatch.setattr(ml, "_derivatives", lambda: jobs.append(1) or real())
+    ml.fit_folds(_risk_table(spark, folds=2))
+    few = len(jobs)
+    ml.fit_folds(_risk_table(spark, folds=None))
+    assert few <= ml.PASSES and len(jobs) - few <= ml.PASSES
+
+
+def test_model_scores_hold_no_function(spark):
+    table = _risk_table(spark)
+    for df in (ml.logit_out_of_fold(table), ml.logit_agreement(table), ml.model_agreement(table, 5), ml.forest_out_of_fold(table, ml.forest(5))):
+        assert "UDF" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() == 40
+
+
+def test_forest_arithmetic_equals_the_model(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    table = _risk_table(spark)
+    vectors = ml.assembled(table)
+    model = ml.forest(15).fit(vectors)
+    want = {r.route_short_name: r.p for r in model.transform(vectors).select("route_short_name", vector_to_array("probability")[1].alias("p")).collect()}
+    got = {r.route_short_name: r.v for r in ml.forest_scores(table, model, "v").collect()}
+    assert got == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
+    model = ml.forest_regressor(15).fit(vectors)
+    want = {r.route_short_name: r.prediction for r in model.transform(vectors).collect()}
+    got = {r.route_short_name: r.v for r in ml.forest_scores(table, model, "v").collect()}
+    assert got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
+
+
+def test_one_class_left_in_a_fold(spark):
+    table = _risk_table(spark).withColumn("fold", F.when(F.col("label") == 1, "ones").otherwise("none"))
+    scored = ml.logit_out_of_fold(table).select("label", "prediction").collect()
+    assert all(r.prediction == 1 - r.label for r in scored)
+
+
 def test_contract_columns(spark):
     assert sil.require_columns(_pings(spark, ROWS)) == [] and sil.require_columns(spark.range(1)) == list(PING_COLUMNS)
 
@@ -234,8 +301,8 @@ def test_class_report_and_two_rows_per_class(spark):
     report = {r["class"]: r for r in ml.class_report(spark.createDataFrame(rows, "label double, prediction double")).collect()}
     assert (report[1.0].precision, report[1.0].recall, report[1.0].f1, report[1.0].support) == (0.5, 0.5, 0.5, 2)
     assert (report[0.0].precision, report[0.0].recall, report[0.0].support) == (0.667, 0.667, 3)
-    single = spark.createDataFrame([(0, 1.0), (1, 0.0), (2, 0.0)], "fold int, label double")
-    assert ml.out_of_fold(single, ml.logit).filter("prediction is not null").count() == 0
+    single = spark.createDataFrame([("a", 1.0, [1.0] * 16), ("b", 0.0, [1.0] * 16), ("c", 0.0, [1.0] * 16)], "fold string, label double, z array<double>")
+    assert ml.logit_out_of_fold(single).filter("prediction is not null").count() == 0
 
 
 def test_a_snapshot_over_two_files_bunches_whole(spark, folder):
