@@ -88,8 +88,8 @@ ROUTE_CODE = r"(?i)\b([a-z]?\d{1,3})\b"
 RIDERSHIP = (r"\b(ridership|riders?|passengers?|boardings?|how many people|how busy|crowding|load factor|occupancy)\b")
 NON_BUS = (r"\b(skytrain|sky train|seabus|sea bus|west coast express|wce|handydart|ferry|expo line|millennium line|"
            r"canada line|train)\b")
-ON_TIME = r"\b(on[\s-]?time|schedule adherence|against schedule|vs schedule|versus schedule|punctual(ity)?)\b"
-DELAY = r"\bdelay(ed|s)?\b"
+ON_TIME = (r"\b(on[\s-]?time|schedule adherence|against schedule|vs schedule|versus schedule|punctual(ity)?|"
+           r"delay(ed|s)?\b(?!.*bunch))\b")
 SCHEDULE_CUE = r"\b(schedule|timetable|on[\s-]?time|punctual)\b"
 TREND = (r"\b(trend|over time|over the (past|last)|month(ly|s)?|week(ly|s)?|year(ly|s)?|day[\s-]?over[\s-]?day|"
          r"historically|history|changed? over|since last|compared to (last|previous)|past \d+ (day|week|month|year))\b")

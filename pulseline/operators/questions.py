@@ -1,108 +1,132 @@
 """Tagging, gating and grading of a table of analyst questions.
 
-Each step is a projection: dictionaries are small fixed literals folded into the expressions, so
-a question table of any size is processed in place, without a join or a shuffle.
+Phrases of all dictionaries come from one catalog table and are found by one look-up (`phrases`);
+everything else is a projection. A step that follows another reuses its look-up.
 """
 
 from __future__ import annotations
 
-import re
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pulseline.functions import vocabulary as V
 from pulseline.functions.columns import rnd
+from pulseline.operators import phrases as ph
 
+#: Kinds of catalog rows: route phrases, route codes as they may be written, time windows, metrics
+#: and metric phrases that are out of scope.
+ROUTE, CODE, TIME, METRIC, GATED = "route", "code", "time", "metric", "gated"
+FOUND = "_found"
+#: Stands for a route phrase in what remains of a text.
+_MARK = "\ue000"
 
-def _bounded(phrase: str) -> str:
-    """A pattern for the phrase that is not part of a longer word."""
-    return rf"(?<![a-z0-9]){re.escape(phrase)}(?![a-z0-9])"
 
+def _code_forms(code: str) -> list[str]:
+    """How a question may write a code: digits with or without leading zeros, up to three."""
+    if not code.isdigit():
+        return [code.lower()]
+    bare = code.lstrip("0") or "0"
+    return [bare.zfill(n) for n in range(len(bare), 4)]
 
-def _worded(phrase: str) -> str:
-    return rf"(?<![a-z]){re.escape(phrase)}(?![a-z])"
 
+def route_rows(routes) -> list[tuple]:
+    """Catalog rows of (code, long name, aliases) routes."""
+    names = {long.lower(): code for code, long, _ in routes}
+    for code, _, aliases in routes:
+        for a in aliases:
+            names.setdefault(a, code)
+    rows = [(ROUTE, p, c, 0, False, True) for p, c in names.items()]
+    return rows + [(CODE, f, code, 0, False, True) for code, _, _ in routes for f in _code_forms(code)]
 
-def _normal(text: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ")
+
+def vocabulary_rows() -> list[tuple]:
+    """Catalog rows of time windows, metrics and gated phrases, preferred longest first."""
+    rows = [(TIME, a, w, i, True, False) for i, (a, w) in enumerate(V.time_aliases())]
+    rows += [(METRIC, p, m, i, True, False) for i, (p, m) in enumerate(V.metric_phrases())]
+    return rows + [(GATED, p, p, 0, True, True) for p in V.gated_phrases()]
+
+
+def default_catalog(spark: SparkSession) -> DataFrame:
+    """The published vocabulary as a catalog table."""
+    return ph.catalog_of(spark, route_rows(V.ROUTES) + vocabulary_rows())
 
 
-# one private-use character stands for each catalog route
-_MARK = {code: chr(0xE000 + i) for i, (code, _, _) in enumerate(V.ROUTES)}
+def catalog_of_routes(routes: DataFrame, code: str = "route_short_name", name: str = "route_long_name") -> DataFrame:
+    """Catalog rows from a route table of any size: the long name, 'route' or 'the' with the code as
+    it is spoken, and the code as it may be written. A phrase that names two routes means the
+    smaller code."""
+    c = F.col(code)
+    bare = F.when(c.rlike("^[0-9]{1,3}$"), F.coalesce(F.nullif(F.ltrim(c, F.lit("0")), F.lit("")), F.lit("0"))).otherwise(F.lower(c))
+    forms = F.expr("transform(sequence(char_length(_bare), greatest(3, char_length(_bare))), n -> lpad(_bare, n, '0'))")
+    own = routes.filter(c.isNotNull()).select(c.alias("_code"), F.lower(F.trim(F.col(name))).alias("_name"), bare.alias("_bare")).distinct()
+    spoken = F.array(F.col("_name"), F.concat(F.lit("route "), "_bare"), F.concat(F.lit("the "), "_bare"))
+    written = F.when(F.col("_bare").rlike("^[0-9]{1,3}$"), forms).otherwise(F.array("_bare"))
+    both = own.select("_code", F.explode(F.array(
+        F.struct(F.lit(ROUTE).alias("kind"), spoken.alias("p")), F.struct(F.lit(CODE).alias("kind"), written.alias("p"))
+    )).alias("k")).select("_code", "k.kind", F.explode("k.p").alias("phrase"))
+    return both.filter("phrase != ''").groupBy("kind", "phrase").agg(F.min("_code").alias("key")).select(
+        "kind", "phrase", "key", F.lit(0).alias("rank"), F.lit(False).alias("letters_only"), F.lit(True).alias("exact"))
 
 
-def _is_cued_code(phrase: str, code: str) -> bool:
-    """Whether a phrase is a cue word and its route's own code, which the code pass finds anyway."""
-    hit = re.fullmatch(r"(?:the|route) ([a-z]?\d{1,3})", phrase)
-    return bool(hit) and (hit[1].zfill(3) if hit[1].isdigit() else hit[1].upper()) == code
+def looked_up(questions: DataFrame, text: str = "text", catalog: DataFrame | None = None, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """The questions with all matches of the catalog (of some kinds), unless they have them already."""
+    if FOUND in questions.columns:
+        return questions
+    book = default_catalog(questions.sparkSession) if catalog is None else catalog
+    return ph.with_matches(questions, book.filter(F.col("kind").isin(*kinds)) if kinds else book, text, FOUND)
 
 
-def _canonical(code: Column) -> Column:
-    """Catalog code of a route-shaped token, NULL if unknown: digits are padded, letters kept."""
-    plain = F.when(code.rlike("^[0-9]+$"), F.lpad(code, 3, "0")).otherwise(F.upper(code))
-    return F.when(plain.isin(*_MARK), plain)
+def _tidy(tagged: DataFrame, questions: DataFrame, *names: str) -> DataFrame:
+    return tagged.drop(*names, *([] if FOUND in questions.columns else [FOUND]))
 
 
-def tag_entities(questions: DataFrame, text: str = "text") -> DataFrame:
+def _normal(text: Column) -> Column:
+    return F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ")
+
+
+def tag_entities(questions: DataFrame, text: str = "text", catalog: DataFrame | None = None) -> DataFrame:
     """Add `routes` (catalog codes named in the text) and `unresolved` (route-shaped, unknown).
 
-    Phrases are consumed longest first, each replaced by its route's mark, so a shorter phrase
-    cannot match inside a longer one. What remains is searched for codes; a bare number is a
-    route only if the catalog has it, but after 'route', 'bus', 'line' or 'the' it is unresolved.
+    The longest phrase takes its place first, so a shorter phrase cannot match inside it. What
+    remains is searched for codes; a bare number is a route only if the catalog has it, but after
+    'route', 'bus', 'line' or 'the' it is unresolved.
     """
-    # the marks stand for routes below, so a text cannot bring its own
-    source = F.translate(F.coalesce(F.col(text), F.lit("")), "".join(_MARK.values()), "")
-    phrases = [p for p in V.route_phrases() if not _is_cued_code(*p)]
-    low = F.lower(source)
-    any_phrase = reduce(lambda a, b: a | b, [low.contains(p) for p, _ in phrases])
-    marked = reduce(
-        lambda acc, p: F.regexp_replace(acc, F.lit("(?i)" + _bounded(p[0])), F.lit(_MARK[p[1]])), phrases, source
-    )
-    t = questions.withColumn("__rest", F.when(any_phrase, marked).otherwise(source))
-    chars = F.regexp_extract_all("__rest", F.lit(f"([{_MARK['004']}-{_MARK['R5']}])"), 1)
-    names = F.create_map(*[F.lit(x) for code, mark in _MARK.items() for x in (mark, code)])
+    t = looked_up(questions, text, catalog, (ROUTE, CODE))
+    source = F.translate(F.coalesce(F.col(text), F.lit("")), _MARK, "")
+    known = F.expr(f"map_from_entries(array_distinct(transform(filter({FOUND}, m -> m.kind = '{CODE}'), m -> struct(m.phrase, m.key))))")
+    t = t.withColumn("__taken", ph.cover(FOUND, ROUTE)).withColumn("__cut", ph.parts(F.coalesce(F.col(text), F.lit(""))))
+    t = t.withColumn("__rest", F.when(F.size("__taken") > 0, ph.without("__cut", "__taken", _MARK)).otherwise(source))
     t = t.withColumns({
-        "__named": F.transform(chars, lambda c: names[c]),
+        "__known": known,
         "__codes": F.regexp_extract_all("__rest", F.lit(V.ROUTE_CODE), 1),
         "__cued": F.regexp_extract_all(source, F.lit(V.ROUTE_CUE), 1),
     })
-    known = F.array_compact(F.transform("__codes", _canonical))
+    key_of = lambda c: F.try_element_at("__known", F.lower(c))
     lost = F.concat(
-        F.filter("__codes", lambda c: _canonical(c).isNull() & c.rlike("(?i)^[a-z]")),
-        F.filter("__cued", lambda c: _canonical(c).isNull()),
+        F.filter("__codes", lambda c: key_of(c).isNull() & c.rlike("(?i)^[a-z]")),
+        F.filter("__cued", lambda c: key_of(c).isNull()),
     )
-    return t.withColumns({
-        "routes": F.array_sort(F.array_distinct(F.concat("__named", known))),
+    named = F.transform("__taken", lambda m: m["key"])
+    t = t.withColumns({
+        "routes": F.array_sort(F.array_distinct(F.concat(named, F.array_compact(F.transform("__codes", key_of))))),
         "unresolved": F.array_sort(F.array_distinct(lost)),
-    }).drop("__rest", "__named", "__codes", "__cued")
-
-
-def _first_phrase(q: Column, pairs: list[tuple[str, str]], out) -> Column:
-    """Value of the first (longest) phrase that occurs; NULL if none does."""
-    expr = F
-    for phrase, key in pairs:
-        # the byte search is far cheaper than the pattern and fails for nearly every phrase
-        expr = expr.when(q.contains(phrase) & q.rlike(_worded(phrase)), F.lit(out(phrase, key)))
-    return expr.otherwise(F.lit(None))
+    })
+    return _tidy(t, questions, "__taken", "__cut", "__rest", "__known", "__codes", "__cued")
 
 
-def tag_time_window(questions: DataFrame, text: str = "text") -> DataFrame:
+def tag_time_window(questions: DataFrame, text: str = "text", catalog: DataFrame | None = None) -> DataFrame:
     """Add `time_alias`, `time_window`, `time_confidence`; a bare 'rush hour' is PM at low confidence."""
     q = F.col("__q")
-    windows = {a: w for w, aliases in V.TIME_WINDOWS for a in aliases}
-    t = questions.withColumn("__q", _normal(F.col(text))).withColumn(
-        "time_alias", _first_phrase(q, V.time_aliases(), lambda p, _: p)
-    )
-    alias = F.col("time_alias")
+    t = looked_up(questions, text, catalog, (TIME,)).withColumn("__q", _normal(F.col(text))).withColumn("__w", ph.first_of(FOUND, TIME))
+    alias, mapped = F.col("__w.phrase"), F.col("__w.key")
     rush = alias == "rush hour"
     am, pm = q.rlike(r"\b(morning|am)\b"), q.rlike(r"\b(evening|afternoon|pm)\b")
-    mapped = F.create_map(*[F.lit(x) for a, w in windows.items() for x in (a, w)])[alias]
-    return t.withColumns({
+    t = t.withColumns({
+        "time_alias": alias,
         "time_window": F.when(rush & am, "AM Peak").otherwise(mapped),
         "time_confidence": F.when(alias.isNull(), "none").when(rush & (am | pm), "high").when(rush, "low")
         .when(alias == F.lower(mapped), "exact").otherwise("high"),
-    }).drop("__q")
+    })
+    return _tidy(t, questions, "__q", "__w")
 
 
 def superlative(q: Column) -> Column:
@@ -122,17 +146,14 @@ def superlative_sort(word: Column, direction: Column) -> Column:
     )
 
 
-def tag_metric(questions: DataFrame, text: str = "text") -> DataFrame:
+def tag_metric(questions: DataFrame, text: str = "text", catalog: DataFrame | None = None) -> DataFrame:
     """Add metric name, phrase, direction, scope, sort and confidence; the longest phrase wins."""
     q = F.col("__q")
-    pairs = V.metric_phrases()
-    t = questions.withColumn("__q", _normal(F.col(text))).withColumn(
-        "metric_phrase", _first_phrase(q, pairs, lambda p, _: p)
-    )
+    t = looked_up(questions, text, catalog, (METRIC,)).withColumn("__q", _normal(F.col(text))).withColumn("__m", ph.first_of(FOUND, METRIC))
+    t = t.withColumn("metric_phrase", F.col("__m.phrase"))
     phrase = F.col("metric_phrase")
-    name_of = F.create_map(*[F.lit(x) for p, n in pairs for x in (p, n)])
     implied = phrase.isNull() & q.rlike(V.PERFORMANCE_CUE) & q.rlike(V.PEAK_CUE)
-    t = t.withColumn("metric", F.when(implied, "bunching_events_hourly").otherwise(name_of[phrase]))
+    t = t.withColumn("metric", F.when(implied, "bunching_events_hourly").otherwise(F.col("__m.key")))
     metric = F.col("metric")
 
     def field(i: int) -> Column:
@@ -141,37 +162,41 @@ def tag_metric(questions: DataFrame, text: str = "text") -> DataFrame:
     t = t.withColumns({"metric_table": field(2), "metric_column": field(3), "metric_direction": field(4),
                        "metric_in_scope": field(5)})
     order = superlative_sort(superlative(q), F.col("metric_direction"))
-    return t.withColumns({
+    t = t.withColumns({
         "metric_sort": F.when(metric.isNull(), F.lit(None)).when(implied, F.coalesce(order, F.lit("DESC"))).otherwise(order),
         "metric_confidence": F.when(metric.isNull(), "none").when(implied, "high")
         .when(phrase.contains(" ") | (F.length(phrase) >= 10), "exact").otherwise("high"),
         "metric_phrase": F.when(implied, "implicit:performance+peak").otherwise(phrase),
-    }).drop("__q")
+    })
+    return _tidy(t, questions, "__q", "__m")
 
 
-def classify_out_of_scope(tagged: DataFrame, text: str = "text") -> DataFrame:
+def classify_out_of_scope(questions: DataFrame, text: str = "text", catalog: DataFrame | None = None) -> DataFrame:
     """Add `refusal`: the first rule that fires, NULL for questions that may proceed.
 
     Expects `unresolved` from `tag_entities`.
     """
+    tagged = looked_up(questions, text, catalog, (GATED,))
     q = F.lower(F.trim(F.col(text)))
-    # a delay word counts only if no bunching is mentioned after it
-    on_time = q.rlike(V.ON_TIME) | q.rlike(V.DELAY + "(?!.*bunch)")
-    gated = "|".join(_worded(p) for p in V.gated_phrases())
-    return tagged.withColumn(
+    on_time = q.rlike(V.ON_TIME)
+    gated = F.expr(f"exists({FOUND}, m -> m.kind = '{GATED}')")
+    tagged = tagged.withColumn(
         "refusal",
         F.when(q.rlike(V.RIDERSHIP), "ridership").when(q.rlike(V.NON_BUS), "skytrain_or_nonbus")
         .when(q.rlike(V.SCHEDULE_CUE) & on_time, "on_time_performance").when(q.rlike(V.TREND), "multi_day_trend")
-        .when(q.rlike(gated), "unsupported_metric").when(F.size("unresolved") > 0, "non_top20_route"),
+        .when(gated, "unsupported_metric").when(F.size("unresolved") > 0, "non_top20_route"),
     )
+    return _tidy(tagged, questions)
 
 
-def route_question(questions: DataFrame, text: str = "text") -> DataFrame:
-    """All tags plus `status`: refused, low_confidence, ambiguous_time or ok (fails closed)."""
-    t = tag_entities(questions, text)
-    for step in (tag_time_window, tag_metric, classify_out_of_scope):
+def route_question(questions: DataFrame, text: str = "text", catalog: DataFrame | None = None) -> DataFrame:
+    """All tags plus `status`: refused, low_confidence, ambiguous_time or ok (fails closed). All
+    steps share one look-up."""
+    t = looked_up(questions, text, catalog)
+    for step in (tag_entities, tag_time_window, tag_metric, classify_out_of_scope):
         t = step(t, text)
     no_metric = F.col("metric").isNull()
+    t = t.drop(FOUND)
     return t.withColumn(
         "status",
         F.when(F.trim(F.coalesce(F.col(text), F.lit(""))) == "", "low_confidence")

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from pulseline.functions import vocabulary as V
+from pulseline.operators import phrases as ph
 from pulseline.operators import questions as qs
 from pulseline.plans.domain import Domain
 from pulseline.plans.registry import cte, query, r
@@ -34,16 +35,29 @@ _CODES = "(" + ", ".join(_lit(c) for c, _, _ in V.ROUTES) + ")"
 _CANON = "CASE WHEN regexp_matches(x, '^[0-9]+$') THEN lpad(x, 3, '0') ELSE upper(x) END"
 
 cte("c_q", r"SELECT *, lower(trim(text)) AS l, regexp_replace(lower(trim(text)), '\s+', ' ', 'g') AS q FROM c_questions")
-# a bound question holds one route phrase at most: the longest that occurs
-_NAMED = "CASE " + " ".join(f"WHEN {_has('lower(text)', p, 'a-z0-9')} THEN {_lit(c)}" for p, c in V.route_phrases()) + " END"
+# Every character other than a letter or digit is doubled, so that neighbouring phrases do not share
+# one; then phrases are replaced, longest first, by one letter for each route.
+_LETTER = {code: chr(0xE000 + i) for i, (code, _, _) in enumerate(V.ROUTES)}
+
+
+def _marked(text: str) -> str:
+    out = f"regexp_replace({text}, '([^A-Za-z0-9])', '\\1\\1', 'g')"
+    for phrase, code in V.route_phrases():
+        twice = "".join(c if c.isalnum() else 2 * re.escape(c) for c in phrase)
+        out = f"regexp_replace({out}, '(?i)(^|[^a-z0-9]){twice}($|[^a-z0-9])', '\\1{_LETTER[code]}\\2', 'g')"
+    return out
+
+
+_NAMED = f"list_transform(regexp_extract_all(marked, '[{chr(0xE000)}-{chr(0xE0FF)}]'), lambda x: [{', '.join(_lit(c) for c in _LETTER)}][unicode(x) - 57343])"
 cte("c_q_routes", rf"""
 SELECT question_id, text,
-  list_sort(list_distinct(list_filter(list_append(list_transform(codes, lambda x: {_CANON}), {_NAMED}), lambda y: y IN {_CODES}))) AS routes,
+  list_sort(list_distinct(list_filter(list_concat(list_transform(codes, lambda x: {_CANON}), {_NAMED}), lambda y: y IN {_CODES}))) AS routes,
   list_sort(list_distinct(list_concat(
     list_filter(codes, lambda x: ({_CANON}) NOT IN {_CODES} AND regexp_matches(x, '^[A-Za-z]')),
     list_filter(cued, lambda x: ({_CANON}) NOT IN {_CODES})))) AS unresolved
-FROM (SELECT question_id, text, regexp_extract_all(text, '(?i)\b([a-z]?\d{{1,3}})\b', 1) AS codes,
-        regexp_extract_all(text, '(?i)\b(?:route|bus|line|the)\s+([a-z]?\d{{1,3}}[a-z]?)\b', 1) AS cued FROM c_questions)""")
+FROM (SELECT *, regexp_extract_all(marked, '(?i)\b([a-z]?\d{{1,3}})\b', 1) AS codes,
+        regexp_extract_all(text, '(?i)\b(?:route|bus|line|the)\s+([a-z]?\d{{1,3}}[a-z]?)\b', 1) AS cued
+      FROM (SELECT question_id, text, {_marked("text")} AS marked FROM c_questions))""")
 
 _TIME_CASE = "CASE " + " ".join(f"WHEN {_has('q', a)} THEN {_lit(a)}" for a, _ in V.time_aliases()) + " END"
 _WINDOW = _map("time_alias", V.time_aliases())
@@ -81,11 +95,15 @@ FROM (SELECT *, {_map('metric', [(m[0], m[2]) for m in V.METRICS])} AS metric_ta
                 regexp_extract(q, '\b({_WORDS})\b', 1) AS w
               FROM (SELECT question_id, q, {_PHRASE_CASE} AS p FROM c_q))))""")
 
+# the published pattern in two parts, for an engine without look-ahead
+_ON_TIME, _DELAY = V.ON_TIME.replace(r"|delay(ed|s)?\b(?!.*bunch)", ""), r"\bdelay(ed|s)?\b"
+assert "bunch" not in _ON_TIME
+
 _GATED = " OR ".join(_has("q.l", p) for p in V.gated_phrases())
 cte("c_q_refusal", rf"""
 SELECT q.question_id, CASE WHEN {_m('q.l', V.RIDERSHIP)} THEN 'ridership' WHEN {_m('q.l', V.NON_BUS)} THEN 'skytrain_or_nonbus'
-  WHEN {_m('q.l', V.SCHEDULE_CUE)} AND ({_m('q.l', V.ON_TIME)} OR ({_m('q.l', V.DELAY)}
-    AND NOT contains(regexp_replace(q.l, '^.*{V.DELAY}', ''), 'bunch'))) THEN 'on_time_performance'
+  WHEN {_m('q.l', V.SCHEDULE_CUE)} AND ({_m('q.l', _ON_TIME)} OR ({_m('q.l', _DELAY)}
+    AND NOT contains(regexp_replace(q.l, '^.*{_DELAY}', ''), 'bunch'))) THEN 'on_time_performance'
   WHEN {_m('q.l', V.TREND)} THEN 'multi_day_trend' WHEN {_GATED} THEN 'unsupported_metric'
   WHEN len(e.unresolved) > 0 THEN 'non_top20_route' END AS refusal
 FROM c_q q JOIN c_q_routes e ON q.question_id = e.question_id""")
@@ -100,6 +118,32 @@ def _(d: Domain):
         "question_id", F.array_join("routes", "|").alias("routes"), F.array_join("unresolved", "|").alias("unresolved"))
 
 
+@query("phrase_matches", r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, row_number() OVER () AS r, lower(text) AS l FROM conversations
+), book AS (
+  SELECT DISTINCT p AS phrase FROM (SELECT regexp_extract(l, '^([a-z]+ [a-z]+)[ ,.]', 1) AS p FROM t) WHERE p <> ''
+), pieces AS (
+  SELECT r, regexp_extract_all(l, '[a-z]+|[0-9]+|\s+|[^a-z0-9\s]') AS p FROM t
+), grams AS (
+  SELECT r, i, p[i] || ' ' || p[i + 2] AS gram FROM (SELECT r, p, unnest(range(1, len(p) - 1)) AS i FROM pieces)
+  WHERE regexp_matches(p[i], '^[a-z]') AND regexp_matches(p[i + 1], '^\s') AND regexp_matches(p[i + 2], '^[a-z]')
+    AND NOT coalesce(regexp_matches(p[i - 1], '^[0-9]') AND i > 1, false) AND NOT coalesce(regexp_matches(p[i + 3], '^[0-9]'), false)
+), hits AS (
+  SELECT r, count(*) AS n, list_sort(list_distinct(list(gram))) AS found FROM grams JOIN book ON gram = phrase GROUP BY r
+)
+SELECT conv_id, turn, coalesce(n, 0) AS matches, coalesce(array_to_string(found, '|'), '') AS phrases FROM t LEFT JOIN hits USING (r)""")
+def _(d: Domain):
+    turns = d.tables.base("conversations")
+    low = F.translate("text", ph.UPPER, ph.LOWER)
+    book = turns.select(F.regexp_extract(low, "^([a-z]+ [a-z]+)[ ,.]", 1).alias("phrase")).filter("phrase != ''").distinct().selectExpr(
+        "'opening' AS kind", "phrase", "phrase AS key", "0 AS rank", "false AS letters_only", "false AS exact")
+    found = ph.with_matches(turns.select("conv_id", "turn", "text"), book)
+    return found.select(
+        "conv_id", "turn", F.size("found").cast("long").alias("matches"),
+        F.expr("array_join(array_sort(array_distinct(transform(found, m -> m.phrase))), '|')").alias("phrases"))
+
+
 @query("tag_time_window", "SELECT * FROM c_q_time")
 def _(d: Domain):
     return qs.tag_time_window(d.questions).drop("text")

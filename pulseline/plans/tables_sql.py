@@ -73,7 +73,8 @@ SELECT o_orderkey AS question_id,
          WHEN 8 THEN concat('How has R', CAST(o_custkey % 30 AS STRING), ' changed over the past 6 months?')
          WHEN 9 THEN 'Which corridors should operations prioritize in the morning rush?'
          WHEN 10 THEN 'Worst severe bunching at rush hour?'
-         ELSE concat('Is the data quality on ', ['Hastings St', 'Broadway B-Line', 'Kingsway', 'marine drive', 'King  Edward', 'the port coquitlam run'][o_custkey % 6 + 1], ' good enough?') END AS text
+         ELSE concat('Is the data quality on ', ['Hastings St', 'Broadway B-Line', 'Kingsway', 'marine drive', 'King  Edward', 'the port coquitlam run'][o_custkey % 6 + 1],
+           ' or ', ['49th Avenue', '41ST AVE Route 4', 'Broadway 9/the R7', 'the 99 B-Line', 'Hastings/UBC Exchange', 'king george blvd'][o_orderkey // 12 % 6 + 1], ' good enough?') END AS text
 FROM orders
 """)
 

@@ -117,9 +117,11 @@ class TestTables:
         )
 
     def questions(self) -> DataFrame:
-        """One analyst question per order, from twelve templates; some name a route by phrase."""
+        """One analyst question per order, from twelve templates; some name routes by several phrases."""
         named = F.array(*map(F.lit, (
             "Hastings St", "Broadway B-Line", "Kingsway", "marine drive", "King  Edward", "the port coquitlam run")))
+        second = F.array(*map(F.lit, (
+            "49th Avenue", "41ST AVE Route 4", "Broadway 9/the R7", "the 99 B-Line", "Hastings/UBC Exchange", "king george blvd")))
         k, c = F.col("o_orderkey"), F.col("o_custkey")
         text = (
             F.when(k % 12 == 0, F.concat(F.lit("What was the reliability score of route "),
@@ -135,6 +137,7 @@ class TestTables:
                                         F.lit(" changed over the past 6 months?")))
             .when(k % 12 == 9, "Which corridors should operations prioritize in the morning rush?")
             .when(k % 12 == 10, "Worst severe bunching at rush hour?")
-            .otherwise(F.concat(F.lit("Is the data quality on "), named[(c % 6).cast("int")], F.lit(" good enough?")))
+            .otherwise(F.concat(F.lit("Is the data quality on "), named[(c % 6).cast("int")], F.lit(" or "),
+                                second[F.expr("CAST(o_orderkey DIV 12 % 6 AS INT)")], F.lit(" good enough?")))
         )
         return self.base("orders").select(F.col("o_orderkey").alias("question_id"), text.alias("text"))

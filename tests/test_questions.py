@@ -1,7 +1,12 @@
 """Question tagging, scope rules, grading and anchors."""
 
+import random
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
+from pulseline.operators import phrases as ph
 from pulseline.operators import questions as qs
 
 
@@ -129,5 +134,69 @@ def test_missing_anchors_are_appended(spark):
 
 
 def test_marks_in_the_text_name_no_route(spark):
-    rows = spark.createDataFrame([("x " + "".join(qs._MARK.values()) + " y",)], "text string")
+    rows = spark.createDataFrame([("x " + qs._MARK + " y",)], "text string")
     assert qs.tag_entities(rows).first().routes == []
+
+
+def _brute_matches(text, catalog):
+    """All (start, end, phrase) of phrases between characters that are neither letter nor digit."""
+    low = text.lower()
+    out = []
+    for phrase in catalog:
+        pattern = rf"(?<![a-z0-9]){re.escape(phrase)}(?![a-z0-9])"
+        out += [(m.start(), m.end(), phrase) for m in re.finditer(f"(?={pattern})", low) for m in [re.compile(pattern).match(low, m.start())]]
+    return sorted(out)
+
+
+def _brute_cover(found):
+    taken = []
+    for start, end, phrase in sorted(found, key=lambda m: (-len(m[2]), m[2], m[0])):
+        if all(end <= a or b <= start for a, b, _ in taken):
+            taken.append((start, end, phrase))
+    return sorted(taken)
+
+
+def test_matches_and_cover_match_brute_force(spark):
+    rng = random.Random(4)
+    words = ["a", "b", "a1", "1", "a-b", "b/a", "ab", "c."]
+    catalog = sorted({" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(60)} | {"a b", "b/a", "(a)", "%"})
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", "  ", ",", "", "\n", " (", ") "]) for _ in range(rng.randint(0, 14))) for _ in range(120)]
+    texts += ["", "A B a b A-B", "(a) 5% %", texts[0]]
+    book = ph.catalog_of(spark, [("k", p, p.upper(), 0, False, True) for p in catalog])
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "id int, text string")
+    got = ph.with_matches(df, book).withColumn("taken", ph.cover("found", "k")).withColumn("cut", ph.parts(F.col("text"))).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        at = [0]
+        for part in r.cut or []:
+            at.append(at[-1] + len(part))
+        spans = lambda ms: sorted((at[m.start - 1], at[m.start + m.size - 1], m.phrase) for m in ms)  # noqa: E731, B023
+        want = _brute_matches(r.text, catalog) if r.text else []
+        assert spans(r.found) == want
+        assert spans(r.taken) == _brute_cover(want)
+
+
+def test_letters_only_and_loose_white_space(spark):
+    book = ph.catalog_of(spark, [("m", "peak share", "x", 0, True, False), ("g", "peak share", "y", 0, True, True), ("r", "peak", "z", 0, False, True)])
+    df = spark.createDataFrame([("the 2peak  share4",), ("peaks share",), ("PEAK SHARE",)], "text string")
+    got = {r.text: [m.kind for m in r.found] for r in ph.with_matches(df, book).collect()}
+    assert got == {"the 2peak  share4": ["m"], "peaks share": [], "PEAK SHARE": ["r", "g", "m"]}
+
+
+def _plan_lines(df):
+    return len(df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
+def test_plan_does_not_grow_with_the_catalog(spark):
+    """A catalog of 100,000 phrases from a route table, and a third of all texts equal."""
+    routes = spark.range(50_000).select(F.col("id").cast("string").alias("route_short_name"), F.concat(F.lit("Line "), F.hex("id"), F.lit(" Road")).alias("route_long_name"))
+    texts = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit("from LINE 1F ROAD to the 77")).otherwise(
+        F.concat(F.lit("route "), F.col("id").cast("string"), F.lit(" on line 10 road"))).alias("text"))
+    large = qs.tag_entities(texts, catalog=qs.catalog_of_routes(routes))
+    small = qs.tag_entities(texts, catalog=qs.catalog_of_routes(routes.limit(10)))
+    assert qs.catalog_of_routes(routes).count() > 150_000
+    assert _plan_lines(large) <= _plan_lines(small) + 1
+    rows = large.collect()
+    assert len(rows) == 3000
+    for r in rows:
+        assert r.routes == (["31", "77"] if "LINE" in r.text else sorted({"16", r.text.split()[1]}))
