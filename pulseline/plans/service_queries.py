@@ -263,18 +263,28 @@ SELECT CAST(max(collection_timestamp) AS VARCHAR) AS latest_timestamp,
   CASE WHEN (epoch_us(TIMESTAMP '{NOW}') / 1e6 - epoch_us(max(collection_timestamp)) / 1e6) / 60e0 <= 5 THEN 'FRESH' ELSE 'STALE' END AS freshness_status
 FROM c_pings""")
 def _(d: Domain):
-    job = jobs.freshness_job(F.lit(NOW).cast("timestamp"))
-    out = d.spark.read.parquet(jobs.drain_batches(_stream(d), job, *_places(d, "fresh")))
-    # one row per micro-batch; the newest record over all of them is the state of the feed
-    return out.orderBy(F.desc_nulls_last("latest_timestamp")).limit(1).drop("batch")
+    running = jobs.newest_per_feed(_stream(d), F.lit("vehicles"))
+    table = jobs.drain_upserts(running, "feed", *_places(d, "fresh"))
+    return health.freshness(d.spark.read.parquet(table), F.lit(NOW).cast("timestamp"))
 
 
-@query("stream_bunching", "SELECT event_id, route_id, next_vehicle_id, distance_to_next_bus_km, bunching_severity FROM c_events "
-       "WHERE collection_timestamp < (SELECT max(collection_timestamp) - INTERVAL 10 MINUTE FROM c_pings)")
+def _late_files(d: Domain):
+    """The pings as a stream of three files, one to a micro-batch: the first and second half of the
+    days, and every 50th row late, in the last file."""
+    path = scratch_path(d.spark, "late")
+    part = F.when(F.col("event_id") % 50 == 0, 2).when(F.dayofmonth("collection_timestamp") > 15, 1).otherwise(0)
+    pings = d.pings.withColumn("part", part)
+    for k in range(3):  # one write for each file, so that they have an order
+        pings.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(path)
+    return d.spark.readStream.schema(d.pings.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("stream_bunching", "SELECT event_id, route_id, next_vehicle_id, distance_to_next_bus_km, bunching_severity FROM c_events")
 def _(d: Domain):
     job = jobs.bunching_job(BOUND_SHAPE_KM, "bound_dist_km", CORRIDOR_KEYS)
-    out = d.spark.read.parquet(jobs.drain_batches(jobs.closed_snapshots(_stream(d)), job, *_places(d, "bunching")))
-    return out.select("event_id", "route_id", "next_vehicle_id", "distance_to_next_bus_km", "bunching_severity")
+    sink, checkpoint = _places(d, "bunching")
+    jobs.upsert_slots(_late_files(d), job, f"{sink}-bronze", sink, checkpoint, slot="yyyy-MM-dd")
+    return jobs.slot_results(d.spark, sink).select("event_id", "route_id", "next_vehicle_id", "distance_to_next_bus_km", "bunching_severity")
 
 
 @query("stream_gaps", """

@@ -84,7 +84,7 @@ def closed_snapshots(pings: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 
 def bunching_job(length_km: float, distance: str, keys=spc.SNAPSHOT_KEYS) -> Callable[[DataFrame], DataFrame]:
-    """Per micro-batch of whole snapshots (see `closed_snapshots`): bunching events."""
+    """For rows that hold whole snapshots (see `upsert_slots` and `closed_snapshots`): bunching events."""
 
     def run(batch: DataFrame) -> DataFrame:
         placed = sil.silver_positions(batch).withColumnRenamed(distance, spc.DIST).withColumn(
@@ -95,6 +95,69 @@ def bunching_job(length_km: float, distance: str, keys=spc.SNAPSHOT_KEYS) -> Cal
     return run
 
 
+#: Marks the row that says that a slot was computed, so that a slot without results is rewritten too.
+_SEEN = "_slot_only"
+
+
+def upsert_slots(
+    stream: DataFrame, job: Callable[[DataFrame], DataFrame], bronze: str, sink: str, checkpoint: str,
+    time: str = "collection_timestamp", slot: str = "yyyy-MM-dd-HH",
+) -> str:
+    """Keep the results of a batch operator right for every slot of time that a micro-batch touches.
+
+    A micro-batch is first added to bronze, under its own number and its slots. Then the slots that
+    it touched, and no others, are read whole from bronze, computed anew and written over the old
+    ones. So results are there with the batch that brings the last row, a late row mends its slot,
+    repeated rows stay, and a replayed batch writes the same again. A batch of live data touches a
+    slot or two; the driver holds the names of the touched slots. No state is kept. Rows without a
+    time share the slot `none`. A snapshot must lie within one slot. Read the sink by `slot_results`.
+    """
+    name = F.coalesce(F.date_format(time, slot), F.lit("none"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        own = f"{bronze}/batch={batch_id}"
+        batch.withColumn("slot", name).write.mode("overwrite").partitionBy("slot").parquet(own)
+        kept = spark.read.schema(f"{batch_schema}, batch string, slot string").parquet(bronze)
+        touched = [r["slot"] for r in kept.filter(F.col("batch") == str(batch_id)).select("slot").distinct().collect()]
+        rows = kept.filter(F.col("slot").isin(touched)).drop("batch", "slot")
+        found = job(rows).withColumns({"slot": F.coalesce(F.date_format(time, slot), F.lit("none")), _SEEN: F.lit(False)})
+        seen = spark.createDataFrame([(t, True) for t in touched], f"slot string, {_SEEN} boolean")
+        found.unionByName(seen, allowMissingColumns=True).hint("rebalance", "slot").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(sink)
+
+    batch_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+    (
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start().awaitTermination()
+    )
+    return sink
+
+
+def slot_results(spark: SparkSession, sink: str) -> DataFrame:
+    """The results that `upsert_slots` keeps."""
+    return spark.read.parquet(sink).filter(~F.col(_SEEN)).drop("slot", _SEEN)
+
+
+def newest_per_feed(pings: DataFrame, feed: Column, ts: str = "collection_timestamp") -> DataFrame:
+    """The newest record of each feed, as a running aggregate: its state is one row for each feed."""
+    return pings.groupBy(feed.alias("feed")).agg(F.max(ts).alias(ts))
+
+
+def drain_upserts(running: DataFrame, key: str, sink: str, checkpoint: str) -> str:
+    """Keep a running aggregate as a table: each micro-batch writes the keys that it changed over
+    their old rows, so the table is the state, and a replayed or restarted batch changes nothing."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(sink)
+
+    (
+        running.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start().awaitTermination()
+    )
+    return sink
+
+
 def reporting_sessions(pings: DataFrame, gap: str = "2 hours", delay: str = "10 minutes") -> DataFrame:
     """Runs of reports per vehicle separated by GPS silence longer than the gap."""
     pings.sparkSession.conf.set(LOCAL_SESSION_MERGE, "true")  # merge sessions before the shuffle

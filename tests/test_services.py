@@ -320,3 +320,51 @@ def test_a_snapshot_over_two_files_bunches_whole(spark, folder):
     out = jobs.drain_batches(jobs.closed_snapshots(stream, "2 hours"), pairs, folder + "/whole", folder + "/ck-snap")
     got = {r.collection_timestamp.hour: r.n for r in spark.read.parquet(out).collect()}
     assert got == {8: 2, 9: 2}
+
+
+def _snapshot_files(spark, folder, parts):
+    schema = "event_id long, collection_timestamp timestamp, vehicle_id string, km double"
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _at(i, hour, vehicle, km):
+    return (i, None if hour is None else dt.datetime(2026, 5, 19, hour), vehicle, km)
+
+
+def test_late_rows_mend_their_slot_and_the_open_tail_is_there(spark, folder):
+    """One file per trigger: a late row splits a pair, another leaves a slot without any."""
+    parts = [
+        [_at(1, 8, "a", 1.0), _at(2, 8, "b", 1.2), _at(3, 9, "a", 5.0), _at(4, 9, "b", 5.1), _at(4, 9, "b", 5.1)],
+        [_at(5, 10, "a", 2.0), _at(6, 10, "c", 2.4), _at(7, None, "x", 1.0)],
+        [_at(8, 8, "c", 1.1), _at(9, 9, "d", 5.0), _at(10, None, "y", 1.1)],
+    ]
+    read_slots = []
+
+    def pairs(rows):
+        read_slots.append(sorted({r.collection_timestamp.hour if r.collection_timestamp else -1 for r in rows.collect()}))
+        own = rows.groupBy("collection_timestamp").agg(F.count(F.lit(1)).alias("n"), F.max("km").alias("far"))
+        return own.filter("n != 4")
+
+    places = (folder + "/up-bronze", folder + "/up-sink", folder + "/up-ck")
+    jobs.upsert_slots(_snapshot_files(spark, folder + "/up", parts[:2]), pairs, *places)
+    first = {r.collection_timestamp and r.collection_timestamp.hour: r.n for r in jobs.slot_results(spark, places[1]).collect()}
+    assert first == {8: 2, 9: 3, 10: 2, None: 1}
+    # a restart reads the third file only, and only the slots that it touches
+    jobs.upsert_slots(_snapshot_files(spark, folder + "/up", parts[2:]), pairs, *places)
+    got = {r.collection_timestamp and r.collection_timestamp.hour: r.n for r in jobs.slot_results(spark, places[1]).collect()}
+    assert got == {8: 3, 10: 2, None: 2}
+    assert read_slots == [[8, 9], [-1, 10], [-1, 8, 9]]
+
+
+def test_newest_record_is_the_state(spark, folder):
+    parts = [[_at(1, 8, "a", 1.0)], [_at(2, 11, "b", 1.2), _at(3, 9, "a", 5.0)], [_at(4, None, "b", 5.1)]]
+    source = _snapshot_files(spark, folder + "/new", parts)
+    for _ in range(2):  # a second run finds nothing new and changes nothing
+        table = jobs.drain_upserts(jobs.newest_per_feed(source, F.lit("v")), "feed", folder + "/new-table", folder + "/new-ck")
+        rows = spark.read.parquet(table).collect()
+        assert [(r.feed, r.collection_timestamp.hour) for r in rows] == [("v", 11)]
+    _snapshot_files(spark, folder + "/new", [[_at(5, 12, "c", 0.0)]])
+    jobs.drain_upserts(jobs.newest_per_feed(source, F.lit("v")), "feed", folder + "/new-table", folder + "/new-ck")
+    assert spark.read.parquet(folder + "/new-table").first().collection_timestamp.hour == 12
