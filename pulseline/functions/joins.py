@@ -42,3 +42,39 @@ def lookup_join(facts: DataFrame, dim: DataFrame, key: str, spread_by: str) -> D
     keyed = facts.withColumn("__key", F.coalesce(F.col(key), stand_in))
     right = dim.withColumnRenamed(key, "__key")
     return keyed.join(right, "__key", "left").drop("__key")
+
+
+#: A key with more than this share of all rows is spread; so there are fewer such keys than that.
+HEAVY_SHARE = 256
+
+
+def heavy_keys(counts: DataFrame, keys: Sequence[str], n: str = "n") -> DataFrame | None:
+    """The keys that hold more than 1 / HEAVY_SHARE of all rows, with `__salts`, the number of equal
+    parts that makes each no larger than that; None if there are none. One small job; the driver gets
+    at most HEAVY_SHARE rows, whatever the input, and they go into plans as literals."""
+    per = counts.groupBy(*keys).agg(F.sum(n).alias("__n"))
+    total = with_scalars(per, per.agg(F.sum("__n").alias("__all")))
+    salts = F.ceil(F.col("__n") * HEAVY_SHARE / F.col("__all")).cast("int")
+    few = total.filter(F.col("__n") * HEAVY_SHARE > F.col("__all")).select(*keys, salts.alias("__salts"))
+    rows = few.collect()
+    return counts.sparkSession.createDataFrame(rows, few.schema) if rows else None
+
+
+def spread_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], heavy: DataFrame | None, spread_by: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Join on `keys`, with the rows of heavy keys dealt over as many tasks as they have salts.
+
+    `heavy` comes from `heavy_keys` and may hold some of the keys only; its size bound allows the
+    broadcast. The left rows of a heavy key get one of its salts by a hash of `spread_by`, its right
+    rows are repeated for each salt.
+    """
+    if heavy is None:
+        return left.join(right, list(keys), how)
+    on = [c for c in heavy.columns if c != "__salts"]
+    few = F.broadcast(heavy)
+    one = F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("__salts").cast("long")), F.lit(0)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1))
+    a = left.join(few, on, "left").withColumn("__salt", one).drop("__salts")
+    b = right.join(few, on, "left").withColumn("__salt", every).drop("__salts")
+    return a.join(b, [*keys, "__salt"], how).drop("__salt")

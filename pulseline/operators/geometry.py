@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pulseline.functions import columns as C
-from pulseline.functions.joins import with_scalars
+from pulseline.functions.joins import heavy_keys, spread_join, with_scalars
 from pulseline.functions.ordered import ranked_neighbours
 from pulseline.functions.quantiles import exact_percentiles
+from pulseline.session import stored
 
 CELL_DEG = 0.005  # about 550 m north-south
 
@@ -31,17 +32,18 @@ def project_to_shape(
        whose bounding boxes give a lower and an upper bound. Only vertices of cells that can
        still win are measured.
 
-    Pings whose shape has no vertices are dropped.
+    Shapes with a large share of the locations, and locations with a large share of the pings, are
+    dealt over many tasks on both sides of a join (`spread_join`). Pings whose shape has no vertices
+    are dropped.
     """
     where = ["shape_id", "latitude", "longitude"]
-    points = (
-        pings.where(F.col("shape_id").isNotNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-        .select(*where).distinct()
-        .withColumns({"cy": _cell("latitude", cell_deg), "cx": _cell("longitude", cell_deg)})
-    )
+    known = pings.where(F.col("shape_id").isNotNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    places = stored(known.groupBy(*where).agg(F.count(F.lit(1)).alias("n")), "locations")
+    hot_shapes, hot_places = heavy_keys(places.select("shape_id", F.lit(1).alias("n")), ["shape_id"]), heavy_keys(places, where)
+    points = places.select(*where, _cell("latitude", cell_deg).alias("cy"), _cell("longitude", cell_deg).alias("cx"))
     vertices = (
         shapes.groupBy("shape_id", F.col("shape_pt_lat").alias("v_lat"), F.col("shape_pt_lon").alias("v_lon"))
-        .agg(F.min("shape_pt_sequence").alias("v_seq"))
+        .agg(F.min(F.struct(F.col("shape_pt_sequence").alias("seq"), F.col("shape_dist_traveled").alias("dist"))).alias("v"))
         .withColumns({"cy": _cell("v_lat", cell_deg), "cx": _cell("v_lon", cell_deg)})
     )
     term = C.haversine_term("latitude", "longitude", "v_lat", "v_lon")
@@ -50,11 +52,11 @@ def project_to_shape(
     shift = F.array(F.lit(-1), F.lit(0), F.lit(1))
     spread = (
         vertices.withColumn("dy", F.explode(shift)).withColumn("dx", F.explode(shift))
-        .select("shape_id", "v_lat", "v_lon", "v_seq",
+        .select("shape_id", "v_lat", "v_lon", "v",
                 (F.col("cy") + F.col("dy")).alias("cy"), (F.col("cx") + F.col("dx")).alias("cx"))
     )
-    near_pairs = points.join(spread, ["shape_id", "cy", "cx"]).select(*where, "v_seq", term.alias("term"))
-    near = near_pairs.groupBy(*where).agg(F.min(F.struct("term", "v_seq")).alias("hit"))
+    near_pairs = spread_join(points, spread, ["shape_id", "cy", "cx"], hot_shapes, where).select(*where, "v", term.alias("term"))
+    near = near_pairs.groupBy(*where).agg(F.min(F.struct("term", "v")).alias("hit"))
     located = points.join(near, where, "left")
     # Anything outside the block is at least one cell away in latitude or in longitude.
     half = F.radians(F.lit(cell_deg)) / 2
@@ -71,26 +73,23 @@ def project_to_shape(
         F.min("v_lat").alias("lat0"), F.max("v_lat").alias("lat1"),
         F.min("v_lon").alias("lon0"), F.max("v_lon").alias("lon1"),
     )
-    bounded = open_points.join(boxes, "shape_id").select(
+    bounded = spread_join(open_points, boxes, ["shape_id"], hot_shapes, where).select(
         *where, "cy", "cx",
         _box_lower("latitude", "longitude").alias("low"),
         _box_upper("latitude", "longitude").alias("high"),
     )
     limit = bounded.groupBy(*where).agg(F.min("high").alias("limit"))
     live = bounded.join(limit, where).where(F.col("low") <= F.col("limit")).select(*where, "cy", "cx")
-    far_pairs = live.join(vertices, ["shape_id", "cy", "cx"]).select(*where, "v_seq", term.alias("term"))
-    far = far_pairs.groupBy(*where).agg(F.min(F.struct("term", "v_seq")).alias("hit"))
+    far_pairs = spread_join(live, vertices, ["shape_id", "cy", "cx"], hot_shapes, where).select(*where, "v", term.alias("term"))
+    far = far_pairs.groupBy(*where).agg(F.min(F.struct("term", "v")).alias("hit"))
 
     found = settled.unionByName(far).select(
         *where,
-        F.col("hit.v_seq").alias("nearest_shape_sequence"),
+        F.col("hit.v.seq").alias("nearest_shape_sequence"),
         C.term_to_metres("hit.term").alias("projection_error_m"),
+        F.col("hit.v.dist").alias("approx_shape_dist_traveled"),
     )
-    along = shapes.groupBy("shape_id", F.col("shape_pt_sequence").alias("nearest_shape_sequence")).agg(
-        F.min("shape_dist_traveled").alias("approx_shape_dist_traveled")
-    )
-    placed = found.join(along, ["shape_id", "nearest_shape_sequence"], "left")
-    return pings.join(placed, where, "inner")
+    return spread_join(known, found, where, hot_places, pings.columns)
 
 
 def _box_lower(lat: str, lon: str):

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulseline.functions.joins import lookup_join, with_scalars
+from pulseline.functions.joins import heavy_keys, lookup_join, spread_join, with_scalars
 from pulseline.functions.ordered import in_ranges, previous_in_series, ranked_neighbours
 from pulseline.functions.quantiles import exact_percentiles
 from pulseline.operators import geometry as geo
@@ -172,3 +172,34 @@ def test_ranges_of_a_hot_group_are_bounded_in_size_and_number(spark):
     for frame in (df, tied):
         sizes = [r["count"] for r in in_ranges(frame, ["route_id", "km", "event_id"], 16).groupBy("route_id", "__piece").count().collect()]
         assert len(sizes) <= 51 + 16 and max(sizes) <= 3 * 20_000 / 16
+
+
+def test_heavy_keys_are_few_and_spread_evenly(spark):
+    """A third of the rows in one key: its rows are dealt into parts, its right rows repeated."""
+    left = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.pmod(F.xxhash64("id"), F.lit(5000)))).alias("k"))
+    right = left.select("k").distinct().withColumn("v", F.upper("k"))
+    heavy = heavy_keys(left.groupBy("k").agg(F.count(F.lit(1)).alias("n")), ["k"])
+    assert [(r.k, r["__salts"]) for r in heavy.collect()] == [("hot", 86)]
+    joined = spread_join(left, right, ["k"], heavy, ["id"])
+    rows = joined.collect()
+    assert len(rows) == 30_000 and all(r.v == r.k.upper() for r in rows)
+    seen = left.filter("k = 'hot'").groupBy(F.pmod(F.xxhash64("id"), F.lit(86))).count().collect()
+    assert max(r["count"] for r in seen) <= 3 * 30_000 / 256
+    assert heavy_keys(left.groupBy("id").agg(F.count(F.lit(1)).alias("n")), ["id"]) is None
+
+
+def test_projection_with_a_hot_cell_and_a_third_far_away(spark):
+    rnd = random.Random(8)
+    shapes = [(f"s{k}", i, 49.2 + k / 50 + i / 4000, -123.1 + i / 3000, i * 0.1) for k in range(4) for i in range(60)]
+    points = [(i, "s0", 49.2 + rnd.random() / 2000, -123.1 + rnd.random() / 2000) for i in range(500)]
+    points += [(500 + i, f"s{i % 4}", 47.0 + rnd.random(), -124.5 + rnd.random()) for i in range(500)]
+    points += [(1000 + i, "s2", 49.25, -123.09) for i in range(500)]  # parked
+    pdf = spark.createDataFrame(points, "event_id bigint, shape_id string, latitude double, longitude double")
+    sdf = spark.createDataFrame(shapes, "shape_id string, shape_pt_sequence int, shape_pt_lat double, shape_pt_lon double, shape_dist_traveled double")
+    got = {r.event_id: r.nearest_shape_sequence for r in geo.project_to_shape(pdf, sdf).collect()}
+
+    def term(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
+
+    assert got == {i: min((s for s in shapes if s[0] == sid), key=lambda s: (term(lat, lon, s[2], s[3]), s[1]))[1] for i, sid, lat, lon in points}
