@@ -9,7 +9,6 @@ a small side table holds.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,16 +18,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from pulseline.llm.chunk_encoder import gathered
 from pulseline.llm.common import pieces, words_of
 
 #: A word that stands between words while they are encoded together.
 MARK = "\x01"
-#: A word of Latin letters with closing punctuation: every tokenizer of this kind lower-cases the
-#: letters one by one and cuts before the punctuation, so both parts can be encoded alone.
-SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,:;!?]*)")
+#: Latin letters and closing punctuation: every tokenizer of this kind lower-cases the letters one by
+#: one and cuts before the punctuation, so both parts can be encoded alone.
+LETTERS = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+$"
+CLOSING = ".,:;!?"
 #: Words whose ids a task keeps; longer ones than KEPT_CHARS are never kept.
 KEPT, KEPT_CHARS = 400_000, 32
-PIECE = 4 << 20
+PIECE = 8 << 20
 
 
 class WordEncoder:
@@ -43,7 +44,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        #: Their strings are cut out of a text before anything else, so such texts go whole.
+        self.special = sorted(t.content for t in self.model.get_added_tokens_decoder().values())
         self.mark = self._ids(MARK)
         if len(self.mark) != 1:
             raise ValueError("the tokenizer has no single id for the mark between words")
@@ -66,33 +68,55 @@ class WordEncoder:
         return out
 
     def distinct(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words one after another, and how many each has."""
-        parts = [(m[1].lower(), m[2]) if (m := SIMPLE.fullmatch(w)) else (w, "") for w in words]
+        """Ids of distinct words one after another, and how many each has."""
         known = self.kept
-        new = {x for pair in parts for x in pair if x not in known}
+        new = [w for w in words if w not in known]
         if new:
-            fresh = self._fresh(list(new))
+            fresh = self._fresh(new)
             known = known | fresh if len(known) + len(new) > KEPT else known
             if known is self.kept:
                 known.update(fresh)
-        packed = [known[a] + known[b] for a, b in parts]
+        packed = [known[w] for w in words]
         if new and known is self.kept:
             for w in new:
                 if len(w) > KEPT_CHARS:
                     del known[w]
         return np.frombuffer(b"".join(packed), np.int32), np.array([len(x) // 4 for x in packed], np.int64)
 
+    def _parts(self, words: pa.Array) -> tuple[np.ndarray, list[str]]:
+        """For each word the numbers of its two parts (the second may be empty), and all parts."""
+        stems = pc.utf8_rtrim(words, CLOSING)
+        plain = pc.match_substring_regex(stems, LETTERS)
+        stems = pc.if_else(plain, pc.utf8_lower(stems), words)
+        tails = pc.if_else(plain, pc.replace_substring_regex(words, f"^.*?([{CLOSING}]*)$", r"\1"), "")
+        stems, tails = stems.dictionary_encode(), tails.dictionary_encode()
+        codes = np.stack([stems.indices.to_numpy().astype(np.int64), tails.indices.to_numpy().astype(np.int64) + len(stems.dictionary)], axis=1)
+        return codes, [*stems.dictionary.to_pylist(), *tails.dictionary.to_pylist()]
+
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, each closed by `end_id`, and how many each has."""
-        codes, starts, words = words_of(texts)
-        own, counts = self.distinct(words.to_pylist()) if len(words) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        """Ids of all texts one after another, each closed by `end_id`, and how many each has: those
+        of the library's plain call, which takes the strings of special tokens for these tokens."""
+        texts = pc.fill_null(texts, "")
+        odd = np.zeros(len(texts), bool)
+        for s in self.special:
+            odd |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        codes, starts, words = words_of(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts)
+        pair, parts = self._parts(words) if len(words) else (np.zeros((0, 2), np.int64), [])
+        own, counts = self.distinct(parts) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         own, counts = np.append(own, np.int32(end_id)), np.append(counts, 1)
-        first = np.cumsum(counts) - counts
-        codes = np.insert(codes, starts[1:], len(words))
-        n = counts[codes]
-        before = np.concatenate([[0], np.cumsum(n)])
-        ids = own[np.arange(before[-1]) + np.repeat(first[codes] - before[:-1], n)]
-        return ids, np.diff(before[starts + np.arange(len(starts))])
+        # two parts for each word, then the end of each text
+        flat = np.insert(pair[codes].ravel(), 2 * starts[1:], len(parts))
+        ids, before = gathered(own, counts, flat)
+        n = np.diff(before[2 * starts + np.arange(len(starts))])
+        if odd.any():
+            whole = [np.append(self._ids(t), np.int32(end_id)) for t in texts.filter(pa.array(odd)).to_pylist()]
+            ends = np.cumsum(n)[odd]
+            ids = np.delete(ids, ends - 1)  # the ends that stand for whole texts
+            n[odd] = 0
+            at = np.cumsum(n)[odd]
+            n[odd] = [len(w) for w in whole]
+            ids = np.insert(ids, np.repeat(at, n[odd]), np.concatenate(whole))
+        return ids, n
 
 
 @lru_cache(maxsize=1)

@@ -14,7 +14,6 @@ from pulseline.session import scratch_path
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 WHOLE = Tokenizer.from_file(PATH)
-WHOLE.encode_special_tokens = True
 OWN = token_files.WordEncoder(PATH)
 
 
@@ -22,8 +21,11 @@ def ids_of(text):
     return [*WHOLE.encode(text or "", add_special_tokens=False).ids, 2]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(max_size=60), max_size=4))
+BITS = st.sampled_from([" ", "\n", "a", "Word", "Éa", "ÿ.", "don't", "end.", ".,:", "a.b", "x!?", "İ", "ß", "ſ", "漢字", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "12", "\x01"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=60), st.lists(BITS, max_size=12).map("".join)), max_size=4))
 def test_words_give_the_ids_of_the_whole_text(texts):
     ids, counts = OWN.encode(pa.array(texts, pa.string()), 2)
     assert ids.tolist() == [i for t in texts for i in ids_of(t)]
