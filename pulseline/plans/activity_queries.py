@@ -11,7 +11,7 @@ from pulseline.operators import network as net
 from pulseline.operators import scoring as sco
 from pulseline.operators import silver as sil
 from pulseline.plans.domain import Domain
-from pulseline.plans.registry import cte, div, gavg, pct, query, r
+from pulseline.plans.registry import CTES, cte, div, gavg, pct, query, r
 
 _PING = ("event_id, CAST(collection_timestamp AS VARCHAR) AS collection_timestamp, "
          "CAST(api_vehicle_timestamp AS VARCHAR) AS api_vehicle_timestamp, entity_id, vehicle_id, route_id, trip_id, "
@@ -346,11 +346,22 @@ def _(d: Domain):
     return d.stability
 
 
+# a network with unlike routes, on which the published thresholds keep some and drop others
+cte("c_uneven", """
+SELECT * REPLACE (CASE WHEN CAST(route_id AS INT) % 5 = 2 AND vehicle_id IS NOT NULL THEN concat('U', event_id % 2) ELSE vehicle_id END AS vehicle_id)
+FROM c_pings WHERE NOT coalesce(CAST(route_id AS INT) % 5 = 1 AND extract(hour FROM collection_timestamp) > 4, false)
+  AND NOT coalesce(CAST(route_id AS INT) % 5 = 3 AND extract(day FROM collection_timestamp) > 10 AND event_id % 6 <> 0, false)""")
+cte("c_uneven_timed", CTES["c_timed"].replace("c_pings", "c_uneven"))
+cte("c_uneven_counts", CTES["c_counts"].replace("c_pings", "c_uneven"))
+cte("c_uneven_coverage", CTES["c_coverage"].replace("c_timed", "c_uneven_timed"))
+cte("c_uneven_stability", CTES["c_stability"].replace("c_timed", "c_uneven_timed"))
+
+
 @query("outlier_routes", """
-SELECT *, 'CV > 0.1: daily record count varies more than expected for a persistent route' AS flag_reason
-FROM c_stability WHERE is_persistent AND cv_daily_records > 0.1e0""")
+SELECT *, 'CV > 0.5: daily record count varies more than expected for a persistent route' AS flag_reason
+FROM c_uneven_stability WHERE is_persistent AND cv_daily_records > 0.5e0""")
 def _(d: Domain):
-    return act.outlier_routes(d.stability, cv=0.1)  # the bound routes vary little from day to day
+    return act.outlier_routes(act.route_daily_stability(d.uneven_timed))
 
 
 @query("daily_summary", "SELECT * FROM c_daily")
@@ -385,16 +396,14 @@ def _(d: Domain):
     return act.coverage_histogram(d.coverage)
 
 
-@query("brief_routes", "SELECT route_id, active_hours, total_records FROM c_coverage WHERE active_hours <= 6")
+@query("brief_routes", "SELECT route_id, active_hours, total_records FROM c_uneven_coverage WHERE active_hours <= 2")
 def _(d: Domain):
-    # six collection hours is the most the bound data has, so the list is not empty
-    return act.brief_routes(d.coverage, 6).select("route_id", "active_hours", "total_records")
+    return act.brief_routes(act.route_coverage(d.uneven_timed)).select("route_id", "active_hours", "total_records")
 
 
-@query("small_fleet_outliers", """
-SELECT * FROM c_counts WHERE unique_vehicles <= 600 AND total_records >= 38""")
+@query("small_fleet_outliers", "SELECT * FROM c_uneven_counts WHERE unique_vehicles <= 2 AND total_records >= 100")
 def _(d: Domain):
-    return act.small_fleet_outliers(d.counts, vehicles=600, records=38)  # bound fleets are large
+    return act.small_fleet_outliers(act.route_vehicle_counts(d.tables.uneven_pings()))
 
 
 @query("high_intensity_routes", f"""

@@ -181,6 +181,11 @@ class Domain:
         """Pings with calendar columns of the collection time."""
         return sil.time_columns(self.raw_pings)
 
+    @cached_property
+    def uneven_timed(self) -> DataFrame:
+        """Pings with calendar columns of the collection time."""
+        return sil.time_columns(self.tables.uneven_pings())
+
     @cached_property
     def reported(self) -> DataFrame:
         """Pings with calendar columns of the vehicle's own report time (24 hours present)."""

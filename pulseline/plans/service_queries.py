@@ -137,6 +137,17 @@ def _(d: Domain):
     return d.spark.read.parquet(target)
 
 
+@query("versioned_publish", "SELECT route_id, total_spacing_rows, reliability_score, reliability_band FROM c_scores")
+def _(d: Domain):
+    """Two versions: the routes without a score band come later, appended to the first."""
+    root = scratch_path(d.spark, "versions")
+    batch = d.store(d.scores.select("route_id", "total_spacing_rows", "reliability_score", "reliability_band"), "scores")
+    first = F.col("route_id").cast("int") % 2 == 0
+    sinks.publish_version(batch.filter(first), root, ["route_id"])
+    sinks.publish_version(batch.filter(~F.coalesce(first, F.lit(False))), root, ["route_id"], mode="append")
+    return sinks.read_published(d.spark, root)
+
+
 @query("create_or_replace", "SELECT * FROM c_activity")
 def _(d: Domain):
     return sinks.replace_view(d.activity, "pulse_route_activity")

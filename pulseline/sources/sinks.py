@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -74,6 +76,80 @@ def _promote(spark: SparkSession, staging: str, target: str, mode: str) -> None:
     fs.delete(source, True)
 
 
+class _Store:
+    """The Hadoop file system of a folder."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.jvm = spark.sparkContext._jvm
+        self.fs = self.path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(name)
+
+    def names(self, folder: str) -> list[str]:
+        place = self.path(folder)
+        return sorted(x.getPath().getName() for x in self.fs.listStatus(place)) if self.fs.exists(place) else []
+
+    def put(self, name: str, text: str) -> None:
+        """Make a small file appear whole, or not at all; an existing one is never replaced."""
+        draft = self.path(f"{name}.{os.urandom(6).hex()}.draft")
+        out = self.fs.create(draft, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if self.fs.exists(self.path(name)) or not self.fs.rename(draft, self.path(name)):
+            self.fs.delete(draft, False)
+            raise PublishError(f"another writer made {name}")
+
+    def text(self, spark: SparkSession, name: str) -> str:
+        return "\n".join(r[0] for r in spark.read.text(name).collect())
+
+
+def publish_version(
+    df: DataFrame, root: str, required: Sequence[str], mode: str = "overwrite", expected_rows: int | None = None, keep: int = 2,
+) -> dict[str, int]:
+    """Publish a batch as a new version of a table: its files, then one manifest that names them.
+
+    The files are written and checked in a folder of their own (see `validated_publish`). Only the
+    manifest makes them visible, and it appears in one step, so a reader sees the old version or the
+    new one, whatever fails in between. `append` names the folders of the old version too. Manifests
+    before the newest `keep`, and folders that no remaining one names, are removed at the end; a
+    folder left by a failed writer stays until then. One writer at a time.
+    """
+    spark, store = df.sparkSession, _Store(df.sparkSession, root)
+    before = _manifests(store, root)
+    old = json.loads(store.text(spark, f"{root}/_manifests/{before[-1]}"))["folders"] if before and mode == "append" else []
+    own = f"data-{os.urandom(8).hex()}"
+    report = validated_publish(df, f"{root}/_staging-{own}", f"{root}/{own}", required, "append", expected_rows)
+    number = int(before[-1]) + 1 if before else 1
+    store.put(f"{root}/_manifests/{number:012d}", json.dumps({"folders": [*old, own], "rows": report["rows"]}))
+    _forget(spark, store, root, keep)
+    return report | {"version": number}
+
+
+def _manifests(store: _Store, root: str) -> list[str]:
+    return [n for n in store.names(f"{root}/_manifests") if n.isdigit()]
+
+
+def _forget(spark: SparkSession, store: _Store, root: str, keep: int) -> None:
+    known = _manifests(store, root)
+    for name in known[:-keep]:
+        store.fs.delete(store.path(f"{root}/_manifests/{name}"), False)
+    used = {f for n in known[-keep:] for f in json.loads(store.text(spark, f"{root}/_manifests/{n}"))["folders"]}
+    for name in store.names(root):
+        if name.startswith("data-") and name not in used:
+            store.fs.delete(store.path(f"{root}/{name}"), True)
+
+
+def read_published(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The newest version of a published table, or an older one that is still kept."""
+    store = _Store(spark, root)
+    known = _manifests(store, root)
+    name = known[-1] if known and version is None else f"{version or 0:012d}"
+    if name not in known:
+        raise PublishError(f"no version {version or ''} of {root}")
+    return spark.read.parquet(*(f"{root}/{f}" for f in json.loads(store.text(spark, f"{root}/_manifests/{name}"))["folders"]))
+
+
 def csv_sink(df: DataFrame, path: str) -> bool:
     """Export with a header; an empty result writes nothing."""
     if df.isEmpty():

@@ -116,6 +116,16 @@ class TestTables:
             (seq.cast("double") * F.lit(20.0) / F.col("__tenth")).alias("shape_dist_traveled"),
         )
 
+    def uneven_pings(self) -> DataFrame:
+        """Pings of a network with unlike routes: of every five, one reports in two hours of the day
+        only, one with two vehicles, and one rarely after the tenth day."""
+        kind, event = F.col("route_id").cast("int") % 5, F.col("event_id")
+        brief = (kind == 1) & (F.hour("collection_timestamp") > 4)
+        rare = (kind == 3) & (F.dayofmonth("collection_timestamp") > 10) & (event % 6 != 0)
+        folded = F.when((kind == 2) & F.col("vehicle_id").isNotNull(), F.concat(F.lit("U"), (event % 2).cast("string")))
+        kept = self.pings().filter(~F.coalesce(brief, F.lit(False)) & ~F.coalesce(rare, F.lit(False)))
+        return kept.withColumn("vehicle_id", F.coalesce(folded, "vehicle_id"))
+
     def questions(self) -> DataFrame:
         """One analyst question per order, from twelve templates; some name routes by several phrases."""
         named = F.array(*map(F.lit, (

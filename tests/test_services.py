@@ -127,6 +127,34 @@ def test_publish_rejects_bad_batches(spark, folder):
     assert sinks.csv_sink(df.where("id > 1"), folder + "/none") is False and not os.path.exists(folder + "/none")
 
 
+def test_a_failed_publish_leaves_the_old_version_whole(spark, folder, monkeypatch):
+    root = folder + "/versions"
+    assert sinks.publish_version(spark.range(5), root, ["id"])["version"] == 1
+    real = sinks._Store.put
+
+    def fails(*_):
+        raise RuntimeError("the writer died")
+
+    monkeypatch.setattr(sinks._Store, "put", fails)  # between the files and the manifest
+    with pytest.raises(RuntimeError):
+        sinks.publish_version(spark.range(90), root, ["id"])
+    assert sinks.read_published(spark, root).count() == 5
+    monkeypatch.setattr(sinks._Store, "put", real)
+    with pytest.raises(sinks.PublishError, match="empty"):
+        sinks.publish_version(spark.range(0), root, ["id"])
+    assert sinks.read_published(spark, root).count() == 5
+    assert sinks.publish_version(spark.range(7), root, ["id"], mode="append")["version"] == 2
+    assert sinks.read_published(spark, root).count() == 12 and sinks.read_published(spark, root, 1).count() == 5
+    sinks.publish_version(spark.range(3), root, ["id"])
+    assert sinks.read_published(spark, root).count() == 3 and sinks.read_published(spark, root, 2).count() == 12
+    with pytest.raises(sinks.PublishError, match="no version"):
+        sinks.read_published(spark, root, 1)
+    # what the dead writer left is gone, and two writers cannot make one version
+    assert len([n for n in os.listdir(root) if n.startswith("data-")]) == 3
+    with pytest.raises(sinks.PublishError, match="another writer"):
+        sinks._Store(spark, root).put(f"{root}/_manifests/{3:012d}", "{}")
+
+
 def test_gold_publish_needs_every_table(spark, folder):
     with pytest.raises(sinks.PublishError, match="absent"):
         sinks.gold_publish({"route_type_summary": spark.range(1)}, folder)
