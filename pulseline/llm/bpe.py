@@ -144,6 +144,37 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", int
     return df.mapInArrow(run, f"{schema}, `{into}` binary")
 
 
+@lru_cache(maxsize=1)
+def worker_entries(ranks_path: str) -> dict[int, bytes]:
+    """The bytes of each id; one for each Python worker."""
+    return {rank: raw for raw, rank in read_ranks(ranks_path).items()}
+
+
+def encode_checked(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", into: str = "ids", exact: str = "exact") -> DataFrame:
+    """Replace `text` by `into`, the packed ids of each whole text (null: none), and `exact`, whether
+    decoding them gives the bytes of the text back.
+
+    Encoding, decoding and comparing are one step in one worker, so neither texts nor decoded bytes
+    travel on. All other columns pass unchanged; columns called like an added one are replaced.
+    """
+    df = making_room(df, into, exact)
+    rest = [c for c in df.columns if c != text]
+    schema = schema_text(df.select(*(f"`{c}`" for c in rest)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, entry = worker_encoder(ranks_path, pattern), worker_entries(ranks_path).__getitem__
+        for batch in batches:
+            for part in pieces(batch, text):
+                texts = [t or "" for t in part[text].to_pylist()]
+                ids = encoder.encode(texts)
+                same = [b"".join(map(entry, np.frombuffer(x, "<u4").tolist())) == t.encode() for x, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part[c] for c in rest), pa.array(ids, pa.binary()), pa.array(same)], names=[*rest, into, exact])
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, f"{schema}, `{into}` binary, `{exact}` boolean")
+
+
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Add `into`: the bytes that packed ids stand for, by the inverse of the vocabulary.
 

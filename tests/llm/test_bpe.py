@@ -40,5 +40,13 @@ def test_round_trip_keeps_rows_and_columns(make_docs, odd_rows):
     assert got == sorted((i or -1, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in odd_rows)
 
 
+def test_one_step_encodes_and_compares(make_docs, odd_rows):
+    docs = make_docs(odd_rows)
+    apart = {(r.doc_id, bytes(r.ids)) for r in bpe.encode(docs, RANKS, public_tokenizers.PATTERN).collect()}
+    rows = bpe.encode_checked(docs, RANKS, public_tokenizers.PATTERN).collect()
+    assert len(rows) == len(odd_rows) and all(r.exact for r in rows)
+    assert {(r.doc_id, bytes(r.ids)) for r in rows} == apart and "text" not in rows[0]
+
+
 def test_empty_table(make_docs):
     assert bpe.decode(bpe.encode(make_docs([]), RANKS, public_tokenizers.PATTERN), RANKS).count() == 0
