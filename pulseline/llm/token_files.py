@@ -76,22 +76,26 @@ class WordEncoder:
             known = known | fresh if len(known) + len(new) > KEPT else known
             if known is self.kept:
                 known.update(fresh)
-        packed = [known[w] for w in words]
+        packed = list(map(known.__getitem__, words))
         if new and known is self.kept:
             for w in new:
                 if len(w) > KEPT_CHARS:
                     del known[w]
-        return np.frombuffer(b"".join(packed), np.int32), np.array([len(x) // 4 for x in packed], np.int64)
+        return np.frombuffer(b"".join(packed), np.int32), np.fromiter(map(len, packed), np.int64, len(packed)) // 4
 
     def _parts(self, words: pa.Array) -> tuple[np.ndarray, list[str]]:
         """For each word the numbers of its two parts (the second may be empty), and all parts."""
         stems = pc.utf8_rtrim(words, CLOSING)
         plain = pc.match_substring_regex(stems, LETTERS)
         stems = pc.if_else(plain, pc.utf8_lower(stems), words)
-        tails = pc.if_else(plain, pc.replace_substring_regex(words, f"^.*?([{CLOSING}]*)$", r"\1"), "")
-        stems, tails = stems.dictionary_encode(), tails.dictionary_encode()
-        codes = np.stack([stems.indices.to_numpy().astype(np.int64), tails.indices.to_numpy().astype(np.int64) + len(stems.dictionary)], axis=1)
-        return codes, [*stems.dictionary.to_pylist(), *tails.dictionary.to_pylist()]
+        cut = np.nonzero((pc.binary_length(words).to_numpy() - pc.binary_length(stems).to_numpy()) > 0)[0]
+        behind = [w[len(w.rstrip(CLOSING)):] for w in words.take(pa.array(cut)).to_pylist()]
+        tails = ["", *dict.fromkeys(behind)]
+        number = {t: k for k, t in enumerate(tails)}
+        stems = stems.dictionary_encode()
+        codes = np.stack([stems.indices.to_numpy().astype(np.int64), np.full(len(words), len(stems.dictionary))], axis=1)
+        codes[cut, 1] += np.array([number[t] for t in behind], np.int64)
+        return codes, [*stems.dictionary.to_pylist(), *tails]
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each closed by `end_id`, and how many each has: those
