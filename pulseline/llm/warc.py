@@ -9,12 +9,18 @@ An audit compares roots and descends, level by level, only below nodes that diff
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pulseline.llm.common import stored
 
 #: Ends every record in the format; the text writer puts it after each row.
 END = "\r\n\r\n"
+FIRST_LINE = rb"WARC/1\.1\r\n"
 FANOUT, VOLUME_LEVELS = 16, 3
 VOLUME_RECORDS = FANOUT**VOLUME_LEVELS
 
@@ -73,26 +79,49 @@ def manifest(records: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def records_in(volume: bytes) -> Iterator[tuple[int, int, str]]:
+    """Start, length with the end mark, and SHA-256 of every record of a volume.
+
+    Every place that a record's first line stands at is tried, whatever stands before it, so damage
+    of one record hides no other. A page that quotes whole records gives them too; they meet no
+    offset range of a manifest.
+    """
+    for first in re.finditer(FIRST_LINE, volume):
+        start = first.start()
+        head = volume.find(b"\r\n\r\n", start)
+        size = head >= 0 and re.search(rb"\r\nContent-Length: (\d{1,18})(?:\r\n|$)", volume[start:head])
+        if size:
+            end = head + 4 + int(size[1])
+            if end <= len(volume):
+                yield start, end + len(END) - start, hashlib.sha256(memoryview(volume)[start:end]).hexdigest()
+
+
+def cut_volumes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for task, file, content in zip(*(batch[name] for name in ("task", "file", "content"))):
+            found = list(records_in(content.as_py()))
+            starts, lengths, digests = zip(*found) if found else ((), (), ())
+            n = len(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.repeat(task, n), pa.repeat(file, n), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()),
+                 pa.array(digests, pa.string())], names=["task", "file", "start", "length", "digest"])
+
+
 def read_leaves(spark: SparkSession, path: str, book: DataFrame) -> DataFrame:
-    """Stored: volume, position, digest of a replica's files, cut at a manifest's offset ranges.
+    """Stored: volume, position, digest of a replica's records at a manifest's offset ranges.
 
-    A range beyond a file's end, or a missing file, gives the digest of what is there.
+    Each volume is cut where it is read, and only places and digests are shuffled. A sound range
+    always shows, because its own bytes name its length; a range at which the replica has no record
+    of that length (damaged, cut off, missing file) has no row, which the tree shows as a missing child.
     """
     name = r"part-(\d+)-.*-c(\d+)"
     files = spark.read.format("binaryFile").load(path).select(
         F.regexp_extract("path", name, 1).cast("long").alias("task"),
         F.regexp_extract("path", name, 2).cast("long").alias("file"), "content",
     )
-    ranges = book.groupBy("task", "file", "volume").agg(
-        F.sort_array(F.collect_list(F.struct("position", "start", "length"))).alias("ranges")
-    )
-    # the inner array hands the content over by reference; read as a column it would be copied per record
-    cut = ranges.join(files, ["task", "file"], "left").select("volume", F.expr(f"""
-        transform(array(coalesce(content, X'')), c -> transform(ranges, r -> struct(r.position AS position,
-            sha2(substring(c, CAST(r.start + 1 AS INT), CAST(r.length - {len(END)} AS INT)), 256) AS digest)))[0]
-    """).alias("leaves"))
-    each = cut.select("volume", F.explode("leaves").alias("leaf"))
-    return stored(each.select("volume", "leaf.position", "leaf.digest"), "warc-leaves")
+    found = files.mapInArrow(cut_volumes, "task long, file long, start long, length long, digest string")
+    places = book.select("task", "file", "start", "length", "volume", "position")
+    return stored(places.join(found, ["task", "file", "start", "length"]).select("volume", "position", "digest"), "warc-leaves")
 
 
 def levels(book: DataFrame) -> int:

@@ -1,5 +1,6 @@
 import glob
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -50,6 +51,31 @@ def test_volumes_are_warc_files(spark):
     assert sum(r.length for r in book) == len(raw)
 
 
+def test_damage_hides_no_other_record(spark):
+    """Lengths, first lines and end marks are damaged, bodies quote records, the file is cut: a record
+    shows exactly where the bytes of its offset range are whole."""
+    rng = random.Random(5)
+    quoted = "WARC/1.1\r\nContent-Length: {}\r\n\r\nabc"
+    rows = [(i, f"http://x/{i}", quoted.format(rng.randrange(3000)) * (i % 3) + "é" * (i % 40)) for i in range(80)]
+    source = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).cache()
+    book = warc.manifest(warc.numbered(source), "page_id").orderBy("start").collect()
+    path = volumes(spark, warc.numbered(source), "test-warc")
+    raw = open(glob.glob(path.removeprefix("file:") + "/*.txt")[0], "rb").read()
+    assert {(r.start, r.length, r.digest) for r in book} <= set(warc.records_in(raw))
+    for _ in range(200):
+        bad = bytearray(raw)
+        for _ in range(rng.randrange(1, 6)):
+            r = rng.choice(book)
+            line = raw.find(b"Content-Length: ", r.start) + 16
+            at = rng.choice((line, r.start, r.start + r.length - 1, rng.randrange(len(raw))))
+            bad[at] = rng.choice(b"0159W\r\n")
+        bad = bytes(bad[:rng.choice((len(raw), rng.randrange(len(raw))))])
+        found = {(start, length): digest for start, length, digest in warc.records_in(bad)}
+        for r in book:
+            whole = bad[r.start:r.start + r.length - 4] == raw[r.start:r.start + r.length - 4]
+            assert (found.get((r.start, r.length)) == r.digest) == whole
+
+
 def test_a_missing_volume_shows(spark):
     source = pages(spark, 20).coalesce(1).cache()
     book = warc.manifest(warc.numbered(source), "page_id")
