@@ -10,6 +10,8 @@ from pyspark.sql import functions as F, types as T
 
 from pulseline.config import PING_COLUMNS
 from pulseline.functions import columns as C
+from pulseline.operators import activity as act
+from pulseline.operators import activity_store as acts
 from pulseline.operators import geometry as geo
 from pulseline.operators import health, ml
 from pulseline.operators import scenario as sc
@@ -229,6 +231,51 @@ def _(d: Domain):
     return health.file_profile(d.raw_pings)
 
 
+# --- a growing archive ----------------------------------------------------------------------------------
+
+def _activity_store(d: Domain) -> str:
+    """A store that grew: the first half of the month, then the rest, then one day once more."""
+    archive, store = _archive(d), scratch_path(d.spark, "activity-store")
+    for first, last in ((None, "2024-01-15"), ("2024-01-16", None), ("2024-01-10", "2024-01-10")):
+        acts.refresh(d.spark, archive, store, first, last)
+    return store
+
+
+@query("route_activity_store", "SELECT * FROM c_activity")
+def _(d: Domain):
+    return act.route_activity(acts.read_cells(d.spark, _activity_store(d)))
+
+
+@query("daily_summary_store", "SELECT * FROM c_daily")
+def _(d: Domain):
+    return act.daily_summary(acts.read_cells(d.spark, _activity_store(d)))
+
+
+@query("vehicle_activity_store", "SELECT * FROM c_vehicles")
+def _(d: Domain):
+    return act.vehicle_activity(acts.read_cells(d.spark, _activity_store(d)))
+
+
+_EXACT = ("total_records", "days_active", "active_hours", "first_seen", "last_seen")
+
+
+@query("route_activity_sketched", f"""
+SELECT route_id, {', '.join(_EXACT)}, unique_vehicles, unique_trips, true AS vehicles_within, true AS trips_within FROM c_activity""")
+def _(d: Domain):
+    """Exact and estimated counts side by side: whether an estimate is within four standard errors."""
+    store = _activity_store(d)
+    exact = act.route_activity(acts.read_cells(d.spark, store)).select("route_id", "unique_vehicles", "unique_trips")
+    guess = acts.sketched(acts.read_sketches(d.spark, store), "route_id").withColumnsRenamed(
+        {"unique_vehicles": "about_vehicles", "unique_trips": "about_trips"})
+
+    def within(kind: str):
+        off = F.abs(F.col(f"about_{kind}") - F.col(f"unique_{kind}"))
+        return (off <= F.greatest(F.col(f"unique_{kind}") * (4 * acts.SKETCH_ERROR), F.lit(0.5))).alias(f"{kind}_within")
+
+    return guess.join(exact, "route_id").select(
+        "route_id", *_EXACT, "unique_vehicles", "unique_trips", within("vehicles"), within("trips"))
+
+
 # --- streaming -----------------------------------------------------------------------------------------
 
 def _stream(d: Domain):
