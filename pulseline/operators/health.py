@@ -8,21 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pulseline.config import FRESH_MINUTES, PING_COLUMNS
 from pulseline.functions import columns as C
-from pulseline.sources.files import file_audit
+from pulseline.sources.files import file_audit, tolerant_load
 
 
 def file_health(spark: SparkSession, path: str, expected: Sequence[str] = PING_COLUMNS) -> DataFrame:
     """One row per file: footer facts joined with content facts and an OK / WARN / FAIL status.
 
-    Footers come from the audit (no data read); content facts come from one grouped scan that
-    skips damaged files. Duplicates are counted as rows minus distinct (vehicle, report time),
+    Footers come from the audit (no data read); content facts come from one grouped scan under the
+    contract schema that skips damaged files. Duplicates are counted as rows minus distinct (vehicle, report time),
     which spreads a hot file over all tasks by the distinct value.
     """
     facts = file_audit(spark, path)
-    data = (
-        spark.read.option("ignoreCorruptFiles", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.parquet").option("mergeSchema", True).parquet(path)
-    )
+    data = tolerant_load(spark, path)
     present = [c for c in expected if c in data.columns]
     pair = F.struct(*[c for c in ("vehicle_id", "api_vehicle_timestamp") if c in data.columns])
     nulls = [C.rnd(F.avg(F.col(c).isNull().cast("int")) * 100.0).alias(f"null_pct_{c}") for c in present]
@@ -85,8 +82,8 @@ def files_per_hour(files: DataFrame) -> DataFrame:
 
 
 def all_dates_status(files: DataFrame, first: str, last: str) -> DataFrame:
-    """Per date folder of a range: files, valid, corrupt, rows and time span; absent dates stay listed."""
-    day = F.to_date(F.nullif(F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})/[^/]*$", 1), F.lit("")))
+    """Per date folder (at any depth) of a range: files, valid, corrupt, rows and time span; absent dates stay listed."""
+    day = F.to_date(F.nullif(F.regexp_extract("path", r".*[/=](\d{4}-\d{2}-\d{2})/", 1), F.lit("")))
     per = files.withColumn("date", day).groupBy("date").agg(
         F.count(F.lit(1)).alias("total_files"), F.count_if("readable").alias("valid_files"),
         F.count_if(~F.col("readable")).alias("corrupted_files"), F.sum("row_count").alias("total_rows"),

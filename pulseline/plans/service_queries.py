@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, types as T
 
-from pulseline.config import PING_COLUMNS
+from pulseline.config import FRESH_MINUTES, PING_COLUMNS
 from pulseline.functions import columns as C
 from pulseline.operators import activity as act
 from pulseline.operators import activity_store as acts
@@ -18,7 +18,7 @@ from pulseline.operators import scenario as sc
 from pulseline.operators import scoring as sco
 from pulseline.operators.spacing import CORRIDOR_KEYS
 from pulseline.plans.domain import BOUND_SHAPE_KM, Domain
-from pulseline.plans.registry import query, r
+from pulseline.plans.registry import cte, div, query, r
 from pulseline.session import scratch_path
 from pulseline.sources import files, sinks
 from pulseline.streaming import jobs
@@ -63,16 +63,53 @@ def _(d: Domain):
     return files.scan_partitions(d.spark, _drifting_archive(d), "2024-01-13", "2024-01-17")
 
 
+_CUT, _EMPTY = "2024-01-10", "2024-01-11"  # days with one more file, damaged or of zero bytes
+
+
+def _cycle_archive(d: Domain) -> str:
+    """An archive with one file per collection cycle, a damaged and an empty one; cycles before
+    _DRIFT lack a bearing."""
+    path = scratch_path(d.spark, "cycles")
+    day, cycle = F.date_format("collection_timestamp", "yyyy-MM-dd"), F.hour("collection_timestamp")
+    dated = d.raw_pings.select(*PING_COLUMNS, day.alias("date"), cycle.alias("cycle")).repartition("date", "cycle")
+    early = F.col("date") < _DRIFT
+    for part in (dated.where(early).drop("bearing"), dated.where(~early)):
+        part.write.mode("append").partitionBy("date", "cycle").parquet(path)
+    sinks.write_bytes(d.spark, f"{path}/date={_CUT}/cut.parquet", b"PAR1 and no more of it")
+    sinks.write_bytes(d.spark, f"{path}/date={_EMPTY}/empty.parquet", b"")
+    return path
+
+
+_PER_FILE = ", ".join(r(f"avg(CASE WHEN {_BOUND.get(c, c) if c == 'bearing' else c} IS NULL THEN 1e0 ELSE 0e0 END) * 1e2")
+                      + f" AS null_pct_{c}" for c in PING_COLUMNS)
+_DAMAGED = ", ".join(f"NULL AS {c}" for c in (
+    "earliest_timestamp", "latest_timestamp", "unique_routes", *(f"null_pct_{c}" for c in PING_COLUMNS)))
+_ALL_MISSING = ",".join(PING_COLUMNS)
+_WIDEST = ", ".join(f"null_pct_{c}" for c in PING_COLUMNS)
+cte("c_files", f"""
+SELECT date, size, is_parquet, readable, row_count, duplicate_count, earliest_timestamp, latest_timestamp, unique_routes,
+  {_WIDEST}, missing_columns, CASE WHEN missing_columns <> '' THEN 'FAIL'
+    WHEN duplicate_count > 0 OR greatest({_WIDEST}) > 5e1 THEN 'WARN' ELSE 'OK' END AS status
+FROM (
+  SELECT date, 1 AS size, true AS is_parquet, true AS readable, count(*) AS row_count,
+    count(*) - count(DISTINCT (vehicle_id, api_vehicle_timestamp)) AS duplicate_count,
+    min(collection_timestamp) AS earliest_timestamp, max(collection_timestamp) AS latest_timestamp,
+    count(DISTINCT route_id) AS unique_routes, {_PER_FILE}, CASE WHEN date < '{_DRIFT}' THEN 'bearing' ELSE '' END AS missing_columns
+  FROM c_timed GROUP BY date, hour
+  UNION ALL SELECT '{_CUT}', 1, false, false, 0, 0, {_DAMAGED}, '{_ALL_MISSING}'
+  UNION ALL SELECT '{_EMPTY}', 0, false, false, 0, 0, {_DAMAGED}, '{_ALL_MISSING}')""")
+
+
 @query("load_report", f"""
-SELECT count(DISTINCT date) > 0 AS has_files, true AS all_loaded, count(DISTINCT date) FILTER (date < '{_DRIFT}') > 0 AS some_without_bearing
-FROM c_timed""")
-def _(d: Domain):
-    # the number of files depends on the writing tasks, so only what does not is compared
-    report = files.load_report(d.spark, _drifting_archive(d))
-    return report.select(
-        (F.col("files") > 0).alias("has_files"), (F.col("skipped_files") == 0).alias("all_loaded"),
-        (F.col("without_bearing") > 0).alias("some_without_bearing"),
-    )
+SELECT count(*) FILTER (size > 0) AS files, count(*) FILTER (readable) AS loaded_files, count(*) FILTER (size > 0 AND NOT readable) AS skipped_files,
+  {', '.join(f"count(*) FILTER (null_pct_{c} = 100) AS without_{c}" for c in PING_COLUMNS)} FROM c_files""")
+def _(d: Domain):
+    return files.load_report(d.spark, _cycle_archive(d))
+
+
+@query("skipped_files", "SELECT 'cut.parquet' AS file_name, 22 AS size_bytes UNION ALL SELECT 'empty.parquet', 0 FROM (SELECT count(*) FROM events)")
+def _(d: Domain):
+    return files.skipped_files(d.spark, _cycle_archive(d))
 
 
 # --- sources and sinks -----------------------------------------------------------------------------
@@ -90,7 +127,7 @@ def _(d: Domain):
     return files.tolerant_load(d.spark, _archive(d)).select("entity_id", "vehicle_id", "latitude", "longitude")
 
 
-@query("with_source_file")
+@query("with_source_file", "SELECT 'events.parquet' AS source_file, count(*) AS row_count FROM events")
 def _(d: Domain):
     events = files.with_source_file(d.tables.base("events"))
     return events.groupBy("source_file").agg(F.count(F.lit(1)).alias("row_count"))
@@ -186,37 +223,69 @@ def _(d: Domain):
     return files.file_magic_audit(d.spark, _archive(d))
 
 
-@query("sample_per_file")
+@query("sample_per_file", """
+SELECT entity_id, route_id, latitude, longitude FROM (
+  SELECT *, row_number() OVER (PARTITION BY date, hour ORDER BY md5(entity_id), entity_id) AS place,
+    (SELECT count(DISTINCT (date, hour)) FROM c_timed) AS files FROM c_timed)
+WHERE place <= greatest(1, 5000 // files) AND latitude IS NOT NULL AND longitude IS NOT NULL""")
 def _(d: Domain):
-    df = d.spark.read.parquet(_archive(d))
+    df = files.tolerant_load(d.spark, _cycle_archive(d))
     return files.sample_per_file(df, ["entity_id"], target=5000).select("entity_id", "route_id", "latitude", "longitude")
 
 
-@query("sample_cap")
+@query("sample_cap", """
+SELECT event_id, latitude, longitude FROM (SELECT * FROM c_pings ORDER BY md5(CAST(event_id AS VARCHAR)), event_id LIMIT 500)""")
 def _(d: Domain):
     return files.sample_cap(d.raw_pings, ["event_id"], 500).select("event_id", "latitude", "longitude")
 
 
 # --- health ---------------------------------------------------------------------------------------------
 
-@query("file_health")
+def _cycle_health(d: Domain):
+    return health.file_health(d.spark, _cycle_archive(d))
+
+
+_SPAN = "CAST(earliest_timestamp AS VARCHAR) AS earliest_timestamp, CAST(latest_timestamp AS VARCHAR) AS latest_timestamp"
+
+
+@query("file_health", f"SELECT * EXCLUDE (date, size) REPLACE ({_SPAN}) FROM c_files")
 def _(d: Domain):
-    return health.file_health(d.spark, _archive(d)).drop("path")
+    # names and sizes depend on the writer
+    return _cycle_health(d).drop("path", "file_name", "size_bytes")
 
 
-@query("pipeline_health")
+@query("pipeline_health", f"""
+SELECT *, {r(div('total_rows', 'valid_files'), 1)} AS avg_rows_per_file,
+  {r(f"(epoch_us(TIMESTAMP '{NOW}') / 1e6 - epoch_us(CAST(latest_timestamp AS TIMESTAMP)) / 1e6) / 6e1", 1)} AS freshness_minutes,
+  CASE WHEN epoch_us(TIMESTAMP '{NOW}') - epoch_us(CAST(latest_timestamp AS TIMESTAMP)) <= {FRESH_MINUTES} * 60000000 THEN 'FRESH' ELSE 'STALE' END AS freshness_status
+FROM (SELECT count(*) AS total_files, count(*) FILTER (ok) AS valid_files, count(*) FILTER (NOT ok) AS failed_files,
+    count(*) FILTER (status = 'WARN') AS warned_files, count(*) FILTER (size = 0) AS empty_files,
+    count(*) FILTER (size > 0 AND NOT readable) AS corrupted_files, CAST(sum(row_count) FILTER (ok) AS BIGINT) AS total_rows,
+    CAST(sum(duplicate_count) AS BIGINT) AS total_duplicates, CAST(min(earliest_timestamp) FILTER (ok) AS VARCHAR) AS earliest_timestamp,
+    CAST(max(latest_timestamp) FILTER (ok) AS VARCHAR) AS latest_timestamp, max(unique_routes) FILTER (ok) AS max_routes_in_file,
+    {', '.join(r(f'avg(null_pct_{c}) FILTER (ok)') + f' AS avg_null_pct_{c}' for c in PING_COLUMNS)}
+  FROM (SELECT *, status <> 'FAIL' AS ok FROM c_files))""")
 def _(d: Domain):
-    return health.pipeline_health(health.file_health(d.spark, _archive(d)), F.lit(NOW).cast("timestamp"))
+    # names and sizes depend on the writer
+    return health.pipeline_health(_cycle_health(d), F.lit(NOW).cast("timestamp")).drop(
+        "largest_file", "largest_file_bytes", "smallest_file", "smallest_file_bytes")
 
 
-@query("files_per_hour")
+@query("files_per_hour", """
+SELECT strftime(latest_timestamp, '%Y-%m-%d %H:00') AS hour, count(*) AS files FROM c_files WHERE status <> 'FAIL' GROUP BY 1""")
 def _(d: Domain):
-    return health.files_per_hour(health.file_health(d.spark, _archive(d)))
+    return health.files_per_hour(_cycle_health(d))
 
 
-@query("all_dates_status")
+@query("all_dates_status", """
+SELECT strftime(day, '%Y-%m-%d') AS date, coalesce(total_files, 0) AS total_files, coalesce(valid_files, 0) AS valid_files,
+  coalesce(corrupted_files, 0) AS corrupted_files, coalesce(total_rows, 0) AS total_rows, earliest_record, latest_record, total_files IS NULL AS is_missing
+FROM (SELECT unnest(generate_series(TIMESTAMP '2023-12-30', TIMESTAMP '2024-02-01', INTERVAL 1 DAY)) AS day) d
+LEFT JOIN (SELECT date, count(*) AS total_files, count(*) FILTER (readable) AS valid_files, count(*) FILTER (NOT readable) AS corrupted_files,
+    CAST(sum(row_count) AS BIGINT) AS total_rows, CAST(min(earliest_timestamp) AS VARCHAR) AS earliest_record,
+    CAST(max(latest_timestamp) AS VARCHAR) AS latest_record FROM c_files GROUP BY date) f ON strftime(day, '%Y-%m-%d') = f.date""")
 def _(d: Domain):
-    return health.all_dates_status(health.file_health(d.spark, _archive(d)), "2023-12-30", "2024-02-01")
+    return health.all_dates_status(_cycle_health(d), "2023-12-30", "2024-02-01")
 
 
 _PROFILE = " UNION ALL ".join(

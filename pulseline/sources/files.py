@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from pulseline.config import PING_COLUMNS
 from pulseline.functions.joins import with_scalars
@@ -173,43 +173,56 @@ def _open_store(path: str):
     return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/"), "file:"
 
 
-def _list_files(batches):
-    """All files below each given folder, empty ones included; hidden names are left out."""
-    import pandas as pd
-    from pyarrow import fs
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """Every visible file below a path: path (a URI) and size_bytes, from Spark's own file listing.
 
-    for pdf in batches:
-        rows = []
-        for path in pdf["path"]:
-            store, key, prefix = _open_store(path)
-            info = store.get_file_info(key)
-            found = [info] if info.is_file else store.get_file_info(fs.FileSelector(key, recursive=True))
-            rows += [(prefix + f.path, int(f.size)) for f in found
-                     if f.is_file and not f.base_name.startswith(("_", "."))]
-        yield pd.DataFrame(rows, columns=["path", "length"])
+    No file is opened. Spark's tables leave zero-byte files out, and its listing has them: files of the
+    listing without a row are those of size 0. The names are what Spark's driver holds for any scan.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    names = spark.createDataFrame([(p,) for p in listed.inputFiles()], "path string")
+    sized = listed.select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("size_bytes"))
+    plain = F.regexp_replace("path", "^file:/+", "file:///")
+    return names.withColumn("path", plain).join(sized.withColumn("path", plain), "path", "left").select(
+        "path", F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"))
 
 
 def _footers(batches):
-    """Open each listed file far enough to see its magic bytes and footer, never its data."""
+    """Read the first and last bytes of each file, never its data. What cannot be read is an error;
+    bytes that are no footer make a file unreadable as Parquet."""
+    import io
+    import urllib.parse
+
     import pandas as pd
+    import pyarrow as pa
     from pyarrow import parquet as pq
 
+    def footer(path, size):
+        store, key, _ = _open_store(urllib.parse.unquote(path))
+        with store.open_input_file(key) as f:
+            head, tail = f.read(4), b""
+            if size >= 8:
+                f.seek(size - 8)
+                tail = f.read(8)
+                length = int.from_bytes(tail[:4], "little")
+                if head == tail[4:] == b"PAR1" and length <= size - 12:
+                    f.seek(size - 8 - length)
+                    return True, f.read(length + 8)
+            return head == b"PAR1" == tail[4:], None
+
     for pdf in batches:
         rows = []
-        for path, size in zip(pdf["path"], pdf["length"]):
-            magic, readable, n, cols = False, False, 0, []
-            try:
-                store, key, _ = _open_store(path)
-                with store.open_input_file(key) as f:
-                    head = f.read(4)
-                    if size >= 8:
-                        f.seek(size - 4)
-                        magic = head == b"PAR1" and f.read(4) == b"PAR1"
-                    meta = pq.ParquetFile(f)
-                    readable, n, cols = True, meta.metadata.num_rows, meta.schema_arrow.names
-            except Exception:  # noqa: BLE001 - any failure means: not readable as Parquet
-                pass
-            rows.append((path, path.rsplit("/", 1)[-1], int(size), magic, readable, int(n), list(cols)))
+        for path, size in zip(pdf["path"], pdf["size_bytes"]):
+            magic, raw = footer(path, size) if size else (False, None)
+            n, cols, readable = 0, [], False
+            if raw is not None:
+                try:
+                    meta = pq.read_metadata(io.BytesIO(b"PAR1" + raw))
+                    n, cols, readable = meta.num_rows, meta.schema.to_arrow_schema().names, True
+                except (pa.ArrowException, OSError):  # the bytes at hand are no footer
+                    pass
+            name = urllib.parse.unquote(path.rsplit("/", 1)[-1])
+            rows.append((path, name, int(size), magic, readable, int(n), list(cols)))
         yield pd.DataFrame(rows, columns=["path", "file_name", "size_bytes", "is_parquet", "readable",
                                           "row_count", "columns"])
 
@@ -217,20 +230,13 @@ def _footers(batches):
 def file_audit(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
     """Every file under a path: size, Parquet magic, readable footer, rows and columns.
 
-    The driver names only the first-level folders (one per date). Tasks list them, the files are
-    spread evenly over tasks, and each task reads magic bytes and footers. Spark's own file
-    sources leave zero-byte files out of a listing, and those are exactly what an audit must see.
+    Names and sizes come from Spark's listing; the files are spread evenly over tasks, which read
+    magic bytes and footers. Only bytes that are no footer count as damage; a file that cannot be
+    opened or read fails the audit.
     """
-    from pyarrow import fs
-
-    store, key, prefix = _open_store(path)
-    tops = [(prefix + f.path,) for f in store.get_file_info(fs.FileSelector(key, recursive=False))]
-    n = tasks or spark.sparkContext.defaultParallelism
-    folders = spark.createDataFrame(tops, "path string").repartition(n)
-    listed = folders.mapInPandas(_list_files, "path string, length bigint").repartition(n)
     schema = ("path string, file_name string, size_bytes bigint, is_parquet boolean, readable boolean, "
               "row_count bigint, columns array<string>")
-    return listed.mapInPandas(_footers, schema)
+    return list_files(spark, path).repartition(tasks or spark.sparkContext.defaultParallelism).mapInPandas(_footers, schema)
 
 
 def file_magic_audit(spark: SparkSession, path: str) -> DataFrame:
@@ -238,16 +244,20 @@ def file_magic_audit(spark: SparkSession, path: str) -> DataFrame:
     return file_audit(spark, path).select("file_name", "size_bytes", "is_parquet")
 
 
+def _key_hash(key: Sequence[str]) -> Column:
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]).cast("binary"))
+
+
 def sample_per_file(df: DataFrame, key: Sequence[str], target: int = 5000, salts: int = 64) -> DataFrame:
     """At most max(1, target / files) rows of every file, chosen by a fixed hash of the row.
 
-    The smallest hashes win, first within salted slices of a file and then among the survivors, so
+    The smallest MD5 values of the key's text win, first within salted slices of a file and then among the survivors, so
     one huge file is not ranked in a single task. Rows without a position are dropped afterwards.
     """
     tagged = with_source_file(df, "__file") if "__file" not in df.columns else df
     n_files = max(1, tagged.select("__file").distinct().count())
     keep = max(1, math.floor(target / n_files))
-    hashed = tagged.withColumn("__h", F.xxhash64(F.lit(42), *key)).withColumn("__s", F.pmod("__h", F.lit(salts)))
+    hashed = tagged.withColumn("__h", _key_hash(key)).withColumn("__s", F.pmod(F.xxhash64("__h"), F.lit(salts)))
     order = [F.col("__h"), *[F.col(k) for k in key]]
     first = F.row_number().over(Window.partitionBy("__file", "__s").orderBy(*order))
     second = F.row_number().over(Window.partitionBy("__file").orderBy(*order))
@@ -259,5 +269,5 @@ def sample_per_file(df: DataFrame, key: Sequence[str], target: int = 5000, salts
 
 
 def sample_cap(df: DataFrame, key: Sequence[str], n: int) -> DataFrame:
-    """At most n rows, the ones with the smallest fixed hash (a per-task top-n, then a merge)."""
-    return df.orderBy(F.xxhash64(F.lit(42), *key), *key).limit(n)
+    """At most n rows, the ones with the smallest MD5 of the key's text (a per-task top-n, then a merge)."""
+    return df.orderBy(_key_hash(key), *key).limit(n)

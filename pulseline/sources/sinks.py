@@ -104,6 +104,14 @@ class _Store:
         return "\n".join(r[0] for r in spark.read.text(name).collect())
 
 
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """One small file with the given bytes."""
+    store = _Store(spark, path)
+    out = store.fs.create(store.path(path), True)
+    out.write(bytearray(content))
+    out.close()
+
+
 def publish_version(
     df: DataFrame, root: str, required: Sequence[str], mode: str = "overwrite", expected_rows: int | None = None, keep: int = 2,
 ) -> dict[str, int]:

@@ -188,17 +188,42 @@ def test_file_health_statuses(spark, folder):
     only = h.where(F.col("file_name").endswith(".parquet"))
     p = health.pipeline_health(only, F.lit("2026-05-20 09:03:00").cast("timestamp")).first()
     assert (p.total_files, p.valid_files, p.empty_files, p.corrupted_files, p.total_duplicates) == (5, 2, 1, 1, 1)
+    assert {p.largest_file, p.smallest_file} == {rows["ok"].file_name, rows["dup"].file_name}
     assert (p.freshness_status, p.freshness_minutes, p.total_rows) == ("FRESH", 3.0, 5)
     assert health.pipeline_health(only.where("false"), F.current_timestamp()).first().freshness_status == "UNKNOWN"
     skipped = {r.file_name for r in files.skipped_files(spark, folder).collect()}
     assert {"broken.parquet", "zero.parquet"} <= skipped
 
 
+def test_audit_tells_damage_from_empty_files(spark, folder):
+    """Names with spaces and signs, files cut or altered at every kind of place, files that are no table."""
+    root = folder + "/with space+plus"
+    spark.range(50).selectExpr("id", "concat('v', id) AS v").coalesce(1).write.parquet(root + "/whole")
+    whole = next(f"{root}/whole/{p}" for p in os.listdir(root + "/whole") if p.endswith(".parquet"))
+    raw = open(whole, "rb").read()
+    length = int.from_bytes(raw[-8:-4], "little")
+    garbled = raw[:-8 - length] + bytes(255 - b for b in raw[-8 - length:-8]) + raw[-8:]
+    made = {"zero": b"", "tiny": b"PAR1", "two": b"PAR1PAR1", "cut": raw[: len(raw) // 2], "headless": b"XXXX" + raw[4:],
+            "garbled": garbled, "long": raw[:-8] + b"\xff\xff\xff\x7fPAR1", "50% off": raw, "text": b"hello, this is text"}
+    for name, content in made.items():
+        with open(f"{root}/{name}", "wb") as f:
+            f.write(content)
+    got = {r.file_name: r for r in files.file_audit(spark, root).collect()}
+    assert got.keys() == made.keys() | {os.path.basename(whole)}
+    assert {k for k, r in got.items() if r.readable} == {"50% off", os.path.basename(whole)}
+    assert {k for k, r in got.items() if r.is_parquet} == {"50% off", os.path.basename(whole), "two", "garbled", "long"}
+    assert all(got[k].size_bytes == len(v) for k, v in made.items())
+    assert (got["50% off"].row_count, got["50% off"].columns) == (50, ["id", "v"])
+    assert {r.file_name for r in files.skipped_files(spark, root).collect()} == made.keys() - {"50% off"}
+
+
 def test_dates_without_files_stay_listed(spark):
     f = spark.createDataFrame([("x/2026-05-19/a.parquet", True, 5)], "path string, readable boolean, row_count bigint").withColumns(
         {"earliest_timestamp": F.lit(T).cast("timestamp"), "latest_timestamp": F.lit(T).cast("timestamp")})
     got = [(str(r.date), r.total_files, r.is_missing) for r in health.all_dates_status(f, "2026-05-18", "2026-05-19").orderBy("date").collect()]
     assert got == [("2026-05-18", 0, True), ("2026-05-19", 1, False)]
+    nested = f.withColumn("path", F.lit("file:///2020-01-01/date=2026-05-19/cycle=4/a.parquet"))
+    assert health.all_dates_status(nested, "2026-05-19", "2026-05-19").first().total_files == 1
 
 
 def test_sample_is_bounded_and_repeatable(spark, folder):
