@@ -69,12 +69,12 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Stored: id, text, node (128-bit digest of the shingle set; null without words), bands, sig
+    """Stored: id, text, mark (unique), node (128-bit digest of the shingle set; null without words), bands, sig
     (the low 16 bits of each MinHash value)."""
     import xxhash
 
     kind = dict(docs.dtypes)[key]
-    schema = f"id {kind}, text string, node binary, bands array<long>, sig binary"
+    schema = f"id {kind}, text string, mark long, node binary, bands array<long>, sig binary"
     weights = mix(np.arange(1, VALUES + 1, dtype=np.uint64) ^ np.uint64(0xC2B2AE3D27D4EB4F)).reshape(BANDS, ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,11 +92,12 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
                         node[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
                         bands[i], sig[i] = keys[row], short[row].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [part["id"], part["text"], pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
-                     pa.array(sig, pa.binary())], names=["id", "text", "node", "bands", "sig"],
+                    [part["id"], part["text"], part["mark"], pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
+                     pa.array(sig, pa.binary())], names=["id", "text", "mark", "node", "bands", "sig"],
                 )
 
-    return stored(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema), "jaccard-sketch")
+    marked = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("mark"))
+    return stored(marked.mapInArrow(run, schema), "jaccard-sketch")
 
 
 def in_blocks(members: DataFrame, group: str, n: str) -> DataFrame:
@@ -307,14 +308,15 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = sketch(docs, key, text)
     nodes = stored(
         rows.filter("node is not null").groupBy("node").agg(
-            F.count("*").alias("docs"), F.min("id").alias("least"), F.first("bands").alias("bands"), F.first("sig").alias("sig"),
+            F.count("*").alias("docs"), F.min("id").alias("least"), F.min("mark").alias("mark"), F.first("bands").alias("bands"), F.first("sig").alias("sig"),
         ), "jaccard-nodes",
     )
     found = components(candidate_edges(nodes))
     sizes = found.groupBy("root").agg(F.count("*").alias("n"))
+    # One row stands for a node, and its mark fetches the text: copies of one text never meet in a task.
     # The side grows with the corpus, so it is never broadcast, on small inputs either.
-    texts = rows.join(found.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    members = found.join(sizes, "root").join(nodes.select("node", "docs", "sig"), "node").join(texts, "node")
+    members = found.join(sizes, "root").join(nodes.select("node", "docs", "sig", "mark"), "node")
+    members = rows.select("mark", "text").join(members.hint("merge"), "mark").drop("mark")
     links = stored(verified(members), "jaccard-links")
     split = links.filter("blocks > 1 AND node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
     joined = components(split)
@@ -328,9 +330,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     named = classed.join(classed.groupBy("class").agg(F.min("least").alias("class_id")), "class").select(
         "node", "class_id", (F.col("docs") - 1 + F.coalesce("linked", F.lit(0))).alias("_links"), F.coalesce("texts", F.lit(0)).alias("_texts"),
     )
-    return rows.select("id", "node").join(named, "node", "left").select(
-        F.col("id").alias(key),
-        F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("_texts", F.lit(0)).cast("long").alias("n_text_links"),
-    )
+    # Rows without words join nothing; all their null nodes would be one partition.
+    blank = rows.filter("node is null").select(F.col("id").alias(key), F.col("id").alias("class_id"), *(
+        F.lit(0).cast("long").alias(n) for n in ("n_links", "n_text_links")))
+    return rows.filter("node is not null").select("id", "node").join(named, "node").select(
+        F.col("id").alias(key), "class_id", F.col("_links").cast("long").alias("n_links"), F.col("_texts").cast("long").alias("n_text_links"),
+    ).unionByName(blank)

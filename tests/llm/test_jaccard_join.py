@@ -59,6 +59,16 @@ def test_near_copies_in_blocks(make_docs, monkeypatch):
     check(make_docs(rows), rows)
 
 
+def test_a_third_of_all_rows_is_one_text(make_docs):
+    """Copies of one text with near copies, as many rows without words, and null ids among both."""
+    words = [f"h{i}" for i in range(50)]
+    near = [" ".join(["edit", *words[1:]]), " ".join([*words[:-1], "edit"])]
+    rows = [(k if k % 9 else None, " ".join(words)) for k in range(100)]
+    rows += [(1000 + k if k % 9 else None, (None, "", " \n")[k % 3]) for k in range(100)]
+    rows += [(2000 + k, near[k % 2]) for k in range(4)] + [(3000 + k, f"alone {k} of many") for k in range(96)]
+    check(make_docs(rows), rows)
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     for n, least in j.least_matches():
         assert least <= 0.8 * n  # the expected number of equal values is never cut
