@@ -254,7 +254,8 @@ def sample_per_file(df: DataFrame, key: Sequence[str], target: int = 5000, salts
     The smallest MD5 values of the key's text win, first within salted slices of a file and then among the survivors, so
     one huge file is not ranked in a single task. Rows without a position are dropped afterwards.
     """
-    tagged = with_source_file(df, "__file") if "__file" not in df.columns else df
+    # one task gives its files in several folders the same name, so a file is told by its path
+    tagged = df.withColumn("__file", F.col("_metadata.file_path")) if "__file" not in df.columns else df
     n_files = max(1, tagged.select("__file").distinct().count())
     keep = max(1, math.floor(target / n_files))
     hashed = tagged.withColumn("__h", _key_hash(key)).withColumn("__s", F.pmod(F.xxhash64("__h"), F.lit(salts)))
