@@ -396,21 +396,22 @@ def _(d: Domain):
 
 
 def _late_files(d: Domain):
-    """The pings as a stream of three files, one to a micro-batch: the first and second half of the
-    days, and every 50th row late, in the last file."""
+    """The pings in three arrivals, after each of which the stream over all files so far comes out:
+    the first and second half of the days, and every 50th row late, in the last arrival."""
     path = scratch_path(d.spark, "late")
     part = F.when(F.col("event_id") % 50 == 0, 2).when(F.dayofmonth("collection_timestamp") > 15, 1).otherwise(0)
     pings = d.pings.withColumn("part", part)
-    for k in range(3):  # one write for each file, so that they have an order
-        pings.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(path)
-    return d.spark.readStream.schema(d.pings.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    for k in range(3):
+        pings.filter(F.col("part") == k).drop("part").write.mode("append").parquet(path)
+        yield d.spark.readStream.schema(d.pings.schema).parquet(path)
 
 
 @query("stream_bunching", "SELECT event_id, route_id, next_vehicle_id, distance_to_next_bus_km, bunching_severity FROM c_events")
 def _(d: Domain):
     job = jobs.bunching_job(BOUND_SHAPE_KM, "bound_dist_km", CORRIDOR_KEYS)
     sink, checkpoint = _places(d, "bunching")
-    jobs.upsert_slots(_late_files(d), job, f"{sink}-bronze", sink, checkpoint, slot="yyyy-MM-dd")
+    for stream in _late_files(d):  # each drained at once, as one micro-batch
+        jobs.upsert_slots(stream, job, f"{sink}-bronze", sink, checkpoint, slot="yyyy-MM-dd")
     return jobs.slot_results(d.spark, sink).select("event_id", "route_id", "next_vehicle_id", "distance_to_next_bus_km", "bunching_severity")
 
 

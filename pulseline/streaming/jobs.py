@@ -97,6 +97,16 @@ def bunching_job(length_km: float, distance: str, keys=spc.SNAPSHOT_KEYS) -> Cal
 
 #: Marks the row that says that a slot was computed, so that a slot without results is rewritten too.
 _SEEN = "_slot_only"
+#: A slot of a large micro-batch is written to bronze by up to so many tasks; adaptive execution joins small shares.
+SHARES = 16
+
+
+def by_slot(batch: DataFrame, slot: Column) -> DataFrame:
+    """The batch with its slot, moved so that the tasks that write it, which sort by slot, hold a
+    share of a slot each, however few files brought the batch."""
+    hashed = [f"`{f.name}`" for f in batch.schema.fields if "map<" not in f.dataType.simpleString()]
+    share = F.pmod(F.xxhash64(*hashed), F.lit(SHARES))
+    return batch.withColumns({"slot": slot, "_share": share}).hint("rebalance", "slot", "_share").drop("_share")
 
 
 def upsert_slots(
@@ -105,7 +115,7 @@ def upsert_slots(
 ) -> str:
     """Keep the results of a batch operator right for every slot of time that a micro-batch touches.
 
-    A micro-batch is first added to bronze, under its own number and its slots. Then the slots that
+    A micro-batch is first added to bronze, under its own number and its slots (see `by_slot`). Then the slots that
     it touched, and no others, are read whole from bronze, computed anew and written over the old
     ones. So results are there with the batch that brings the last row, a late row mends its slot,
     repeated rows stay, and a replayed batch writes the same again. A batch of live data touches a
@@ -117,7 +127,7 @@ def upsert_slots(
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         own = f"{bronze}/batch={batch_id}"
-        batch.withColumn("slot", name).write.mode("overwrite").partitionBy("slot").parquet(own)
+        by_slot(batch, name).write.mode("overwrite").partitionBy("slot").parquet(own)
         kept = spark.read.schema(f"{batch_schema}, batch string, slot string").parquet(bronze)
         touched = [r["slot"] for r in kept.filter(F.col("batch") == str(batch_id)).select("slot").distinct().collect()]
         rows = kept.filter(F.col("slot").isin(touched)).drop("batch", "slot")

@@ -411,6 +411,24 @@ def test_late_rows_mend_their_slot_and_the_open_tail_is_there(spark, folder):
     assert read_slots == [[8, 9], [-1, 10], [-1, 8, 9]]
 
 
+def test_bronze_spreads_the_rows_of_a_slot(spark, folder):
+    """One file brings a micro-batch in one task; tasks that sort and write it hold shares of a slot, however few slots."""
+    rows = [_at(i, 8, f"v{i}", i / 7) for i in range(4000)]
+    places = (folder + "/wide-bronze", folder + "/wide-sink", folder + "/wide-ck")
+    small = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    for name in small:
+        spark.conf.set(name, "8k")
+    try:
+        stream = _snapshot_files(spark, folder + "/wide", [rows])
+        jobs.upsert_slots(stream, lambda r: r.groupBy("collection_timestamp").agg(F.count(F.lit(1)).alias("n")), *places)
+    finally:
+        for name in small:
+            spark.conf.unset(name)
+    files = spark.read.parquet(places[0]).groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 1 and max(r["count"] for r in files) < 2000
+    assert [r.n for r in jobs.slot_results(spark, places[1]).collect()] == [4000]
+
+
 def test_newest_record_is_the_state(spark, folder):
     parts = [[_at(1, 8, "a", 1.0)], [_at(2, 11, "b", 1.2), _at(3, 9, "a", 5.0)], [_at(4, None, "b", 5.1)]]
     source = _snapshot_files(spark, folder + "/new", parts)
