@@ -12,12 +12,14 @@ its number. The vocabulary is never gathered or broadcast.
 
 Training. EM starts from a fixed random model, which no text chooses. Every round runs over all
 training texts: forward and backward passes give expected transition and emission counts, which are
-added up across partitions. Rounds follow until the gain in likelihood is below GAIN. Texts longer than RUN tokens
-are cut into runs; transfer matrices carry the forward and backward vectors from run to run, so the
-counts are those of the whole texts.
-
-Scoring. The scaled forward recursion over each whole text is exact. Texts longer than RUN tokens
-are cut into runs whose transfer matrices are multiplied in order, which is the same product.
+added up across partitions. Rounds follow until the gain in likelihood is below GAIN. The texts of a
+piece go forward and backward in lockstep, longest first, so a step is one product for all texts that
+still have a token. Where few texts are left (see `heads`), the rest is cut into runs of RUN tokens;
+transfer matrices carry the forward and backward vectors from run to run, so the counts are those of
+the whole texts.
+
+Scoring. The scaled forward recursion over each whole text is exact, by the same lockstep; the
+transfer matrices of runs are multiplied in order, which is the same product.
 """
 
 from __future__ import annotations
@@ -36,6 +38,13 @@ STATES, BUCKETS = 8, 65_536
 END = BUCKETS
 RUN = 64
 RUNS_AT_ONCE = 4096
+#: Texts go in lockstep while more than so many have a token; one step then costs less than transfer matrices.
+FEW = 64
+#: Tokens whose state vectors a task holds at once, and steps between two scalings.
+TOKENS_AT_ONCE = 1 << 19
+EACH = 4
+#: Rows of a table of counts that travel as one value.
+BLOCK = 1024
 #: Training ends when a round gains less than so much log likelihood a token.
 GAIN = 1e-3
 PIECE = 6 << 20
@@ -118,16 +127,107 @@ def normalised(start: np.ndarray, move: np.ndarray, emit: np.ndarray, corpus: np
     return Model((start + 0.1) / (start + 0.1).sum(), (move + 0.1) / (move + 0.1).sum(axis=1, keepdims=True), shares)
 
 
-def runs_of(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Texts cut into runs of RUN tokens, in order: tokens (runs x RUN, filled up with END), lengths,
-    whether a run begins its text, and runs per text."""
-    per = -(-np.diff(starts) // RUN)
+class Room:
+    """Arrays that a task uses again for each group of texts; fresh memory would cost more than the passes."""
+
+    def __init__(self):
+        self.kept: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, like: np.ndarray, n: int) -> np.ndarray:
+        """n rows for values like the given ones; what they hold is undefined."""
+        if len(self.kept.get(name, ())) < n:
+            self.kept[name] = np.empty((n, *like.shape[1:]), like.dtype)
+        return self.kept[name][:n]
+
+
+def heads(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Length of each text's head, the number of runs of RUN tokens that follow it, and the first
+    token of each run. Heads are whole texts, but for at most FEW whose rest is worth a run."""
+    n = np.diff(starts)
+    most = max(RUN, int(np.partition(n, -FEW - 1)[-FEW - 1]) if len(n) > FEW else 0)
+    per = np.maximum(0, (n - most) // RUN)
+    head = n - RUN * per
     place = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-    first = np.repeat(starts[:-1], per) + RUN * place
-    length = np.minimum(RUN, np.repeat(starts[1:], per) - first)
-    at = np.minimum(first[:, None] + np.arange(RUN), len(tokens) - 1)
-    table = np.where(np.arange(RUN) < length[:, None], tokens[at], END)
-    return table, length, place == 0, per
+    return head, per, np.repeat(starts[:-1] + head, per) + RUN * place
+
+
+def groups(length: np.ndarray, most: int) -> list[np.ndarray]:
+    """Numbers of texts, longest first, in groups of about `most` tokens."""
+    order = np.argsort(-length, kind="stable")
+    return np.split(order, np.nonzero(np.diff((np.cumsum(length[order]) - 1) // most))[0] + 1)
+
+
+def lockstep(first: np.ndarray, length: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """Tokens of texts, longest first, in lockstep: at each place, those of all texts that reach it.
+    Where each place begins, and the tokens' numbers."""
+    active = np.searchsorted(-length, -np.arange(length[0]))
+    begin = np.concatenate([[0], np.cumsum(active)])
+    text = np.arange(begin[-1]) - np.repeat(begin[:-1], active)
+    return begin.tolist(), first[text] + np.repeat(np.arange(len(active)), active)
+
+
+def forward(move: np.ndarray, emit: np.ndarray, begin: list[int], first: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Forward vectors of tokens in lockstep (into `share`), from those at the first place before
+    emission; log factor of each text. Every EACH places vectors are scaled to a sum of 1, and the
+    emissions with them, unless `share` is `emit`."""
+    log, ones, last = np.zeros(len(first)), np.ones((STATES, STATES), emit.dtype), 0
+    for t, (a, b) in enumerate(zip(begin, begin[1:])):
+        now = share[a:b]
+        np.multiply(share[last:last + b - a] @ move if t else first, emit[a:b], out=now)
+        if t % EACH == EACH - 1:
+            scale = now @ ones  # the sum in every column
+            now /= scale
+            log[:b - a] += np.log(scale[:, 0])
+            if share is not emit:
+                emit[a:b] /= scale
+        last = a
+    return log
+
+
+def backward(move: np.ndarray, emit: np.ndarray, begin: list[int], share: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Turn forward vectors into state shares, from the backward vectors at the texts' last tokens,
+    which it uses up. Sums for expected moves within the texts; `emit` then has backward times emission."""
+    moves, turned = np.zeros((STATES, STATES)), np.ascontiguousarray(move.T)
+    ones = np.ones((STATES, STATES), emit.dtype)
+    for t in range(len(begin) - 2, -1, -1):
+        a, b = begin[t], begin[t + 1]
+        now, own, weighted = back[:b - a], share[a:b], emit[a:b]
+        if t % (2 * EACH) == 0:  # against drift
+            now /= (own * now) @ ones
+        own *= now
+        weighted *= now
+        if t:
+            last = begin[t - 1]
+            moves += share[last:last + b - a].T @ weighted
+            np.matmul(weighted, turned, out=now)
+    return moves
+
+
+def last_vectors(share: np.ndarray, begin: list[int], length: np.ndarray) -> np.ndarray:
+    """Vectors at the last token of each text."""
+    return share[np.asarray(begin)[length - 1] + np.arange(len(length))]
+
+
+def transfers(move: np.ndarray, emit: np.ndarray, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Transfer matrices of runs, each with the move into it, scaled; log factor of each."""
+    seen = np.take(emit, tokens[np.arange(RUN)[:, None] + first], axis=0, mode="clip")
+    ones, log = np.ones((STATES, STATES), emit.dtype), np.zeros(len(first))
+    matrix = move[:, None, :] * seen[0]
+    for t in range(1, RUN):
+        matrix = (matrix.reshape(-1, STATES) @ move).reshape(matrix.shape)
+        matrix *= seen[t]
+        if t % EACH == EACH - 1:
+            scale = matrix.sum(axis=0) @ ones
+            matrix /= scale
+            log += np.log(scale[:, 0])
+    return np.ascontiguousarray(matrix.transpose(1, 0, 2)), log
+
+
+def in_turn(per: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Texts with runs, those with most first, and for each k the numbers of the k-th runs of those that have one."""
+    texts = np.argsort(-per, kind="stable")[:np.count_nonzero(per)]
+    first, many = (np.cumsum(per) - per)[texts], -per[texts]
+    return texts, [first[:np.searchsorted(many, -k)] + k for k in range(int(per.max(initial=0)))]
 
 
 def expected(model: Model, tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,95 +235,65 @@ def expected(model: Model, tokens: np.ndarray, starts: np.ndarray) -> tuple[np.n
     return counted(model, tokens, starts)[:3]
 
 
-def counted(model: Model, tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def counted(
+    model: Model, tokens: np.ndarray, starts: np.ndarray, room: Room | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected counts of starts, moves and emissions over some texts, and their log likelihood."""
-    table, length, begins, per = runs_of(tokens, starts)
-    before, after = boundaries(model, table, length, begins, per)
-    start, moves, counts, log = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((BUCKETS + 1, STATES)), 0.0
-    order = np.argsort(-length, kind="stable")
-    for low in range(0, len(table), RUNS_AT_ONCE):
-        some = order[low:low + RUNS_AT_ONCE]
-        share, inner, own_log = passes(model, table[some], length[some], begins[some], before[some], after[some])
-        moves += inner
-        log += own_log
-        start += share[0][begins[some]].sum(axis=0)
-        inside = np.arange(RUN)[:, None] < length[None, some]
-        flat, own = table[some].T[inside], share[inside]
+    room = room or Room()
+    top = model.emit.max(axis=1)  # single precision has room for EACH steps of emissions up to 1
+    emit, move = (model.emit / top[:, None]).astype(np.float32), model.move.astype(np.float32)
+    log = float(np.log(top) @ np.bincount(tokens, minlength=BUCKETS + 1))
+    moves, counts = np.zeros((STATES, STATES)), np.zeros((STATES, BUCKETS + 1))
+
+    def passes(begin: list[int], at: np.ndarray, length: np.ndarray, first: np.ndarray, after: np.ndarray):
+        """Add up moves, emissions and likelihood; the vectors at the last tokens, the shares, and backward times emission."""
+        nonlocal log, moves
+        own = tokens[at]
+        seen = np.take(emit, own, axis=0, out=room("seen", emit, len(own)), mode="clip")
+        share = room("share", emit, len(own))
+        factor = forward(move, seen, begin, first, share)
+        last = last_vectors(share, begin, length)
+        log += float(factor.sum() + np.log(last.sum(axis=1), dtype=np.float64).sum())
+        moves += backward(move, seen, begin, share, after / (last * after).sum(axis=1, keepdims=True))
+        weights = room("weights", counts[0], len(own))
         for k in range(STATES):
-            counts[:, k] += np.bincount(flat, weights=own[:, k], minlength=BUCKETS + 1)
-    return start, moves, counts, log
-
-
-def transfers(model: Model, table: np.ndarray, length: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """The transfer matrix of each run, up to a factor; longest runs first."""
-    emit, move = model.emit.astype(np.float32), model.move.astype(np.float32)
-    matrix = np.where(begins[:, None, None], np.eye(STATES, dtype=np.float32), move)
-    for t in range(RUN):
-        m = int((length > t).sum())
-        if not m:
-            break
-        moved = (matrix[:m].reshape(-1, STATES) @ move).reshape(m, STATES, STATES) if t else matrix
-        moved = moved * emit[table[:m, t]][:, None, :]
-        matrix[:m] = moved / moved.max(axis=(1, 2))[:, None, None] if t % 2 else moved
-    return matrix
-
-
-def boundaries(model: Model, table: np.ndarray, length: np.ndarray, begins: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each run, the forward state shares at the last token before it (of no use where it begins
-    its text) and the backward vector at its own last token, up to a factor."""
-    before, after = np.ones((len(table), STATES), np.float32), np.ones((len(table), STATES), np.float32)
-    wanted = np.nonzero(np.repeat(per > 1, per))[0]
-    wanted = wanted[np.argsort(-length[wanted], kind="stable")]
-    matrix = np.zeros((len(table), STATES, STATES), np.float32)
-    for low in range(0, len(wanted), RUNS_AT_ONCE):
-        some = wanted[low:low + RUNS_AT_ONCE]
-        matrix[some] = transfers(model, table[some], length[some], begins[some])
-    # the k-th run of every text in turn; texts with most runs first
-    texts = np.argsort(-per, kind="stable")
-    first, many = (np.cumsum(per) - per)[texts], -per[texts]
-    now = np.tile(model.start, (len(per), 1)).astype(np.float32)
-    most = int(per.max(initial=0))
-    for k in range(1, most):
-        at = first[:np.searchsorted(many, -k)] + k
-        moved = np.einsum("ni,nij->nj", now[:len(at)], matrix[at - 1])
-        now[:len(at)] = before[at] = moved / moved.sum(axis=1, keepdims=True)
-    for k in range(most - 1, 0, -1):
-        at = first[:np.searchsorted(many, -k)] + k
+            weights[:] = share[:, k]
+            counts[k] += np.bincount(own, weights=weights, minlength=BUCKETS + 1)
+        return last, share, seen
+
+    head, per, runs = heads(starts)
+    blocks = range(0, len(runs), RUNS_AT_ONCE)
+    matrix = np.empty((len(runs), STATES, STATES), np.float32)
+    for low in blocks:
+        matrix[low:low + RUNS_AT_ONCE] = transfers(move, emit, tokens, runs[low:low + RUNS_AT_ONCE])[0]
+    texts, turns = in_turn(per)
+    # backward vectors, up to a factor, at the last tokens of runs and heads
+    after, beyond = np.ones((len(runs), STATES), np.float32), np.ones((len(head), STATES), np.float32)
+    for k, at in reversed(list(enumerate(turns))):
         moved = np.einsum("nij,nj->ni", matrix[at], after[at])
-        after[at - 1] = moved / moved.max(axis=1, keepdims=True)
-    return before, after
-
-
-def passes(model: Model, table: np.ndarray, length: np.ndarray, begins: np.ndarray, before: np.ndarray,
-           after: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Scaled forward and backward passes over runs, longest first, between their `boundaries`:
-    state shares at each place of each run, expected moves (those into a run included), and the
-    log likelihood."""
-    emit, move = model.emit.astype(np.float32), model.move.astype(np.float32)
-    runs = len(table)
-    active = [int((length > t).sum()) for t in range(RUN)]
-    share = np.zeros((RUN, runs, STATES), np.float32)
-    scale = np.ones((RUN, runs), np.float32)
-    now = np.where(begins[:, None], model.start.astype(np.float32), before @ move)
-    for t, m in enumerate(active):
-        now = (now[:m] @ move if t else now[:m]) * emit[table[:m, t]]
-        scale[t, :m] = now.sum(axis=1)
-        now = now / scale[t, :m, None]
-        share[t, :m] = now
-    moves = np.zeros((STATES, STATES))
-    # scaled so that forward times backward is 1 at a run's last token, and so at all of its tokens
-    back = after / (share[length - 1, np.arange(runs)] * after).sum(axis=1, keepdims=True)
-    for t in range(RUN - 1, -1, -1):
-        m = active[t]
-        share[t, :m] *= back[:m]
-        if m:
-            weighted = back[:m] * emit[table[:m, t]] / scale[t, :m, None]
-            if t:
-                moves += (share[t - 1, :m].T @ weighted) * model.move
-                back[:m] = weighted @ move.T
-            else:
-                moves += (before[~begins].T @ weighted[~begins]) * model.move
-    return share / np.maximum(share.sum(axis=2, keepdims=True), 1e-30), moves, float(np.log(scale, dtype=np.float64).sum())
+        moved /= moved.max(axis=1, keepdims=True)
+        if k:
+            after[at - 1] = moved
+        else:
+            beyond[texts] = moved
+    start, ends = np.zeros(STATES), np.empty((len(head), STATES), np.float32)
+    for some in groups(head, TOKENS_AT_ONCE):
+        begin, at = lockstep(starts[:-1][some], head[some])
+        ends[some], share, _ = passes(begin, at, head[some], np.tile(model.start.astype(np.float32), (len(some), 1)), beyond[some])
+        start += share[:len(some)].sum(axis=0, dtype=np.float64)
+    # forward shares before each run
+    now, before = ends[texts], np.empty((len(runs), STATES), np.float32)
+    for at in turns:
+        now = now[:len(at)] / now[:len(at)].sum(axis=1, keepdims=True)
+        before[at] = now
+        now = np.einsum("ni,nij->nj", now, matrix[at])
+    for low in blocks:
+        own = slice(low, low + RUNS_AT_ONCE)
+        n = len(runs[own])
+        begin, at = [n * t for t in range(RUN + 1)], (np.arange(RUN)[:, None] + runs[own]).ravel()
+        weighted = passes(begin, at, np.full(n, RUN), before[own] @ move, after[own])[2]
+        moves += before[own].T @ weighted[:n]
+    return start, moves * model.move, counts.T, log
 
 
 def training_tokens(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -259,33 +329,42 @@ def _values(column: pa.Array, k: int):
 
 def count_round(table: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, int]:
     """Expected counts over all training texts, their log likelihood and number of tokens, added up
-    across partitions. What reaches the driver has BUCKETS + STATES + 3 rows at most."""
+    across partitions. Counts travel in blocks of BLOCK rows, those of buckets in single precision;
+    what reaches the driver has BUCKETS + STATES + 3 rows."""
     shared = table.sparkSession.sparkContext.broadcast(model)
-    columns = ", ".join(f"s{k} double" for k in range(STATES))
     height = BUCKETS + 1 + STATES + 2
+    cuts = [*range(0, BUCKETS + 1, BLOCK), height]  # the last block has END and all that is no bucket
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((height, STATES))
+    def blocks_of(blocks: list[int], values: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(blocks, pa.int32()), pa.array([v.tobytes() for v in values], pa.binary())], names=["block", "sums"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, room = np.zeros((height, STATES)), Room()
         for row in batched(batches):
             tokens, starts = training_tokens(row)
             if len(tokens):
-                start, moves, counts, log = counted(shared.value, tokens, starts)
+                start, moves, counts, log = counted(shared.value, tokens, starts, room)
                 total[:BUCKETS + 1] += counts
                 total[BUCKETS + 1:-2] += moves
                 total[-2] += start
                 total[-1, :2] += log, len(tokens)
-        rows = np.nonzero(total.any(axis=1))[0]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows), *(pa.array(total[rows, k]) for k in range(STATES))], names=["row", *(f"s{k}" for k in range(STATES))]
-        )
-
-    sums = (
-        table.select("held", "starts", "codes", "buckets").mapInArrow(run, f"row long, {columns}")
-        .groupBy("row").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES))).collect()
-    )
+        some = [k for k in range(len(cuts) - 1) if total[cuts[k]:cuts[k + 1]].any()]
+        yield blocks_of(some, [total[cuts[k]:cuts[k + 1]].astype("<f4" if cuts[k] < BUCKETS else "<f8") for k in some])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, raw in zip(batch["block"].to_pylist(), batch["sums"]):
+                own = np.frombuffer(raw.as_buffer(), "<f4" if cuts[block] < BUCKETS else "<f8").astype("<f8")
+                sums[block] = sums[block] + own if block in sums else own
+        yield blocks_of([*sums], [*sums.values()])
+
+    schema = "block int, sums binary"
+    parts = table.select("held", "starts", "codes", "buckets").mapInArrow(count, schema)
     total = np.zeros((height, STATES))
-    for row in sums:
-        total[row["row"]] = row[1:]
+    for block, raw in parts.repartition("block").mapInArrow(add_up, schema).collect():
+        total[cuts[block]:cuts[block + 1]] += np.frombuffer(raw, "<f8").reshape(-1, STATES)
     return total[-2], total[BUCKETS + 1:-2], total[:BUCKETS + 1], float(total[-1, 0]), int(total[-1, 1])
 
 
@@ -310,61 +389,27 @@ def fit(table: DataFrame, corpus: np.ndarray) -> Model:
 
 
 def log_likelihoods(model: Model, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Exact log10 probability of each text's bucket sequence, by the scaled forward recursion.
-
-    The first run of a text moves a state vector; each later run is a transfer matrix. Matrices
-    of all runs are built together and applied in order.
-    """
-    n = np.diff(starts)
-    per = -(-n // RUN)
-    owner = np.repeat(np.arange(len(n)), per)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
-    first = starts[:-1][owner] + RUN * place
-    length = np.minimum(RUN, starts[1:][owner] - first)
-    out = np.zeros(len(n))
-    # first runs
-    head = np.nonzero(place == 0)[0]
-    head = head[np.argsort(-length[head], kind="stable")]
-    now = np.tile(model.start, (len(head), 1))
-    for t in range(RUN):
-        m = int((length[head] > t).sum())
-        if not m:
-            break
-        moved = (now[:m] @ model.move if t else now[:m]) * model.emit[tokens[first[head[:m]] + t]]
-        scale = moved.sum(axis=1)
-        out[owner[head[:m]]] += np.log10(scale)
-        now[:m] = moved / scale[:, None]
-    state = np.empty((len(n), STATES))
-    state[owner[head]] = now
-    # later runs, a bounded number of matrices at once; runs of one text stay in order
-    later = np.nonzero(place > 0)[0]
-    for low in range(0, len(later), 4096):
-        own = later[low:low + 4096]
-        order = np.argsort(-length[own], kind="stable")
-        sorted_own = own[order]
-        matrix = np.tile(np.eye(STATES), (len(own), 1, 1))
-        logs = np.zeros(len(own))
-        for t in range(RUN):
-            m = int((length[sorted_own] > t).sum())
-            if not m:
-                break
-            moved = (matrix[:m].reshape(-1, STATES) @ model.move).reshape(m, STATES, STATES)
-            moved *= model.emit[tokens[first[sorted_own[:m]] + t]][:, None, :]
-            scale = moved.max(axis=(1, 2))
-            logs[:m] += np.log10(scale)
-            matrix[:m] = moved / scale[:, None, None]
-        back = np.empty(len(own), np.int64)
-        back[order] = np.arange(len(own))
-        # the k-th later run of every text in turn
-        step = place[own]
-        for k in np.unique(step):
-            at = np.nonzero(step == k)[0]
-            texts = owner[own[at]]
-            moved = np.einsum("ni,nij->nj", state[texts], matrix[back[at]])
+    """Exact log10 probability of each text's bucket sequence, by the scaled forward recursion: heads
+    in lockstep, then their runs' transfer matrices in order, a bounded number of matrices at once."""
+    head, per, runs = heads(starts)
+    out, state = np.zeros(len(head)), np.empty((len(head), STATES))
+    for some in groups(head, TOKENS_AT_ONCE // 2):
+        begin, at = lockstep(starts[:-1][some], head[some])
+        share = np.take(model.emit, tokens[at], axis=0, mode="clip")
+        out[some] = forward(model.move, share, begin, np.tile(model.start, (len(some), 1)), share)
+        state[some] = last_vectors(share, begin, head[some])
+    owner = np.repeat(np.arange(len(per)), per)
+    for low in range(0, len(runs), RUNS_AT_ONCE):
+        matrix, log = transfers(model.move, model.emit, tokens, runs[low:low + RUNS_AT_ONCE])
+        own, many = np.unique(owner[low:low + RUNS_AT_ONCE], return_counts=True)
+        texts, turns = in_turn(many)
+        for at in turns:
+            some = own[texts[:len(at)]]
+            moved = np.einsum("ni,nij->nj", state[some], matrix[at])
             scale = moved.sum(axis=1)
-            out[texts] += np.log10(scale) + logs[back[at]]
-            state[texts] = moved / scale[:, None]
-    return out
+            out[some] += np.log(scale) + log[at]
+            state[some] = moved / scale[:, None]
+    return (out + np.log(state.sum(axis=1))) / np.log(10)
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

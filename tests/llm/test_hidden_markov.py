@@ -131,3 +131,75 @@ def test_training_ends_when_little_is_gained(spark, make_docs):
     first = h.fit(table, shares)
     *counts, log, tokens = h.count_round(table, first)
     assert h.count_round(table, h.normalised(*counts, shares))[3] - log < 2 * h.GAIN * tokens
+
+
+def plain_counts(model, tokens, starts):
+    """Expected counts and log likelihood by forward and backward passes over each whole text."""
+    start, moves, counts, log = np.zeros(h.STATES), np.zeros((h.STATES, h.STATES)), np.zeros((h.BUCKETS + 1, h.STATES)), 0.0
+    for a, b in zip(starts, starts[1:]):
+        own, alpha, beta = tokens[a:b], [], [np.ones(h.STATES)]
+        for k, x in enumerate(own):
+            now = (alpha[-1] @ model.move if k else model.start) * model.emit[x]
+            log += math.log(now.sum())
+            alpha.append(now / now.sum())
+        for x in own[:0:-1]:
+            new = model.move @ (model.emit[x] * beta[0])
+            beta.insert(0, new / new.sum())
+        for k, x in enumerate(own):
+            both = alpha[k] * beta[k]
+            counts[x] += both / both.sum()
+            start += both / both.sum() if k == 0 else 0
+            if k:
+                pair = alpha[k - 1][:, None] * model.move * (model.emit[x] * beta[k])
+                moves += pair / pair.sum()
+    return start, moves, counts, log
+
+
+def test_counts_of_many_texts_of_all_lengths():
+    """Heads in lockstep, in several groups, and the runs of the longest texts, against whole texts."""
+    model, draw = small_model(8), np.random.default_rng(9)
+    n = np.concatenate([draw.integers(1, 300, 2 * h.FEW), [300 + h.RUN - 1, 300 + h.RUN, 900, 2000], np.ones(5, int)])
+    starts = np.concatenate([[0], np.cumsum(draw.permutation(n))])
+    tokens = draw.integers(0, 40, starts[-1])
+    want = plain_counts(model, tokens, starts)
+    once = h.TOKENS_AT_ONCE
+    try:
+        for h.TOKENS_AT_ONCE in (once, 3000):
+            got = h.counted(model, tokens, starts)
+            assert np.allclose(got[0], want[0], rtol=1e-3) and np.allclose(got[1], want[1], rtol=1e-3)
+            assert np.allclose(got[2], want[2], rtol=1e-3, atol=1e-3) and math.isclose(got[3], want[3], rel_tol=1e-6)
+            assert math.isclose(h.log_likelihoods(model, tokens, starts).sum() * math.log(10), want[3], rel_tol=1e-9)
+    finally:
+        h.TOKENS_AT_ONCE = once
+
+
+def test_states_that_hardly_move_and_rare_words():
+    """Steps between scalings stay within single precision when every token but one state's is unlikely."""
+    k, n = h.STATES, h.BUCKETS + 1
+    emit = np.full((n, k), 1e-9)
+    emit[np.arange(n), np.arange(n) % k] = 1.0
+    emit /= emit.sum(axis=0)
+    move = np.full((k, k), 1e-9) + np.eye(k)
+    model = h.Model(np.full(k, 1 / k), move / move.sum(axis=1, keepdims=True), emit)
+    draw = np.random.default_rng(3)
+    tokens, starts = draw.integers(0, 200, 900), np.array([0, 400, 900])
+    want, got = plain_counts(model, tokens, starts), h.counted(model, tokens, starts)
+    assert all(np.isfinite(x).all() for x in got) and math.isclose(got[3], want[3], rel_tol=1e-5)
+    assert math.isclose(got[2].sum(), 900, rel_tol=1e-4) and math.isclose(got[1].sum(), 898, rel_tol=1e-4)
+
+
+def test_texts_of_usual_lengths_need_no_transfer_matrices(monkeypatch):
+    """A matrix costs as much as a vector for every state: only runs that few texts reach have one."""
+    made, transfers = [], h.transfers
+
+    def counting(*given):
+        out = transfers(*given)
+        made.append(len(out[0] if isinstance(out, tuple) else out))
+        return out
+
+    monkeypatch.setattr(h, "transfers", counting)
+    draw = np.random.default_rng(1)
+    n = np.append(draw.integers(400, 500, 300), 5000)
+    starts = np.concatenate([[0], np.cumsum(n)])
+    h.expected(small_model(), draw.integers(0, 500, starts[-1]), starts)
+    assert sum(made) <= 5000 // h.RUN  # the long text's runs, not those of 300 others
