@@ -7,8 +7,8 @@ every word still has its own probability. In each bucket one symbol stands for a
 training never saw; its weight is one more than the number of words that training saw once there.
 
 Counts. Each piece of PIECE bytes of text becomes one stored row: word codes, distinct words and
-their training counts. Words meet over the whole corpus by shuffles only; the counts of a piece's words come back to it by
-its number. The vocabulary is never gathered or broadcast.
+their training counts. Words meet over the whole corpus by shuffles only, in shares of the buckets; the counts of a piece's
+words come back to it by its number. The vocabulary is never gathered or broadcast.
 
 Training. EM starts from a fixed random model, which no text chooses. Every round runs over all
 training texts: forward and backward passes give expected transition and emission counts, which are
@@ -26,9 +26,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from pulseline.llm.common import hashes_of, id_remainders, pieces, stored, words_of
@@ -48,6 +50,8 @@ BLOCK = 1024
 #: Training ends when a round gains less than so much log likelihood a token.
 GAIN = 1e-3
 PIECE = 6 << 20
+#: A task counts the words of a share of the buckets; a share is that of the words of about so many pieces.
+PIECES_A_SHARE = 8
 
 PIECE_SCHEMA = (
     "piece long, ids array<{id}>, held array<boolean>, starts array<long>, codes binary, words array<string>,"
@@ -117,6 +121,13 @@ class Model:
     move: np.ndarray  # STATES x STATES
     emit: np.ndarray  # BUCKETS + 1 x STATES
 
+    @cached_property
+    def scaled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Moves and emissions in single precision, which has room for EACH steps of emissions scaled
+        to a largest of 1 in each bucket, and the logs of the factors."""
+        top = self.emit.max(axis=1)
+        return self.move.astype(np.float32), (self.emit / top[:, None]).astype(np.float32), np.log(top)
+
 
 def normalised(start: np.ndarray, move: np.ndarray, emit: np.ndarray, corpus: np.ndarray) -> Model:
     """Probabilities from expected counts. A state's emissions lean to the corpus' bucket shares
@@ -240,9 +251,8 @@ def counted(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected counts of starts, moves and emissions over some texts, and their log likelihood."""
     room = room or Room()
-    top = model.emit.max(axis=1)  # single precision has room for EACH steps of emissions up to 1
-    emit, move = (model.emit / top[:, None]).astype(np.float32), model.move.astype(np.float32)
-    log = float(np.log(top) @ np.bincount(tokens, minlength=BUCKETS + 1))
+    move, emit, factors = model.scaled
+    log = float(factors @ np.bincount(tokens, minlength=BUCKETS + 1))
     moves, counts = np.zeros((STATES, STATES)), np.zeros((STATES, BUCKETS + 1))
 
     def passes(begin: list[int], at: np.ndarray, length: np.ndarray, first: np.ndarray, after: np.ndarray):
@@ -311,6 +321,57 @@ def with_ends(tokens: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndar
     return np.insert(tokens, starts[1:], end), starts + np.arange(len(starts))
 
 
+def corpus_counts(table: DataFrame, shares: int) -> DataFrame:
+    """Stored: for each piece, in several rows, places of its words and their counts in all training
+    texts (words that training never saw are left out). Rows without a piece give for each bucket
+    (in `at`) three numbers (in `c`): its tokens, its words, and its words seen once.
+
+    Words meet by shares of the buckets, so a word's rows, one a piece, are in one share. A share
+    holds the distinct words of about PIECES_A_SHARE pieces.
+    """
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                words, buckets, counts = (batch[name][k].values for name in ("words", "buckets", "counts"))
+                if not len(words):
+                    continue
+                share = buckets.to_numpy().astype(np.int64) * shares // BUCKETS
+                order = pa.array(np.argsort(share, kind="stable"), pa.int32())
+                some, n = np.unique(share, return_counts=True)
+                first = np.append(0, np.cumsum(n))
+                lists = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), x) for x in (
+                    order, words.take(order), buckets.take(order), counts.take(order))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some, pa.int32()), pa.repeat(batch["piece"][k], len(some)), *lists],
+                    names=["share", "piece", "at", "words", "buckets", "counts"])
+
+    def meet(group: pa.Table) -> pa.Table:
+        rows = group.combine_chunks()
+        words, at, buckets, counts = (rows[name].combine_chunks().flatten() for name in ("words", "at", "buckets", "counts"))
+        first = np.append(0, np.cumsum(pc.list_value_length(rows["words"]).to_numpy()))
+        coded = words.dictionary_encode()
+        code, own = coded.indices.to_numpy(), buckets.to_numpy()
+        c = np.bincount(code, weights=counts.to_numpy(), minlength=len(coded.dictionary)).astype(np.int64)
+        seen = c[code] > 0
+        held = np.append(0, np.cumsum(seen))[first]
+        bucket = np.empty(len(c), np.int64)
+        bucket[code] = own
+        low = int(bucket.min())
+        shape = np.stack([np.bincount(bucket - low, weights=w) for w in (c, c > 0, c == 1)], axis=1).astype(np.int64)
+        there = np.nonzero(shape[:, 0])[0]
+        places = np.append(at.to_numpy()[seen], (there + low).astype(np.int32))
+        numbers = np.append(c[code][seen], shape[there].ravel())
+        return pa.table({
+            "piece": pa.concat_arrays([rows["piece"].combine_chunks(), pa.nulls(1, pa.int64())]),
+            "at": pa.ListArray.from_arrays(pa.array(np.append(held, len(places)), pa.int32()), pa.array(places, pa.int32())),
+            "c": pa.ListArray.from_arrays(pa.array(np.append(held, len(numbers)), pa.int32()), pa.array(numbers, pa.int64())),
+        })
+
+    lists = "at array<int>, words array<string>, buckets array<int>, counts array<long>"
+    cut = table.select("piece", "words", "buckets", "counts").mapInArrow(split, f"share int, piece long, {lists}")
+    return stored(cut.groupBy("share").applyInArrow(meet, "piece long, at array<int>, c array<long>"), "hmm-vocabulary")
+
+
 def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for k in range(batch.num_rows):
@@ -330,8 +391,10 @@ def _values(column: pa.Array, k: int):
 def count_round(table: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, int]:
     """Expected counts over all training texts, their log likelihood and number of tokens, added up
     across partitions. Counts travel in blocks of BLOCK rows, those of buckets in single precision;
-    what reaches the driver has BUCKETS + STATES + 3 rows."""
-    shared = table.sparkSession.sparkContext.broadcast(model)
+    what reaches the driver has BUCKETS + STATES + 3 rows. Every task sends a whole model's worth of
+    counts, so there are twice as many as cores, however many files the pieces have."""
+    context = table.sparkSession.sparkContext
+    shared = context.broadcast(model)
     height = BUCKETS + 1 + STATES + 2
     cuts = [*range(0, BUCKETS + 1, BLOCK), height]  # the last block has END and all that is no bucket
 
@@ -361,7 +424,7 @@ def count_round(table: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray,
         yield blocks_of([*sums], [*sums.values()])
 
     schema = "block int, sums binary"
-    parts = table.select("held", "starts", "codes", "buckets").mapInArrow(count, schema)
+    parts = table.select("held", "starts", "codes", "buckets").coalesce(2 * context.defaultParallelism).mapInArrow(count, schema)
     total = np.zeros((height, STATES))
     for block, raw in parts.repartition("block").mapInArrow(add_up, schema).collect():
         total[cuts[block]:cuts[block + 1]] += np.frombuffer(raw, "<f8").reshape(-1, STATES)
@@ -421,25 +484,19 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     documents all tokens are unknown.
     """
     table = cut_pieces(docs, key, text)
-    words = table.select("piece", F.posexplode(F.arrays_zip("words", "buckets", "counts")).alias("at", "w")).select(
-        "piece", "at", "w.words", "w.buckets", "w.counts"
-    )
-    vocabulary = stored(
-        words.filter("counts > 0").groupBy("words", "buckets").agg(F.sum("counts").alias("c")), "hmm-vocabulary"
-    )
+    many, ends = table.agg(F.count("*"), F.coalesce(F.sum(F.expr("size(filter(held, h -> NOT h))")), F.lit(0))).first()
+    vocabulary = corpus_counts(table, many // PIECES_A_SHARE + 1)
     known = np.zeros((BUCKETS, 3), np.int64)  # per bucket: tokens, words, words seen once
-    shape = vocabulary.groupBy("buckets").agg(F.sum("c").alias("c"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once"))
-    for row in shape.collect():
-        known[row["buckets"]] = row["c"], row["v"], row["once"]
-    ends = table.agg(F.sum(F.expr("size(filter(held, h -> NOT h))"))).first()[0] or 0
+    for row in vocabulary.filter("piece IS NULL").collect():
+        known[row["at"]] = np.reshape(row["c"], (-1, 3))
     total = int(known[:, 0].sum() + ends)
     distinct = int(known[:, 1].sum() + (ends > 0))
     corpus = np.append(known[:, 0] + 0.5, ends + 0.5)
     corpus = corpus / corpus.sum()
     model = fit(table, corpus)
 
-    found = words.select("piece", "at", "words").join(vocabulary.select("words", "c"), "words").groupBy("piece").agg(
-        F.collect_list("at").alias("at"), F.collect_list("c").alias("c")
+    found = vocabulary.filter("piece IS NOT NULL").groupBy("piece").agg(
+        F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("c")).alias("c")
     )
     ready = table.select("piece", "ids", "held", "starts", "codes", "buckets").join(found, "piece", "left").drop("piece")
     shared = docs.sparkSession.sparkContext.broadcast((model, known))

@@ -203,3 +203,43 @@ def test_texts_of_usual_lengths_need_no_transfer_matrices(monkeypatch):
     starts = np.concatenate([[0], np.cumsum(n)])
     h.expected(small_model(), draw.integers(0, 500, starts[-1]), starts)
     assert sum(made) <= 5000 // h.RUN  # the long text's runs, not those of 300 others
+
+
+def test_words_meet_in_shares_of_the_buckets(make_docs):
+    """Counts of all training texts come back to each piece, and buckets add up, however many shares."""
+    rows = [*corpus(), (1, None), (2, " "), (9001, "Solo once"), (9001, "ärger Solo")]
+    table = h.cut_pieces(make_docs(rows).repartition(5, "doc_id"), "doc_id", "text").cache()
+    counts = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in words(t))
+    pieces = {r.piece: r for r in table.collect()}
+    for shares in (1, 7):
+        got, known = {}, {}
+        for r in h.corpus_counts(table, shares).collect():
+            if r.piece is None:
+                known.update(zip(r.at, np.reshape(r.c, (-1, 3)).tolist()))
+            else:
+                got.setdefault(r.piece, {}).update(zip(r.at, r.c))
+        assert {p: {pieces[p].words[k]: c for k, c in own.items()} for p, own in got.items()} == {
+            p: {w: counts[w] for w in r.words if counts[w]} for p, r in pieces.items() if any(counts[w] for w in r.words)}
+        bucket_of = {w: b for r in pieces.values() for w, b in zip(r.words, r.buckets)}
+        want = {}
+        for w, c in counts.items():
+            mine = want.setdefault(bucket_of[w], [0, 0, 0])
+            mine[:] = mine[0] + c, mine[1] + 1, mine[2] + (c == 1)
+        assert known == want
+
+
+def test_a_round_sends_no_more_for_more_files(spark, make_docs):
+    """Every task sends counts of the size of the model, so the tasks of a round are bounded."""
+    table = h.cut_pieces(make_docs(corpus()).repartition(60), "doc_id", "text").repartition(60).cache()
+    tasks, plain = [], type(table).mapInArrow
+
+    def counting(df, run, schema, *more):
+        tasks.append(df.rdd.getNumPartitions())
+        return plain(df, run, schema, *more)
+
+    type(table).mapInArrow = counting
+    try:
+        h.count_round(table, small_model())
+    finally:
+        type(table).mapInArrow = plain
+    assert tasks[0] <= 2 * spark.sparkContext.defaultParallelism < 60
